@@ -59,11 +59,15 @@ def dense_ids(df: DataFrame, key: str, start: Column, out: str, buckets: int = 4
     return numbered.withColumn(out, start + F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
-def substring_matches(left: DataFrame, text: str, right: DataFrame, needle: str) -> DataFrame:
+def substring_matches(
+    left: DataFrame, text: str, right: DataFrame, needle: str, condition: Column | None = None, salts: int = 8
+) -> DataFrame:
     """All pairs where ``left.text`` contains ``right.needle``, as an equality join on short character grams.
 
     Every needle is indexed by its first three characters (or fewer if it is shorter); a text offers
-    each gram it holds once, and ``contains`` decides. Empty needles meet every text through gram ''.
+    each gram it holds once, and ``condition`` (by default ``contains``) decides. Empty needles meet
+    every text through gram ''. Common grams are hot keys, so texts are spread over ``salts`` and the
+    needles repeated for each; when the needles are few Catalyst broadcasts them and none of it shuffles.
     """
     size = F.length(F.col(text))
 
@@ -72,7 +76,9 @@ def substring_matches(left: DataFrame, text: str, right: DataFrame, needle: str)
         return F.transform(spots, lambda i: F.substring(F.col(text), i, F.lit(n)))
 
     offered = F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))
-    probe = left.withColumn("_gram", F.explode(offered))
-    build = right.withColumn("_gram", F.substring(F.col(needle), 1, 3))
-    hit = F.contains(F.col(text), F.col(needle))
-    return probe.join(build, "_gram").where(hit).drop("_gram")
+    probe = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    probe = probe.withColumn("_gram", F.explode(offered))
+    build = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    build = build.withColumn("_gram", F.substring(F.col(needle), 1, 3))
+    hit = F.contains(F.col(text), F.col(needle)) if condition is None else condition
+    return probe.join(build, ["_gram", "_salt"]).where(hit).drop("_gram", "_salt")

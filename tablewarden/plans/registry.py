@@ -13,7 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = [
-    "lineage_queries", "quality_queries", "delta_queries", "ingest_queries",
+    "lineage_queries", "quality_queries", "delta_queries", "ingest_queries", "classify_queries",
+    "contract_queries", "alert_queries",
 ]
 
 
