@@ -1,3 +1,10 @@
 """Metadata and governance analytics over lakehouse catalogs, written as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel whole, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

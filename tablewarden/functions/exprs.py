@@ -20,6 +20,17 @@ def seconds_between(later, earlier) -> Column:
     return F.when(gap >= 0, F.floor(gap / 1_000_000)).otherwise(F.ceil(gap / 1_000_000)).cast("bigint")
 
 
+def utc_instant(ts: Column) -> Column:
+    """A ``timestamp_ntz`` taken as UTC, as the instant that watermarks need."""
+    return F.timestamp_micros(epoch_us(ts))
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    """Inverse of ``utc_instant`` for whole seconds."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return zero + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(instant).cast("decimal(18,6)"))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,7 @@ def _chain(width: int, keys: list[str]):
         stretches, starts = np.unique(pdf["_stretch"].to_numpy(), return_index=True)
         bounds = np.append(starts, len(pdf))
         admits, leaves = pdf["_admits"].to_numpy(), pdf["_leaves"].to_numpy()
-        opened, entries = _NO_ENTRY, []
+        opened, entries = int(pdf["_carried"].iloc[0]), []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             entries.append(opened)
             i = lo + int(np.searchsorted(admits[lo:hi], opened + width, side="left"))
@@ -87,8 +87,14 @@ def _replay(width: int, keys: list[str]):
     return run
 
 
-def restarting_windows(df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30) -> DataFrame:
-    """``df`` with ``_opened``, the microsecond at which the window holding the event was opened."""
+def restarting_windows(
+    df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30, carried: DataFrame | None = None
+) -> DataFrame:
+    """``df`` with ``_opened``, the microsecond at which the window holding the event was opened.
+
+    ``carried`` (keys, _carried) names windows still open from before; events too early to open the
+    next one belong to them.
+    """
     width = width_secs * 1_000_000
     stretch = width * widths_per_stretch
     timed = df.withColumn("_us", epoch_us(ts))
@@ -100,6 +106,11 @@ def restarting_windows(df: DataFrame, keys: list[str], ts: str, width_secs: int,
     steps = points.groupBy(*keys, "_stretch").applyInPandas(
         _summarise(width, stretch, keys), shape("_stretch", "_admits", "_leaves")
     )
+    none = F.lit(_NO_ENTRY).cast("bigint")
+    if carried is None:
+        steps = steps.withColumn("_carried", none)
+    else:
+        steps = steps.join(carried, keys, "left").withColumn("_carried", F.coalesce("_carried", none))
     entries = steps.groupBy(*keys).applyInPandas(_chain(width, keys), shape("_stretch", "_entry"))
     placed = (
         points.join(entries, [*keys, "_stretch"])
