@@ -114,11 +114,10 @@ def column_references(item: Column) -> Column:
     return F.filter(found, lambda w: ~F.upper(w).isin(STOP_WORDS))
 
 
-def default_name(item: Column) -> Column:
-    """Name of an item without alias: its column, its function, else ``?column?``."""
-    top = mask(F.trim(item))
-    name = F.regexp_extract(top, rf"(?i)^({_ID}(?:\.{_ID})*)\s*‹¤*›{_TAIL}(?:\s*OVER\s*(?:‹¤*›|{_ID}))?$", 1)
-    column = F.regexp_extract(top, rf"^(?:{_ID}\.)*({_ID})$", 1)
+def default_name(masked: Column) -> Column:
+    """Name of a masked item without alias: its column, its function, else ``?column?``."""
+    name = F.regexp_extract(masked, rf"(?i)^({_ID}(?:\.{_ID})*)\s*‹¤*›{_TAIL}(?:\s*OVER\s*(?:‹¤*›|{_ID}))?$", 1)
+    column = F.regexp_extract(masked, rf"^(?:{_ID}\.)*({_ID})$", 1)
     return (
         F.when((column != "") & ~F.upper(column).isin(STOP_WORDS), F.regexp_replace(column, '"', ""))
         .when((name != "") & ~F.upper(name).isin(UNNAMED_CALLS), name)

@@ -5,12 +5,15 @@ The chain is sequential per key, but a stretch of time can be summarised without
 chain enters it: only events in its first ``width`` (and the one after) can be the first opener, and
 their chains soon merge. So each (key, stretch) is summarised in parallel to steps
 (latest admissible entry -> opening the chain leaves with), the summaries of a key are chained, and
-each stretch then replays its openers from a known entry. Only distinct timestamps travel, never
-whole event groups, and a hot key is spread over its stretches.
+each stretch then replays its openers from a known entry. Only distinct timestamps with their counts
+travel, never event groups, and a hot key is spread over its stretches. Tasks work on blocks of many
+sorted groups at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,112 +25,166 @@ from tablewarden.functions.exprs import epoch_us
 _NO_ENTRY = -(2**62)
 
 
-def _jump(t: np.ndarray, width: int) -> np.ndarray:
-    return np.searchsorted(t, t + width, side="left")
+def _whole_groups(blocks: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Regroup sorted blocks so that none ends inside a group; with the row at which each group starts."""
+    rest = None
+    for block in blocks:
+        if rest is not None:
+            block = pd.concat([rest, block], ignore_index=True)
+        if len(block) == 0:
+            continue
+        starts = _group_starts(block, keys)
+        cut = int(starts[-1])
+        rest = block.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield block.iloc[:cut], starts[:-1]
+    if rest is not None and len(rest):
+        yield rest, _group_starts(rest, keys)
+
+
+def _group_starts(block: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(block), dtype=bool)
+    new[0] = True
+    for k in keys:
+        v = block[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+class _Lines:
+    """Times of many groups on one axis, far enough apart that a step of ``width`` never crosses groups."""
+
+    def __init__(self, pdf: pd.DataFrame, starts: np.ndarray, width: int, stretch: int):
+        self.us = pdf["_us"].to_numpy()
+        self.starts, self.ends = starts, np.append(starts[1:], len(pdf))
+        self.group = np.repeat(np.arange(len(starts)), self.ends - starts)
+        self.begin = pdf["_stretch"].to_numpy()[starts] * stretch
+        self.gap = stretch + 2 * width
+        self.axis = self.group * self.gap + (self.us - self.begin[self.group])
+        self.next = np.searchsorted(self.axis, self.axis + width, side="left")
+
+    def inside(self, at: np.ndarray) -> np.ndarray:
+        """Where the next opener after ``at`` still lies in the same group."""
+        return self.next[at] < self.ends[self.group[at]]
+
+    def first_at(self, offset: np.ndarray) -> np.ndarray:
+        """Per group the first row at or after an offset from its begin."""
+        offset = np.clip(offset, 0, self.gap - 1)
+        return np.searchsorted(self.axis, np.arange(len(self.starts)) * self.gap + offset, side="left")
 
 
 def _summarise(width: int, stretch: int, keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        n, nxt = len(t), _jump(t, width)
-        begin = int(pdf["_stretch"].iloc[0]) * stretch
-        last = min(int(np.searchsorted(t, begin + width, side="left")), n - 1)
-        at = np.arange(last + 1)
-        while True:
-            ahead = nxt[at]
-            if (ahead >= n).all():
-                break
-            at = np.where(ahead < n, np.minimum(ahead, n - 1), at)
-        leave = t[at]
-        ends = np.append(np.flatnonzero(np.diff(leave)), last)
-        out = pd.DataFrame({"_admits": t[ends], "_leaves": leave[ends]})
-        for k in [*keys, "_stretch"]:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_stretch", "_admits", "_leaves"]]
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(blocks, [*keys, "_stretch"]):
+            lines = _Lines(pdf, starts, width, stretch)
+            last = np.minimum(lines.first_at(np.full(len(starts), width)), lines.ends - 1)
+            rows = np.arange(len(pdf))
+            rows = rows[rows <= last[lines.group]]
+            at = rows.copy()
+            moving = lines.inside(at)
+            while moving.any():
+                at[moving] = lines.next[at[moving]]
+                moving = lines.inside(at)
+            leaves, group = lines.us[at], lines.group[rows]
+            final = np.append((leaves[1:] != leaves[:-1]) | (group[1:] != group[:-1]), True)
+            out = pdf[[*keys, "_stretch"]].iloc[rows[final]].copy()
+            out["_admits"], out["_leaves"] = lines.us[rows[final]], leaves[final]
+            yield out
 
     return run
 
 
 def _chain(width: int, keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_stretch", "_admits"], kind="stable")
-        stretches, starts = np.unique(pdf["_stretch"].to_numpy(), return_index=True)
-        bounds = np.append(starts, len(pdf))
-        admits, leaves = pdf["_admits"].to_numpy(), pdf["_leaves"].to_numpy()
-        opened, entries = int(pdf["_carried"].iloc[0]), []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            entries.append(opened)
-            i = lo + int(np.searchsorted(admits[lo:hi], opened + width, side="left"))
-            if i < hi:
-                opened = leaves[i]
-        out = pd.DataFrame({"_stretch": stretches, "_entry": np.array(entries, dtype="int64")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_stretch", "_entry"]]
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = stretch = None
+        opened = settled = _NO_ENTRY
+        for pdf in blocks:
+            kept, entries = [], []
+            columns = [pdf[k].tolist() for k in keys]
+            numbers = zip(pdf["_stretch"].tolist(), pdf["_admits"].tolist(), pdf["_leaves"].tolist(), pdf["_carried"].tolist())
+            for i, (k, (at, admits, leaves, carried)) in enumerate(zip(zip(*columns), numbers)):
+                if k != key:
+                    key, stretch, opened, settled = k, None, carried, carried
+                if at != stretch:
+                    stretch, settled = at, opened
+                    kept.append(i)
+                    entries.append(opened)
+                # The first step that admits the entry decides; later ones see ``opened`` moved already.
+                if opened == settled and admits >= settled + width:
+                    opened = leaves
+            out = pdf[[*keys, "_stretch"]].iloc[kept].copy()
+            out["_entry"] = np.array(entries, dtype="int64")
+            yield out
 
     return run
 
 
-def _replay(width: int, keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        nxt = _jump(t, width)
-        entry = int(pdf["_entry"].iloc[0])
-        i = int(np.searchsorted(t, entry + width, side="left"))
-        opens = []
-        while i < len(t):
-            opens.append(i)
-            i = int(nxt[i])
-        starts = np.array([entry, *t[opens]], dtype="int64")
-        out = pd.DataFrame({"_us": t, "_opened": starts[np.searchsorted(opens, np.arange(len(t)), side="right")]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_us", "_opened"]]
+def _replay(width: int, stretch: int, keys: list[str]):
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(blocks, [*keys, "_stretch"]):
+            lines = _Lines(pdf, starts, width, stretch)
+            entry = pdf["_entry"].to_numpy()[starts]
+            at = lines.first_at(np.maximum(entry + width - lines.begin, 0))
+            at = at[at < lines.ends]
+            opener = np.zeros(len(pdf), dtype=bool)
+            while len(at):
+                opener[at] = True
+                at = lines.next[at[lines.inside(at)]]
+            rows = np.arange(len(pdf))
+            latest = np.maximum.accumulate(np.where(opener, rows, -1))
+            own = latest >= starts[lines.group]
+            out = pdf[[*keys, "_us", "_n"]].copy()
+            out["_opened"] = np.where(own, lines.us[np.maximum(latest, 0)], entry[lines.group])
+            yield out
 
     return run
 
 
-def restarting_windows(
+def restarting_points(
     df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30, carried: DataFrame | None = None
 ) -> DataFrame:
-    """``df`` with ``_opened``, the microsecond at which the window holding the event was opened.
+    """(keys, _us, _n, _opened): each distinct event time of a key, its events, and when its window was opened.
 
     ``carried`` (keys, _carried) names windows still open from before; events too early to open the
     next one belong to them.
     """
     width = width_secs * 1_000_000
     stretch = width * widths_per_stretch
-    timed = df.withColumn("_us", epoch_us(ts))
-    points = timed.select(*keys, F.floor(F.col("_us") / F.lit(stretch)).cast("bigint").alias("_stretch"), "_us").distinct()
+    us = epoch_us(ts)
+    points = (
+        df.select(*keys, F.floor(us / F.lit(stretch)).cast("bigint").alias("_stretch"), us.alias("_us"))
+        .groupBy(*keys, "_stretch", "_us").agg(F.count(F.lit(1)).alias("_n"))
+    )
     kinds = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    long = T.LongType()
-    shape = lambda *names: T.StructType(kinds + [T.StructField(n, long) for n in names])
+    shape = lambda *names: T.StructType(kinds + [T.StructField(n, T.LongType()) for n in names])
+    lined = lambda frame, by, *order: frame.repartition(*by).sortWithinPartitions(*by, *order)
 
-    steps = points.groupBy(*keys, "_stretch").applyInPandas(
-        _summarise(width, stretch, keys), shape("_stretch", "_admits", "_leaves")
-    )
+    part = [*keys, "_stretch"]
+    steps = lined(points, part, "_us").mapInPandas(_summarise(width, stretch, keys), shape("_stretch", "_admits", "_leaves"))
     none = F.lit(_NO_ENTRY).cast("bigint")
     if carried is None:
         steps = steps.withColumn("_carried", none)
     else:
         steps = steps.join(carried, keys, "left").withColumn("_carried", F.coalesce("_carried", none))
-    entries = steps.groupBy(*keys).applyInPandas(_chain(width, keys), shape("_stretch", "_entry"))
-    placed = (
-        points.join(entries, [*keys, "_stretch"])
-        .groupBy(*keys, "_stretch")
-        .applyInPandas(_replay(width, keys), shape("_us", "_opened"))
-    )
-    return timed.join(placed, [*keys, "_us"])
+    entries = lined(steps, keys, "_stretch", "_admits").mapInPandas(_chain(width, keys), shape("_stretch", "_entry"))
+    placed = lined(points.join(entries, part), part, "_us")
+    return placed.mapInPandas(_replay(width, stretch, keys), shape("_us", "_n", "_opened"))
+
+
+def restarting_windows(df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30) -> DataFrame:
+    """``df`` with ``_opened``, the microsecond at which the window holding the event was opened."""
+    placed = restarting_points(df, keys, ts, width_secs, widths_per_stretch).drop("_n")
+    return df.withColumn("_us", epoch_us(ts)).join(placed, [*keys, "_us"])
 
 
-def window_counts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Events per restarting window."""
-    return events.groupBy(*keys, "_opened").agg(F.count(F.lit(1)).alias("requests"))
+def window_counts(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Events per restarting window, from ``restarting_points``."""
+    return points.groupBy(*keys, "_opened").agg(F.sum("_n").alias("requests"))
 
 
-def opening_events(events: DataFrame, keys: list[str], tie: str) -> DataFrame:
-    """One event per window: the opener, the smallest ``tie`` when several share its time."""
-    at_open = events.where(F.col("_us") == F.col("_opened"))
-    rest = [c for c in events.columns if c not in [*keys, "_us"]]
-    first = F.min_by(F.struct(*rest), F.col(tie)).alias("_first")
-    return at_open.groupBy(*keys, "_us").agg(first).select(*keys, "_us", "_first.*")
+def opening_events(df: DataFrame, keys: list[str], ts: str, width_secs: int, tie: str, widths_per_stretch: int = 30) -> DataFrame:
+    """The rows of ``df`` that open a window; of several at the same time the one with the smallest ``tie``."""
+    opens = restarting_points(df, keys, ts, width_secs, widths_per_stretch).where(F.col("_us") == F.col("_opened"))
+    rest = [c for c in df.columns if c not in keys]
+    first = df.withColumn("_us", epoch_us(ts)).join(opens.select(*keys, "_us"), [*keys, "_us"], "left_semi")
+    return first.groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.col(tie)).alias("_r")).select(*keys, "_r.*").select(*df.columns)

@@ -24,10 +24,20 @@ def source_tables(tables: DataFrame) -> DataFrame:
     ).dropDuplicates([*_QUERY, "source_table", "table_name"])
 
 
-def _read_items(items: DataFrame) -> DataFrame:
-    shown = items.where("NOT is_wildcard").withColumn("item", lx.unwrap(F.col("expr")))
-    masked = shown.withColumn("masked", lx.mask(F.col("item")))
-    return masked.withColumn("top", F.trim(lx.collapse_cases(F.col("masked")))).withColumn("kind", lx.operation(F.col("top")))
+def read_texts(texts: DataFrame) -> DataFrame:
+    """(expr, name, kind, text, refs) of each distinct item text: query logs repeat their items.
+
+    Every step is a column of its own, so each mask is computed once.
+    """
+    steps = texts.select("expr").distinct().withColumn("item", lx.unwrap(F.col("expr")))
+    steps = steps.withColumn("masked", lx.mask(F.col("item")))
+    steps = steps.withColumn("top", F.trim(lx.collapse_cases(F.col("masked")))).withColumn("kind", lx.operation(F.col("top")))
+    wrapped = F.col("item") != F.trim("expr")
+    return steps.select(
+        "expr", F.when(wrapped, "?column?").otherwise(lx.default_name(F.col("masked"))).alias("name"), "kind",
+        lx.expression_text(F.col("item"), F.col("masked"), F.col("top"), F.col("kind")).alias("text"),
+        lx.column_references(F.col("item")).alias("refs"),
+    )
 
 
 def _has_subquery(column: str):
@@ -39,12 +49,10 @@ def extract(items: DataFrame, tables: DataFrame) -> DataFrame:
 
     Unqualified columns belong to the first table of the FROM list, or to ``<unknown>`` without one.
     """
-    read = _read_items(items.where(~_has_subquery("expr") | F.col("is_wildcard")))
-    text = lx.expression_text(F.col("item"), F.col("masked"), F.col("top"), F.col("kind"))
-    named = F.coalesce("target_column", lx.default_name(F.col("expr")))
-    refs = read.select(
-        *_QUERY, "target_table", named.alias("target_column"), F.col("kind").alias("transformation"), text.alias("expression"),
-        F.posexplode(lx.column_references(F.col("item"))).alias("position", "ref"),
+    plain = items.where(~F.col("is_wildcard") & ~_has_subquery("expr"))
+    refs = plain.join(read_texts(plain), "expr").select(
+        *_QUERY, "target_table", F.coalesce("target_column", "name").alias("target_column"), F.col("kind").alias("transformation"),
+        F.col("text").alias("expression"), F.explode("refs").alias("ref"),
     )
     parts = F.transform(F.regexp_extract_all("ref", F.lit(r'("[^"]+"|[^."]+)'), F.lit(1)), lambda p: F.regexp_replace(p, '"', ""))
     split = refs.withColumn("parts", parts).withColumn("source_column", F.element_at("parts", -1))
@@ -63,13 +71,18 @@ def resolve_tables(edges: DataFrame, tables: DataFrame) -> DataFrame:
     return joined.withColumn("source_name", F.coalesce("table_name", "source_table")).drop("table_name")
 
 
+def default_names(items: DataFrame) -> DataFrame:
+    """Unnamed items with the name they get."""
+    return items.join(read_texts(items).select("expr", "name"), "expr")
+
+
 def warnings(items: DataFrame) -> DataFrame:
     """Items whose lineage is incomplete: wildcards without a known schema, and subqueries."""
     wild = F.when(
         F.col("is_wildcard"), F.concat(F.lit("SELECT "), F.trim("expr"), F.lit(" requires schema lookup - columns not extracted"))
     ).when(
         _has_subquery("expr"),
-        F.concat(F.lit("Subquery in expression for column '"), F.coalesce("target_column", lx.default_name(F.col("expr"))), F.lit("' - lineage may be incomplete")),
+        F.concat(F.lit("Subquery in expression for column '"), F.coalesce("target_column", F.lit("?column?")), F.lit("' - lineage may be incomplete")),
     )
     return items.select(*_QUERY, "target_table", wild.alias("warning")).where("warning IS NOT NULL")
 

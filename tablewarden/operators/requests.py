@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.functions.exprs import epoch_us
 from tablewarden.functions.fixed_values import (
     ANONYMOUS_LIMIT,
     AUTHENTICATED_LIMIT,
@@ -12,7 +13,8 @@ from tablewarden.functions.fixed_values import (
     THROTTLE_WINDOW_SECS,
     TIER_LIMITS,
 )
-from tablewarden.operators.greedy import restarting_windows, window_counts
+from tablewarden.operators.greedy import restarting_points, window_counts
+from tablewarden.session import settle
 
 
 def throttle_key() -> Column:
@@ -50,7 +52,7 @@ def with_limits(requests: DataFrame, tenants: DataFrame, **limits) -> DataFrame:
 def throttle_windows(limited: DataFrame, window_secs: int = THROTTLE_WINDOW_SECS) -> DataFrame:
     """Per key and restarting window: requests, how many were allowed and how many refused."""
     keys = ["throttle_key", "limit"]
-    counts = window_counts(restarting_windows(limited, keys, "ts", window_secs), keys)
+    counts = window_counts(restarting_points(limited, keys, "ts", window_secs), keys)
     return counts.select(
         "throttle_key", "limit", F.col("_opened").alias("opened_us"), "requests",
         F.least("requests", "limit").alias("allowed"), F.greatest(F.col("requests") - F.col("limit"), F.lit(0)).alias("refused"),
@@ -63,10 +65,12 @@ def throttle_refused(limited: DataFrame, window_secs: int = THROTTLE_WINDOW_SECS
     Only windows above their limit are ordered, and a window holds no more than its own seconds of one key.
     """
     keys = ["throttle_key", "limit"]
-    placed = restarting_windows(limited, keys, "ts", window_secs)
-    over = window_counts(placed, keys).where(F.col("requests") > F.col("limit")).select(*keys, "_opened")
+    points = settle(restarting_points(limited, keys, "ts", window_secs), "throttle-points")
+    over = window_counts(points, keys).where(F.col("requests") > F.col("limit")).select(*keys, "_opened")
+    crowded = points.join(over, [*keys, "_opened"], "left_semi").drop("_n")
     order = Window.partitionBy(*keys, "_opened").orderBy("_us", "request_id")
-    ranked = placed.join(over, [*keys, "_opened"], "left_semi").withColumn("place", F.row_number().over(order))
+    events = limited.withColumn("_us", epoch_us("ts")).join(crowded, [*keys, "_us"])
+    ranked = events.withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") > F.col("limit")).select("request_id", "throttle_key", "ts")
 
 

@@ -119,10 +119,8 @@ _NAME_ROWS = ", ".join(f"({n}, {_sql_text(i[1])})" for n, i in enumerate(ITEMS))
     JOIN (VALUES {_NAME_ROWS}) t(n, name) USING (n) GROUP BY ALL""",
 )
 def lineage_default_name(v):
-    from tablewarden.functions.lineage_exprs import default_name
-
-    unnamed = items(v).where("NOT is_wildcard AND target_column IS NULL")
-    return unnamed.groupBy(default_name(F.col("expr")).alias("name")).agg(F.count(F.lit(1)).alias("items"))
+    unnamed = ops.default_names(items(v).where("NOT is_wildcard AND target_column IS NULL"))
+    return unnamed.groupBy("name").agg(F.count(F.lit(1)).alias("items"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.fixed_values import THROTTLE_STATE_TTL_SECS, THROTTLE_WINDOW_SECS
-from tablewarden.operators.greedy import restarting_windows, window_counts
+from tablewarden.operators.greedy import restarting_points, window_counts
 from tablewarden.streaming.runner import read_batches, run_batches, write_batch
 
 _KEYS = ["throttle_key", "limit"]
@@ -26,8 +26,8 @@ def throttle(
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = spark.read.schema(_STATE).parquet(f"{folder}/state/batch={number - 1}") if number else None
-        batch.persist()
-        placed = restarting_windows(batch, _KEYS, "ts", window_secs, carried=state and state.drop("last_us"))
+        carried = None if state is None else state.drop("last_us")
+        placed = restarting_points(batch, _KEYS, "ts", window_secs, carried=carried).persist()
         write_batch(window_counts(placed, _KEYS), f"{folder}/windows", number)
         opened = placed.groupBy(*_KEYS).agg(F.max("_opened").alias("_carried"), F.max("_us").alias("last_us"))
         if state is not None:
@@ -35,7 +35,7 @@ def throttle(
             newest = both.agg(F.max("last_us")).scalar()
             opened = both.where(F.col("last_us") >= newest - ttl)
         write_batch(opened, f"{folder}/state", number)
-        batch.unpersist()
+        placed.unpersist()
 
     return run_batches(limited, handle, folder, every=every)
 
