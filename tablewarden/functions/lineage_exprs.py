@@ -98,6 +98,10 @@ def expression_text(item: Column, masked: Column, top: Column, kind: Column) ->
     )
 
 
+def has_subquery(text: Column) -> Column:
+    return hide_quotes(text).rlike(r"(?i)\bSELECT\b")
+
+
 def column_references(item: Column) -> Column:
     """All columns an item mentions, in order and with repeats, possibly qualified."""
     s = hide_quotes(item)

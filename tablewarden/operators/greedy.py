@@ -101,10 +101,10 @@ def _chain(width: int, keys: list[str]):
         for pdf in blocks:
             kept, entries = [], []
             columns = [pdf[k].tolist() for k in keys]
-            numbers = zip(pdf["_stretch"].tolist(), pdf["_admits"].tolist(), pdf["_leaves"].tolist(), pdf["_carried"].tolist())
-            for i, (k, (at, admits, leaves, carried)) in enumerate(zip(zip(*columns), numbers)):
+            numbers = zip(pdf["_stretch"].tolist(), pdf["_admits"].tolist(), pdf["_leaves"].tolist())
+            for i, (k, (at, admits, leaves)) in enumerate(zip(zip(*columns), numbers)):
                 if k != key:
-                    key, stretch, opened, settled = k, None, carried, carried
+                    key, stretch, opened, settled = k, None, _NO_ENTRY, _NO_ENTRY
                 if at != stretch:
                     stretch, settled = at, opened
                     kept.append(i)
@@ -159,16 +159,18 @@ def restarting_points(
     shape = lambda *names: T.StructType(kinds + [T.StructField(n, T.LongType()) for n in names])
     lined = lambda frame, by, *order: frame.repartition(*by).sortWithinPartitions(*by, *order)
 
+    held = None
+    if carried is not None:
+        met = points.join(carried, keys, "left")
+        early = F.coalesce(F.col("_us") < F.col("_carried") + width, F.lit(False))
+        held = met.where(early).select(*keys, "_us", "_n", F.col("_carried").alias("_opened"))
+        points = met.where(~early).drop("_carried")
     part = [*keys, "_stretch"]
     steps = lined(points, part, "_us").mapInPandas(_summarise(width, stretch, keys), shape("_stretch", "_admits", "_leaves"))
-    none = F.lit(_NO_ENTRY).cast("bigint")
-    if carried is None:
-        steps = steps.withColumn("_carried", none)
-    else:
-        steps = steps.join(carried, keys, "left").withColumn("_carried", F.coalesce("_carried", none))
     entries = lined(steps, keys, "_stretch", "_admits").mapInPandas(_chain(width, keys), shape("_stretch", "_entry"))
     placed = lined(points.join(entries, part), part, "_us")
-    return placed.mapInPandas(_replay(width, stretch, keys), shape("_us", "_n", "_opened"))
+    placed = placed.mapInPandas(_replay(width, stretch, keys), shape("_us", "_n", "_opened"))
+    return placed if held is None else placed.unionByName(held)
 
 
 def restarting_windows(df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30) -> DataFrame:

@@ -36,21 +36,17 @@ def read_texts(texts: DataFrame) -> DataFrame:
     return steps.select(
         "expr", F.when(wrapped, "?column?").otherwise(lx.default_name(F.col("masked"))).alias("name"), "kind",
         lx.expression_text(F.col("item"), F.col("masked"), F.col("top"), F.col("kind")).alias("text"),
-        lx.column_references(F.col("item")).alias("refs"),
+        lx.column_references(F.col("item")).alias("refs"), lx.has_subquery(F.col("expr")).alias("has_subquery"),
     )
 
 
-def _has_subquery(column: str):
-    return lx.hide_quotes(F.col(column)).rlike(r"(?i)\bSELECT\b")
-
-
 def extract(items: DataFrame, tables: DataFrame) -> DataFrame:
     """One edge per column occurrence: its source under the name the query uses, and the item's outermost operation.
 
     Unqualified columns belong to the first table of the FROM list, or to ``<unknown>`` without one.
     """
-    plain = items.where(~F.col("is_wildcard") & ~_has_subquery("expr"))
-    refs = plain.join(read_texts(plain), "expr").select(
+    plain = items.where(~F.col("is_wildcard"))
+    refs = plain.join(read_texts(plain).where(~F.col("has_subquery")), "expr").select(
         *_QUERY, "target_table", F.coalesce("target_column", "name").alias("target_column"), F.col("kind").alias("transformation"),
         F.col("text").alias("expression"), F.explode("refs").alias("ref"),
     )
@@ -78,13 +74,14 @@ def default_names(items: DataFrame) -> DataFrame:
 
 def warnings(items: DataFrame) -> DataFrame:
     """Items whose lineage is incomplete: wildcards without a known schema, and subqueries."""
-    wild = F.when(
+    lost = F.when(
         F.col("is_wildcard"), F.concat(F.lit("SELECT "), F.trim("expr"), F.lit(" requires schema lookup - columns not extracted"))
-    ).when(
-        _has_subquery("expr"),
-        F.concat(F.lit("Subquery in expression for column '"), F.coalesce("target_column", F.lit("?column?")), F.lit("' - lineage may be incomplete")),
+    ).otherwise(
+        F.concat(F.lit("Subquery in expression for column '"), F.coalesce("target_column", F.lit("?column?")), F.lit("' - lineage may be incomplete"))
     )
-    return items.select(*_QUERY, "target_table", wild.alias("warning")).where("warning IS NOT NULL")
+    inner = items.where(~F.col("is_wildcard"))
+    nested = inner.join(read_texts(inner).where("has_subquery").select("expr"), "expr", "left_semi").select(*items.columns)
+    return items.where("is_wildcard").unionByName(nested).select(*_QUERY, "target_table", lost.alias("warning"))
 
 
 def expand_wildcards(items: DataFrame, tables: DataFrame, datasets: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:

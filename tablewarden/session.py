@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 20_000
 
 
 def build_session(app: str = "tablewarden", cpus: int | None = None) -> SparkSession:
@@ -58,3 +61,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, label: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed once, and marked for broadcast only when its counted rows are within the bound.
+
+    Beyond it the planner is free to shuffle.
+    """
+    made = settle(df, label)
+    return F.broadcast(made) if made.count() <= max_rows else made

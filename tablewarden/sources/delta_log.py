@@ -7,22 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewarden.functions.fixed_values import DEFAULT_HISTORY_LIMIT, MAX_VERSION_RANGE
 from tablewarden.operators.skew import bucketed_row_number
 
 _TEXT_MAP = "map<string,string>"
-ACTION_SCHEMA = T.StructType.fromDDL(
-    f"""add struct<path:string, partitionValues:{_TEXT_MAP}, size:bigint, modificationTime:bigint, dataChange:boolean, stats:string>,
+ACTION_SCHEMA = f"""add struct<path:string, partitionValues:{_TEXT_MAP}, size:bigint, modificationTime:bigint, dataChange:boolean, stats:string>,
     remove struct<path:string, deletionTimestamp:bigint, dataChange:boolean>,
     metaData struct<id:string, name:string, description:string, schemaString:string, partitionColumns:array<string>, createdTime:bigint>,
     commitInfo struct<timestamp:bigint, operation:string, userName:string, operationParameters:{_TEXT_MAP}>,
     protocol struct<minReaderVersion:int, minWriterVersion:int>"""
-)
-SCHEMA_STRING = T.StructType.fromDDL(
-    "type string, fields array<struct<name:string, type:string, nullable:boolean, metadata:map<string,string>>>"
-)
+SCHEMA_STRING = "type string, fields array<struct<name:string, type:string, nullable:boolean, metadata:map<string,string>>>"
 
 
 def read_log_lines(spark: SparkSession, locations: list[str]) -> DataFrame:
