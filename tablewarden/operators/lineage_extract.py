@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions import lineage_exprs as lx
+from tablewarden.session import settle
 
 _QUERY = ["query_id", "branch"]
 
@@ -27,17 +28,19 @@ def source_tables(tables: DataFrame) -> DataFrame:
 def read_texts(texts: DataFrame) -> DataFrame:
     """(expr, name, kind, text, refs) of each distinct item text: query logs repeat their items.
 
-    Every step is a column of its own, so each mask is computed once.
+    Every step is a column of its own, so each mask is computed once. The result is written out: otherwise
+    a filter on it would be pushed below the ``distinct`` and read every item again.
     """
     steps = texts.select("expr").distinct().withColumn("item", lx.unwrap(F.col("expr")))
     steps = steps.withColumn("masked", lx.mask(F.col("item")))
     steps = steps.withColumn("top", F.trim(lx.collapse_cases(F.col("masked")))).withColumn("kind", lx.operation(F.col("top")))
     wrapped = F.col("item") != F.trim("expr")
-    return steps.select(
+    texts_read = steps.select(
         "expr", F.when(wrapped, "?column?").otherwise(lx.default_name(F.col("masked"))).alias("name"), "kind",
         lx.expression_text(F.col("item"), F.col("masked"), F.col("top"), F.col("kind")).alias("text"),
         lx.column_references(F.col("item")).alias("refs"), lx.has_subquery(F.col("expr")).alias("has_subquery"),
     )
+    return settle(texts_read, "item-texts")
 
 
 def extract(items: DataFrame, tables: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ _LINES = f"""
 
 
 def actions(v):
-    return log.parse_actions(v.sql(_LINES))
+    return log.load_actions(v.sql(_LINES))
 
 
 def _snapshot_sql(version: int) -> str:

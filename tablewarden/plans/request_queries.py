@@ -51,7 +51,7 @@ def throttle_refused(v):
 
 @query(
     "throttle_aligned",
-    f"""SELECT request_id, throttle_key, slot, place FROM (SELECT *, row_number() OVER (PARTITION BY throttle_key, limit_n, slot ORDER BY ts, request_id) AS place
+    f"""SELECT request_id, throttle_key, slot, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY throttle_key, limit_n, slot ORDER BY ts, request_id) AS place
       FROM (SELECT *, time_bucket(INTERVAL {_WINDOW} SECOND, ts, $TS '1970-01-01') AS slot FROM ({_LIMITED}) l) s) p WHERE place > limit_n""",
 )
 def throttle_aligned(v):

@@ -40,8 +40,8 @@ _RESULTS = """SELECT event_id, 'user_' || CAST(user_id AS STRING) AS user_name,
 
 @query(
     "usage_search_appearances",
-    f"""SELECT dataset_id, CAST(ts AS DATE) AS stat_date, 0 AS read_count, count(*) AS search_appearances, 0 AS lineage_queries,
-      0 AS api_calls, count(DISTINCT user_name) AS unique_users
+    f"""SELECT dataset_id, CAST(ts AS DATE) AS stat_date, CAST(0 AS BIGINT) AS read_count, count(*) AS search_appearances,
+      CAST(0 AS BIGINT) AS lineage_queries, CAST(0 AS BIGINT) AS api_calls, count(DISTINCT user_name) AS unique_users
     FROM (SELECT unnest([event_id % 10, event_id % 7, 99]) AS dataset_id, user_name, ts FROM ({_RESULTS}) r) a GROUP BY ALL""",
 )
 def usage_search_appearances(v):

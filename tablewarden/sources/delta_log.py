@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.fixed_values import DEFAULT_HISTORY_LIMIT, MAX_VERSION_RANGE
-from tablewarden.operators.skew import bucketed_row_number
+from tablewarden.operators.skew import bucketed_lag, bucketed_row_number
+from tablewarden.session import settle
 
 _TEXT_MAP = "map<string,string>"
 ACTION_SCHEMA = f"""add struct<path:string, partitionValues:{_TEXT_MAP}, size:bigint, modificationTime:bigint, dataChange:boolean, stats:string>,
@@ -35,6 +36,15 @@ def parse_actions(lines: DataFrame) -> DataFrame:
     return lines.select("location", "version", F.from_json("value", ACTION_SCHEMA).alias("a")).select("location", "version", "a.*")
 
 
+def load_actions(lines: DataFrame) -> DataFrame:
+    """Parsed actions written once as columns: every analysis then reads only the parts it needs, and no JSON twice."""
+    return settle(parse_actions(lines), "delta-actions")
+
+
+def read_actions(spark: SparkSession, locations: list[str]) -> DataFrame:
+    return load_actions(read_log_lines(spark, locations))
+
+
 def _until(actions: DataFrame, version: int | None) -> DataFrame:
     return actions if version is None else actions.where(F.col("version") <= version)
 
@@ -136,8 +146,6 @@ def schema_diff(actions: DataFrame, from_version: int, to_version: int) -> DataF
 
 def schema_changes(actions: DataFrame) -> DataFrame:
     """Schema change of every table at each version that declares a schema, against the one declared before."""
-    from tablewarden.operators.skew import bucketed_lag
-
     declared = schema_versions(actions)
     paired = bucketed_lag(declared, ["location"], ["version"], "schema_string", F.floor(F.col("version") / 1000), "_before")
     paired = paired.where("_before IS NOT NULL")

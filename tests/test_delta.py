@@ -29,7 +29,7 @@ def tables(spark, tmp_path):
     write(a, 2, info("MERGE", 30), {"remove": {"path": "f1", "dataChange": True}}, add("f4", 7, '{"numRecords": 2}'),
           meta(("id", "long", False), ("note", "string", True)))
     write(b, 0, info("CREATE", 5), meta(("id", "integer", True)))
-    return log.parse_actions(log.read_log_lines(spark, [str(a), str(b)])).withColumn("location", F.regexp_extract("location", "[^/]+$", 0))
+    return log.read_actions(spark, [str(a), str(b)]).withColumn("location", F.regexp_extract("location", "[^/]+$", 0))
 
 
 def test_snapshot_follows_versions(tables):
