@@ -51,9 +51,6 @@ def usage_search_appearances(v):
     return ops.daily(ops.search_appearances(lists))
 
 
-_HALF = "FROM {{access_events}} WHERE event_id % 2 = {n} GROUP BY ALL"
-
-
 @query(
     "usage_merge",
     f"""SELECT dataset_id, stat_date, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ops.COUNTERS)}, max(unique_users) AS unique_users
