@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import packing, quality
+from tablewarden.llm import language, packing, quality, token_counts
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,22 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+END_OF_TEXT = 49407  # <|endoftext|> of the word tokenizer
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    model = language.fit(docs.where(~F.col("held_out")).select("lang", "text"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, folder, "documents"), WORD_TOKENIZER, END_OF_TEXT)
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER)
@@ -37,8 +53,8 @@ WITH base AS (
 ), counted AS (
   SELECT doc_id, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
     words
   FROM base
 ), windows AS (
