@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import language, packing, quality, token_counts
+from tablewarden.llm import language, packing, pii, quality, token_counts
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,15 @@ FROM judged LEFT JOIN rates ON source = host
 """
 
 
+PII_KEY = "an example key; give your own"
+
+
+@query("op3_feistel_pseudonyms")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY, changed="n_replaced")
+
+
 @query("op6_host_rules", _HOST_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents").select("doc_id", "source", "text"))
