@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import language, packing, pii, quality, token_counts
+from tablewarden.llm import language, mixing, packing, pii, quality, token_counts, url_filters
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,53 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_TOKENIZER)
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+LISTED_TERMS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+
+_URL_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rest
+), split AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut
+), rules(action, rule, domain, prefix) AS (
+  VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+    ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), fitting AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM split JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id
+)
+SELECT s.page_id, host, path, rule,
+  coalesce(action, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN fitting f ON s.page_id = f.page_id
+"""
+
+
+@query("op5_bloom_cascade", _URL_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    listed = F.arrays_overlap(F.split("key", "[.-]"), F.array(*[F.lit(t) for t in LISTED_TERMS]))
+    judged = url_filters.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES, listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+MIX_WEIGHTS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The labelled table as (doc_id, domain)."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op7_soft_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    rated, model = mixing.with_rates(docs, domains(labels), MIX_WEIGHTS)
+    shares = [F.get("__p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return rated.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), *shares, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+
+
 _HOST_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
