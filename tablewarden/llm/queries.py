@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import language, mixing, packing, pii, quality, token_counts, url_filters
+from tablewarden.llm import language, mixing, neighbours, packing, pii, quality, token_counts, url_filters
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents").select("doc_id", "source", "text"))
     counts = [F.col(f"__{c}").alias(c) for c in quality.COUNTS]
     return judged.select("doc_id", *counts, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+@query("op9_kmeans_tree_search")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    index = neighbours.build(vectors)
+    return neighbours.search(index, vectors.where(F.col("vec_id") % 50 == 0))
