@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import language, mixing, neighbours, packing, pii, quality, token_counts, url_filters
+from tablewarden.llm import jaccard, language, mixing, neighbours, packing, pii, quality, token_counts, url_filters
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,31 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     index = neighbours.build(vectors)
     return neighbours.search(index, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), cut AS (
+  SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [1] ELSE range(1, len(w) - 2) END) AS i FROM words
+), items AS (
+  SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END) AS s FROM cut
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM items x JOIN items y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * i >= 85 * (p.n + q.n - i)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS node, a AS other FROM sides UNION SELECT node, b FROM reach JOIN sides ON other = a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id LEFT JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) r ON d.doc_id = node
+"""
+
+
+@query("op10_universe_partition_join", _JACCARD_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, folder, "documents"))
