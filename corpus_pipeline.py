@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import packing, quality
+from tablewarden.llm import jaccard, mixing, packing, pii, quality
 from tablewarden.llm.common import keep, table
-from tablewarden.llm.queries import WORD_TOKENIZER
+from tablewarden.llm.queries import MIX_WEIGHTS, PII_KEY, WORD_TOKENIZER, domains
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by pseudonyms."""
+    return pii.pseudonymize(docs, PII_KEY)
+
+
+def soft_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture wants them."""
+    return mixing.mix(docs, domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of 2,048 tokens."""
     return packing.pack(docs, WORD_TOKENIZER)
@@ -21,9 +36,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("feistel_pseudonyms", feistel_pseudonyms),
+    ("soft_mixing", soft_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 
+#: Tokens and the solver's rates are beyond SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 

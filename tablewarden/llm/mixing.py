@@ -137,18 +137,23 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total
     return steps
 
 
-def with_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text", total: float | None = None) -> tuple[DataFrame, Classifier]:
-    """``docs`` with ``__n``, ``__p``, the fitted ``__rate``, and ``__copies``: the rate rounded at random by a hash, right on average."""
-    model = fit(labelled, docs, text=text)
-    small = keep(score(docs.select(F.col(f"`{text}`")), model, text).select("__n", "__p"), "posteriors")
-    steps = solve(small, model, weights, total)
-    rated = score(docs, model, text).withColumn("__rate", chain(steps))
+def with_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Classifier]:
+    """(doc, doc_id, __n, __p, __rate, __copies), ``doc`` with all columns of ``docs``.
+
+    Copies are the rate rounded up or down by a hash of the id, right on average.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    model = fit(labelled, whole)
+    small = keep(score(whole.select("text"), model).select("__n", "__p"), "posteriors")
+    steps = solve(small, model, weights)
+    rated = score(whole, model).drop("text").withColumn("__rate", chain(steps))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     more = (chance < F.col("__rate") - F.floor("__rate")).cast("int")
     return rated.withColumn("__copies", F.floor("__rate").cast("int") + more), model
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document as often as its copies say, with its columns as they are."""
-    rated, _ = with_rates(docs, labelled, weights, text)
-    return rated.withColumn("__copy", F.explode(F.expr("if(__copies > 0, sequence(1, __copies), array())"))).select(*[f"`{c}`" for c in docs.columns])
+    rated, _ = with_rates(docs, labelled, weights, doc_id, text)
+    times = F.expr("if(__copies > 0, sequence(1, __copies), array())")
+    return rated.select("doc", F.explode(times).alias("copy")).select("doc.*")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import words as W
-from tablewarden.llm.common import fresh_name, keep
+from tablewarden.llm.common import keep
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -143,10 +143,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", host_limit:
 
 def filter_documents(docs: DataFrame, host: str = "source", text: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass, with their columns as they are."""
-    columns = [f"`{c}`" for c in docs.columns]
-    counted = with_counts(docs.select(*[c for c in dict.fromkeys([f"`{host}`", f"`{text}`"])]), text, keep_text=False)
-    rejected = host_rates(counted, host).where(F.col("rate") > host_limit).select(F.col("host").alias("__rejected"))
-    passed = with_counts(docs, text).where(~any_rule()).select(*columns)
-    name = fresh_name(docs.columns, "__rejected")
-    rejected = keep(rejected.withColumnRenamed("__rejected", name), "rejected")
-    return passed.join(rejected, passed[f"`{host}`"] == rejected[name], "left_anti")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{host}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    counted = with_counts(whole.select("source", "text"), keep_text=False)
+    rejected = keep(host_rates(counted).where(F.col("rate") > host_limit).select(F.col("host").alias("rejected")), "rejected")
+    passed = with_counts(whole, keep_text=False).where(~any_rule())
+    return passed.join(rejected, passed["source"] == rejected["rejected"], "left_anti").select("doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import jaccard, language, mixing, neighbours, packing, pii, quality, token_counts, url_filters
+from tablewarden.llm import jaccard, language, mixing, neighbours, packing, pii, quality, repeats, token_counts, url_filters
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,29 @@ FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id LEFT JOIN (SELECT node
 @query("op10_universe_partition_join", _JACCARD_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_documents(table(spark, folder, "documents"))
+
+
+_REPEATS_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35
+), windows AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM repeated
+), removed AS (
+  SELECT r, list(i) AS places FROM gone GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string([x.x FOR x IN list_filter(list_transform(w, lambda x, i: {'x': x, 'i': i}), lambda y: NOT coalesce(list_contains(places, y.i), false))], ' ')) AS kept_sha256
+FROM words LEFT JOIN removed ON words.r = removed.r
+"""
+
+
+@query("op4_seed_and_extend", _REPEATS_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
