@@ -57,7 +57,7 @@ def json_string_list(col: Column) -> Column:
     return F.coalesce(F.from_json(col, "array<string>"), F.array().cast("array<string>"))
 
 
-def page(df, limit: int | None, offset: int | None, default: int, maximum: int, minimum: int = 0):
-    """One page of an already ordered frame, with the service's bounds on its size."""
-    size = max(min(default if limit is None else limit, maximum), minimum)
-    return df.offset(max(offset or 0, 0)).limit(size)
+def page(df, limit: int | None, offset: int | None):
+    """One page of an already ordered frame: all rows after ``offset``, or the first ``limit`` of them."""
+    rest = df.offset(offset) if offset else df
+    return rest if limit is None else rest.limit(limit)

@@ -13,7 +13,6 @@ DEFAULT_PII_RULES = [
     (5, "ip_address_detection", 30, [r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"],
      ["ip", "ip_address", "client_ip", "source_ip"]),
 ]
-MAX_PATTERN_LENGTH = 1000
 NAME_MATCH_CONFIDENCE = 0.9
 UNKNOWN_CONFIDENCE = 0.5
 
@@ -33,8 +32,6 @@ SMALL_FILE_BYTES = 128 * 1024 * 1024
 QUALITY_WEIGHTS = {"completeness_score": 0.4, "freshness_score": 0.4, "file_health_score": 0.2}
 
 # --- Fixed values: lineage ---
-DEFAULT_LINEAGE_DEPTH = 10
-MAX_LINEAGE_DEPTH = 50
 MAX_LINEAGE_COLUMN_BYTES = 256
 
 # --- Fixed values: name limits (bytes) ---
@@ -42,7 +39,6 @@ MAX_DATASET_NAME = 255
 MAX_FIELD_NAME = 255
 MAX_TAG = 100
 MAX_IDENTIFIER = 100
-MAX_SEARCH_QUERY = 500
 MAX_CONTRACT_NAME = 128
 MAX_CONTRACT_PATTERN = 256
 MAX_URL = 2048
@@ -51,9 +47,7 @@ MAX_URL = 2048
 ALERT_COOLDOWN_SECS = 3600
 
 # --- Fixed values: usage ---
-MAX_UNIQUE_USERS_PER_DAY = 10_000
 PERIOD_DAYS = {"1d": 1, "7d": 7, "30d": 30, "90d": 90}
-DEFAULT_PERIOD_DAYS = 7
 
 # --- Fixed values: throttling (requests per window) ---
 THROTTLE_WINDOW_SECS = 60
@@ -65,10 +59,3 @@ THROTTLE_STATE_TTL_SECS = 600
 # --- Fixed values: request latency buckets (seconds) ---
 LATENCY_BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
-# --- Fixed values: schema diff ---
-MAX_VERSION_RANGE = 100
-DEFAULT_HISTORY_LIMIT = 10
-
-# --- Fixed values: paging ---
-DEFAULT_PAGE = 100
-MAX_PAGE = 1000

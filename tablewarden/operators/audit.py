@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import page
-from tablewarden.functions.fixed_values import DEFAULT_PAGE, MAX_PAGE
 
 
 def snapshot_events(before: DataFrame, after: DataFrame, key: str, entity_type: str) -> DataFrame:
@@ -39,11 +38,11 @@ def log_page(log: DataFrame, limit: int | None = None, offset: int | None = None
     """One page of the log, newest first, with the number of all matching events."""
     found = log_filter(log, **filters)
     total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
-    shown = page(found.orderBy(F.desc("timestamp"), F.desc("id")), limit, offset, DEFAULT_PAGE, MAX_PAGE)
+    shown = page(found.orderBy(F.desc("timestamp"), F.desc("id")), limit, offset)
     return shown.withColumn("total", total)
 
 
 def append(log_folder: str, events: DataFrame) -> None:
-    """Append a batch of events to the stored log, partitioned by day."""
-    dated = events.withColumn("log_date", F.col("timestamp").cast("date"))
+    """Append a batch of events to the stored log, partitioned by day: few files for a day, several for a crowded one."""
+    dated = events.withColumn("log_date", F.col("timestamp").cast("date")).hint("rebalance", F.col("log_date"))
     dated.write.mode("append").partitionBy("log_date").parquet(log_folder)

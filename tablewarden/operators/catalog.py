@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import page
-from tablewarden.functions.fixed_values import DEFAULT_PAGE, MAX_PAGE
 
 
 def listing(datasets: DataFrame, tenant: str | None = None, domain: str | None = None) -> DataFrame:
@@ -74,7 +73,7 @@ def domain_counts(domains: DataFrame, datasets: DataFrame, limit: int | None = N
     """Active domains with their number of datasets (also none), by name."""
     counted = datasets.where("domain IS NOT NULL").groupBy(F.col("domain").alias("name")).agg(F.count("id").alias("n"))
     active = domains.where("is_active").select("name").join(counted, "name", "left")
-    return page(active.select("name", F.coalesce("n", F.lit(0)).alias("dataset_count")).orderBy("name"), limit, offset, DEFAULT_PAGE, MAX_PAGE)
+    return page(active.select("name", F.coalesce("n", F.lit(0)).alias("dataset_count")).orderBy("name"), limit, offset)
 
 
 def domain_datasets(domains: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -118,4 +117,4 @@ def remove_tags(tags: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def owner_list(owners: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
-    return page(owners.orderBy("name", "owner_id"), limit, offset, DEFAULT_PAGE, MAX_PAGE)
+    return page(owners.orderBy("name", "owner_id"), limit, offset)

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import page
 from tablewarden.functions.fixed_values import (
-    DEFAULT_PAGE,
     DEFAULT_PII_RULES,
-    MAX_PAGE,
-    MAX_PATTERN_LENGTH,
     NAME_MATCH_CONFIDENCE,
     UNKNOWN_CONFIDENCE,
 )
@@ -79,11 +76,8 @@ def classify_by_content(df: DataFrame, text_columns: list[str], rules=None, whol
     for i, c in enumerate(text_columns):
         aggs.append(F.count(c).alias(f"_v{i}"))
         for j, (name, patterns) in enumerate(rules):
-            usable = [p for p in patterns if len(p) <= MAX_PATTERN_LENGTH]
-            if not usable:
-                continue
             hit = F.lit(False)
-            for p in usable:
+            for p in patterns:
                 hit = hit | F.col(c).rlike(p if whole_values else _free(p))
             aggs.append(F.count_if(hit).alias(f"_m{i}_{j}"))
             rows.append(
@@ -157,4 +151,4 @@ def pii_totals(inventory: DataFrame) -> DataFrame:
 
 
 def list_rules(rules: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
-    return page(rules.orderBy("priority", "name"), limit, offset, DEFAULT_PAGE, MAX_PAGE)
+    return page(rules.orderBy("priority", "name"), limit, offset)

@@ -18,27 +18,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewarden.functions.exprs import epoch_us
+from tablewarden.operators.skew import join_null_safe
 
 _NO_ENTRY = -(2**62)
 
 
 def _whole_groups(blocks: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Regroup sorted blocks so that none ends inside a group; with the row at which each group starts."""
-    rest = None
+    held: list[pd.DataFrame] = []  # pieces of one group that may go on
     for block in blocks:
-        if rest is not None:
-            block = pd.concat([rest, block], ignore_index=True)
         if len(block) == 0:
             continue
+        if held and all(held[-1][k].iloc[-1] == block[k].iloc[-1] for k in keys):
+            held.append(block)
+            continue
+        block = pd.concat([*held, block], ignore_index=True) if held else block
         starts = _group_starts(block, keys)
         cut = int(starts[-1])
-        rest = block.iloc[cut:].reset_index(drop=True)
+        held = [block.iloc[cut:].reset_index(drop=True)]
         if cut:
             yield block.iloc[:cut], starts[:-1]
-    if rest is not None and len(rest):
+    if held:
+        rest = pd.concat(held, ignore_index=True)
         yield rest, _group_starts(rest, keys)
 
 
@@ -140,43 +143,47 @@ def _replay(width: int, stretch: int, keys: list[str]):
     return run
 
 
+def _key_text(keys: list[str]):
+    """The keys as one text that is never NULL, and its inverse."""
+    return F.to_json(F.struct(*[F.col(k) for k in keys]))
+
+
 def restarting_points(
     df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30, carried: DataFrame | None = None
 ) -> DataFrame:
     """(keys, _us, _n, _opened): each distinct event time of a key, its events, and when its window was opened.
 
     ``carried`` (keys, _carried) names windows still open from before; events too early to open the
-    next one belong to them.
+    next one belong to them, those from before it open windows of their own. NULL is a key like any other; an event without a time is in no window (NULL).
     """
     width = width_secs * 1_000_000
     stretch = width * widths_per_stretch
     us = epoch_us(ts)
-    points = (
-        df.select(*keys, F.floor(us / F.lit(stretch)).cast("bigint").alias("_stretch"), us.alias("_us"))
-        .groupBy(*keys, "_stretch", "_us").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    kinds = [T.StructField(k, df.schema[k].dataType) for k in keys]
-    shape = lambda *names: T.StructType(kinds + [T.StructField(n, T.LongType()) for n in names])
+    shape = df.select(*keys).schema
+    counted = df.select(_key_text(keys).alias("_key"), F.floor(us / F.lit(stretch)).cast("bigint").alias("_stretch"), us.alias("_us"))
+    counted = counted.groupBy("_key", "_stretch", "_us").agg(F.count(F.lit(1)).alias("_n"))
+    timeless = counted.where("_us IS NULL").select("_key", "_us", "_n", F.lit(None).cast("bigint").alias("_opened"))
+    points = counted.where("_us IS NOT NULL")
+    part = ["_key", "_stretch"]
     lined = lambda frame, by, *order: frame.repartition(*by).sortWithinPartitions(*by, *order)
 
-    held = None
+    held = timeless
     if carried is not None:
-        met = points.join(carried, keys, "left")
-        early = F.coalesce(F.col("_us") < F.col("_carried") + width, F.lit(False))
-        held = met.where(early).select(*keys, "_us", "_n", F.col("_carried").alias("_opened"))
+        met = points.join(carried.select(_key_text(keys).alias("_key"), "_carried"), "_key", "left")
+        early = F.coalesce((F.col("_us") >= F.col("_carried")) & (F.col("_us") < F.col("_carried") + width), F.lit(False))
+        held = held.unionByName(met.where(early).select("_key", "_us", "_n", F.col("_carried").alias("_opened")))
         points = met.where(~early).drop("_carried")
-    part = [*keys, "_stretch"]
-    steps = lined(points, part, "_us").mapInPandas(_summarise(width, stretch, keys), shape("_stretch", "_admits", "_leaves"))
-    entries = lined(steps, keys, "_stretch", "_admits").mapInPandas(_chain(width, keys), shape("_stretch", "_entry"))
+    steps = lined(points, part, "_us").mapInPandas(_summarise(width, stretch, ["_key"]), "_key string, _stretch long, _admits long, _leaves long")
+    entries = lined(steps, ["_key"], "_stretch", "_admits").mapInPandas(_chain(width, ["_key"]), "_key string, _stretch long, _entry long")
     placed = lined(points.join(entries, part), part, "_us")
-    placed = placed.mapInPandas(_replay(width, stretch, keys), shape("_us", "_n", "_opened"))
-    return placed if held is None else placed.unionByName(held)
+    placed = placed.mapInPandas(_replay(width, stretch, ["_key"]), "_key string, _us long, _n long, _opened long").unionByName(held)
+    return placed.withColumn("_key", F.from_json("_key", shape)).select("_key.*", "_us", "_n", "_opened")
 
 
 def restarting_windows(df: DataFrame, keys: list[str], ts: str, width_secs: int, widths_per_stretch: int = 30) -> DataFrame:
     """``df`` with ``_opened``, the microsecond at which the window holding the event was opened."""
     placed = restarting_points(df, keys, ts, width_secs, widths_per_stretch).drop("_n")
-    return df.withColumn("_us", epoch_us(ts)).join(placed, [*keys, "_us"])
+    return join_null_safe(df.withColumn("_us", epoch_us(ts)), placed, [*keys, "_us"])
 
 
 def window_counts(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,5 +195,5 @@ def opening_events(df: DataFrame, keys: list[str], ts: str, width_secs: int, tie
     """The rows of ``df`` that open a window; of several at the same time the one with the smallest ``tie``."""
     opens = restarting_points(df, keys, ts, width_secs, widths_per_stretch).where(F.col("_us") == F.col("_opened"))
     rest = [c for c in df.columns if c not in keys]
-    first = df.withColumn("_us", epoch_us(ts)).join(opens.select(*keys, "_us"), [*keys, "_us"], "left_semi")
+    first = join_null_safe(df.withColumn("_us", epoch_us(ts)), opens.select(*keys, "_us"), [*keys, "_us"], "left_semi")
     return first.groupBy(*keys, "_us").agg(F.min_by(F.struct(*rest), F.col(tie)).alias("_r")).select(*keys, "_r.*").select(*df.columns)

@@ -4,35 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.fixed_values import (
-    ANONYMISING_WORDS,
-    DEFAULT_LINEAGE_DEPTH,
-    MAX_LINEAGE_COLUMN_BYTES,
-    MAX_LINEAGE_DEPTH,
-)
-from tablewarden.session import settle
-
-ROWS_PER_SLOT = 1_000_000
-MAX_HOT_NODES = 100_000
-
-
-def clamp_depth(depth: int | None) -> int:
-    return max(1, min(DEFAULT_LINEAGE_DEPTH if depth is None else depth, MAX_LINEAGE_DEPTH))
+from tablewarden.functions.fixed_values import ANONYMISING_WORDS, MAX_LINEAGE_COLUMN_BYTES
+from tablewarden.session import settle, settle_counted
 
 
 class _Graph:
-    """Edges laid out by the node a step starts from, with hot nodes spread over several slots.
+    """Edges by the column a step starts from, written once.
 
-    Without this, a node that owns a third of the edges would be one task in every step. A node
-    is hot above ``rows_per_slot`` edges, so at most edges / rows_per_slot nodes are hot: that
-    bounds the broadcast hot list, and below ``rows_per_slot`` edges there can be none.
+    Levels are written too, so the planner knows their sizes: it broadcasts a small frontier and then moves no edge; with
+    a large one it splits the columns that own too many edges or labels (adaptive skew join).
     """
 
-    def __init__(self, edges: DataFrame, downstream: bool, rows_per_slot: int = ROWS_PER_SLOT):
+    def __init__(self, edges: DataFrame, downstream: bool):
         near, far = ("source", "target") if downstream else ("target", "source")
         shaped = edges.select(
             F.col(f"{near}_dataset_id").alias("at_ds"),
@@ -42,62 +28,51 @@ class _Graph:
             "transformation_type",
             "expression",
         )
-        self.hot = None
-        total = shaped.count()
-        if total > rows_per_slot:
-            per_slot = max(rows_per_slot, -(-total // MAX_HOT_NODES))
-            degree = shaped.groupBy("at_ds", "at_col").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_slot)
-            hot = degree.select("at_ds", "at_col", F.ceil(F.col("_n") / per_slot).cast("int").alias("slots"))
-            self.hot = settle(hot, "hot-nodes")
-            slot = F.pmod(F.xxhash64("dataset_id", "column_name", "expression"), F.coalesce("slots", F.lit(1)))
-            shaped = shaped.join(F.broadcast(self.hot), ["at_ds", "at_col"], "left")
-            shaped = shaped.withColumn("slot", slot.cast("int")).drop("slots")
-            shaped = shaped.repartition("at_ds", "at_col", "slot")
-            self.keys = ["at_ds", "at_col", "slot"]
-        else:
-            shaped = shaped.repartition("at_ds", "at_col")
-            self.keys = ["at_ds", "at_col"]
-        self.edges = shaped.persist(StorageLevel.MEMORY_AND_DISK)
+        self.edges = settle(shaped, "lineage-edges")
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """Edges leaving the frontier; the frontier's other columns are carried along."""
-        if self.hot is not None:
-            frontier = frontier.join(F.broadcast(self.hot), ["at_ds", "at_col"], "left")
-            slots = F.sequence(F.lit(0), F.coalesce(F.col("slots"), F.lit(1)) - 1)
-            frontier = frontier.withColumn("slot", F.explode(slots)).drop("slots")
-        return frontier.join(self.edges, self.keys).drop("at_ds", "at_col", "slot")
-
-    def close(self) -> None:
-        self.edges.unpersist()
+        return frontier.join(self.edges, ["at_ds", "at_col"]).drop("at_ds", "at_col")
 
 
 def _next_frontier(level: DataFrame, labels: list[str]) -> DataFrame:
     return level.select(*labels, F.col("dataset_id").alias("at_ds"), F.col("column_name").alias("at_col")).distinct()
 
 
-def traverse(
-    edges: DataFrame, roots: DataFrame, downstream: bool, max_depth: int | None = None, rows_per_slot: int = ROWS_PER_SLOT
-) -> DataFrame:
+def _unseen(state: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of ``state`` that are not in ``seen``; NULL equals NULL."""
+    same = reduce(lambda a, b: a & b, [state[c].eqNullSafe(seen[c]) for c in state.columns])
+    return state.join(seen, same, "left_anti")
+
+
+def _in_range(depth: int, max_depth: int | None) -> bool:
+    return max_depth is None or depth <= max_depth
+
+
+def traverse(edges: DataFrame, roots: DataFrame, downstream: bool, max_depth: int | None = None) -> DataFrame:
     """Every edge end reachable from each root, once per depth at which it is reached.
 
     ``roots`` has (dataset_id, column_name) and any number of label columns, which are carried
     along. Duplicates are removed at each level, so the many paths of a dense graph do not
-    multiply; cycles end at ``max_depth``.
+    multiply. Without ``max_depth`` the walk ends with the first level that reaches no new column.
     """
     labels = [c for c in roots.columns if c not in ("dataset_id", "column_name")]
-    graph = _Graph(edges, downstream, rows_per_slot)
+    state = [*labels, "dataset_id", "column_name"]
+    graph = _Graph(edges, downstream)
     frontier = roots.select(*labels, F.col("dataset_id").alias("at_ds"), F.col("column_name").alias("at_col")).distinct()
-    found = []
-    try:
-        for depth in range(1, clamp_depth(max_depth) + 1):
-            level = settle(graph.step(frontier).distinct().withColumn("depth", F.lit(depth)), "lineage-level")
-            found.append(level)
-            if level.isEmpty():
+    found, depth = [], 1
+    while _in_range(depth, max_depth):
+        level, n = settle_counted(graph.step(frontier).distinct().withColumn("depth", F.lit(depth)), "lineage-level")
+        seen, depth = found[:], depth + 1
+        found.append(level)
+        if not n:
+            break
+        if max_depth is None and seen:
+            known = reduce(DataFrame.unionByName, seen).select(*state).distinct()
+            if _unseen(level.select(*state), known).isEmpty():
                 break
-            frontier = _next_frontier(level, labels)
-    finally:
-        graph.close()
-    return reduce(DataFrame.unionByName, found)
+        frontier = _next_frontier(level, labels)
+    return reduce(DataFrame.unionByName, found) if found else graph.step(frontier).where("false").withColumn("depth", F.lit(0))
 
 
 def _named(reached: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -166,28 +141,23 @@ def impact_summary(affected: DataFrame) -> DataFrame:
     )
 
 
-def first_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def first_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(labels, dataset_id, column_name, depth): the shortest distance from each label to each column.
 
     Labels already known at a column are not expanded again, so the state is one row per
-    (label, column) whatever the number of paths, and cycles end by themselves.
+    (label, column) whatever the number of paths, and cycles end by themselves: no depth is needed.
     """
     labels = [c for c in roots.columns if c not in ("dataset_id", "column_name")]
     state = [*labels, "dataset_id", "column_name"]
-    graph = _Graph(edges, True, rows_per_slot)
-    seen = settle(roots.select(*state).distinct().withColumn("depth", F.lit(0)), "reach-0")
-    level, found = seen, [seen]
-    try:
-        for depth in range(1, clamp_depth(max_depth) + 1):
-            frontier = _next_frontier(level, labels)
-            reached = graph.step(frontier).select(*state).distinct()
-            known = reduce(DataFrame.unionByName, found).select(*state)
-            level = settle(reached.join(known, state, "left_anti").withColumn("depth", F.lit(depth)), "reach")
-            if level.isEmpty():
-                break
-            found.append(level)
-    finally:
-        graph.close()
+    graph = _Graph(edges, True)
+    level, n = settle_counted(roots.select(*state).distinct().withColumn("depth", F.lit(0)), "reach")
+    found, depth = [level], 1
+    while n and _in_range(depth, max_depth):
+        reached = graph.step(_next_frontier(level, labels)).select(*state).distinct()
+        known = reduce(DataFrame.unionByName, found).select(*state)
+        level, n = settle_counted(_unseen(reached, known).withColumn("depth", F.lit(depth)), "reach")
+        found.append(level)
+        depth += 1
     return reduce(DataFrame.unionByName, found).where("depth > 0")
 
 
@@ -232,7 +202,7 @@ def check_edges(edges: DataFrame) -> DataFrame:
     bytes_of = [F.octet_length(F.col(n)) for n in names]
     blank = reduce(lambda a, b: a | b, [F.coalesce(F.col(n), F.lit("")) == "" for n in names])
     long = reduce(lambda a, b: a | b, [n > MAX_LINEAGE_COLUMN_BYTES for n in bytes_of])
-    bad_id = (F.col("source_dataset_id") <= 0) | (F.col("target_dataset_id") <= 0)
+    bad_id = ~F.coalesce((F.col("source_dataset_id") > 0) & (F.col("target_dataset_id") > 0), F.lit(False))
     reason = F.when(bad_id, "dataset id not positive").when(blank, "empty column name").when(long, "column name too long")
     return edges.withColumn("transformation_type", F.lower("transformation_type")).withColumn("reason", reason)
 

@@ -78,9 +78,9 @@ def default_names(items: DataFrame) -> DataFrame:
 def warnings(items: DataFrame) -> DataFrame:
     """Items whose lineage is incomplete: wildcards without a known schema, and subqueries."""
     lost = F.when(
-        F.col("is_wildcard"), F.concat(F.lit("SELECT "), F.trim("expr"), F.lit(" requires schema lookup - columns not extracted"))
+        F.col("is_wildcard"), F.concat(F.lit("columns unknown: "), F.trim("expr"))
     ).otherwise(
-        F.concat(F.lit("Subquery in expression for column '"), F.coalesce("target_column", F.lit("?column?")), F.lit("' - lineage may be incomplete"))
+        F.concat(F.lit("subquery not read: "), F.coalesce("target_column", F.lit("?column?")))
     )
     inner = items.where(~F.col("is_wildcard"))
     nested = inner.join(read_texts(inner).where("has_subquery").select("expr"), "expr", "left_semi").select(*items.columns)

@@ -17,8 +17,16 @@ FILE_STATS_SCHEMA = (
 )
 
 
+_NUMBERS = {"whole": "decimal(38,0)", "exact": "decimal(38,18)", "double": "double"}
+
+
 def parse_file_stats(files: DataFrame) -> DataFrame:
-    """File rows (dataset_id, path, size, stats JSON) with ``parsed``; unreadable stats are flagged, absent ones are not."""
+    """File rows (dataset_id, path, size, stats JSON) with ``parsed``; unreadable stats are flagged, absent ones are not.
+
+    Rows that are parsed already stay as they are.
+    """
+    if "parsed" in files.columns:
+        return files
     parsed = F.from_json(
         "stats", FILE_STATS_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     )
@@ -41,8 +49,8 @@ def table_stats(files: DataFrame, key: str = "dataset_id") -> DataFrame:
 def column_stats(files: DataFrame, schemas: DataFrame, key: str = "dataset_id") -> DataFrame:
     """Null count and true minimum and maximum per column, from file statistics alone.
 
-    ``schemas`` has (key, column_name, data_type); numeric columns are compared as numbers. The
-    statistics are summed per column before they meet the schema, so wide or hot tables shuffle little.
+    ``schemas`` has (key, column_name, data_type); whole numbers and decimals are compared exactly, floating ones as doubles,
+    and shown as the files have them. The statistics are summed per column before they meet the schema, so wide or hot tables shuffle little.
     """
     parsed = parse_file_stats(files).where("parsed IS NOT NULL")
     names = F.array_distinct(
@@ -57,27 +65,39 @@ def column_stats(files: DataFrame, schemas: DataFrame, key: str = "dataset_id")
         F.try_element_at("parsed.minValues", F.col("column_name")).alias("lo"),
         F.try_element_at("parsed.maxValues", F.col("column_name")).alias("hi"),
     )
-    number = lambda c: F.col(c).try_cast("double")
     summed = per_file.groupBy(key, "column_name").agg(
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_count"),
         F.min("lo").alias("lo_text"),
         F.max("hi").alias("hi_text"),
-        F.min(number("lo")).alias("lo_number"),
-        F.max(number("hi")).alias("hi_number"),
+        *[F.min_by("lo", F.col("lo").try_cast(kind)).alias(f"lo_{name}") for name, kind in _NUMBERS.items()],
+        *[F.max_by("hi", F.col("hi").try_cast(kind)).alias(f"hi_{name}") for name, kind in _NUMBERS.items()],
     )
     joined = schemas.select(key, "column_name", "data_type").join(summed, [key, "column_name"], "left")
-    numeric = F.lower("data_type").rlike(r"^(byte|short|int|integer|long|bigint|smallint|tinyint|float|double|real|decimal)")
+    kind = F.lower("data_type")
+    shown = lambda end: (
+        F.when(kind.rlike(r"^(byte|short|int|integer|long|bigint|smallint|tinyint)\b"), F.col(f"{end}_whole"))
+        .when(kind.rlike(r"^(decimal|numeric)\b"), _with_scale(F.col(f"{end}_exact"), kind))
+        .when(kind.rlike(r"^(float|double|real)\b"), F.col(f"{end}_double"))
+        .otherwise(F.col(f"{end}_text"))
+    )
     return joined.select(
         key,
         "column_name",
         "data_type",
         "null_count",
-        F.when(numeric, F.col("lo_number").cast("string")).otherwise(F.col("lo_text")).alias("min_value"),
-        F.when(numeric, F.col("hi_number").cast("string")).otherwise(F.col("hi_text")).alias("max_value"),
+        shown("lo").alias("min_value"),
+        shown("hi").alias("max_value"),
         F.lit(None).cast("bigint").alias("distinct_count"),
     )
 
 
+def _with_scale(text: Column, kind: Column) -> Column:
+    """A decimal's text with the digits after the point that its declared type has."""
+    scale = F.coalesce(F.regexp_extract(kind, r",\s*(\d+)", 1).try_cast("int"), F.lit(0))
+    whole, part = F.substring_index(text, ".", 1), F.when(text.contains("."), F.substring_index(text, ".", -1)).otherwise("")
+    return F.when(scale > 0, F.concat(whole, F.lit("."), F.rpad(part, F.greatest(scale, F.length(part)), F.lit("0")))).otherwise(text)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One pass over data: (column_name, row_count, null_count, min_value, max_value) per column."""
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
@@ -124,11 +144,12 @@ def overall() -> Column:
 
 
 def scores(stats: DataFrame, nulls: DataFrame, updated: DataFrame, config: DataFrame, as_of: Column) -> DataFrame:
-    """All four scores for every table.
+    """All four scores for every table of ``updated`` (dataset_id, last_updated), those without files or rows too.
 
-    stats: ``table_stats``; nulls: (dataset_id, null_count, column_count); updated: (dataset_id, last_updated).
+    stats: ``table_stats``; nulls: (dataset_id, null_count, column_count).
     """
-    base = stats.join(nulls, "dataset_id", "left").join(updated, "dataset_id", "left").join(config, "dataset_id", "left")
+    base = updated.join(stats, "dataset_id", "left").join(nulls, "dataset_id", "left").join(config, "dataset_id", "left")
+    base = base.fillna(0, ["row_count", "num_files", "size_bytes"])
     columns = F.coalesce(F.col("column_count"), F.lit(0))
     stale = seconds_between(as_of, F.col("last_updated"))
     small = estimated_small_files(F.col("size_bytes"), F.col("num_files"))

@@ -14,6 +14,7 @@ from tablewarden.functions.fixed_values import (
     TIER_LIMITS,
 )
 from tablewarden.operators.greedy import restarting_points, window_counts
+from tablewarden.operators.skew import bucketed_row_number, join_null_safe
 from tablewarden.session import settle
 
 
@@ -60,17 +61,13 @@ def throttle_windows(limited: DataFrame, window_secs: int = THROTTLE_WINDOW_SECS
 
 
 def throttle_refused(limited: DataFrame, window_secs: int = THROTTLE_WINDOW_SECS) -> DataFrame:
-    """The refused requests themselves.
-
-    Only windows above their limit are ordered, and a window holds no more than its own seconds of one key.
-    """
+    """The refused requests themselves: of each crowded window those whose place is above the limit, counted by seconds."""
     keys = ["throttle_key", "limit"]
     points = settle(restarting_points(limited, keys, "ts", window_secs), "throttle-points")
     over = window_counts(points, keys).where(F.col("requests") > F.col("limit")).select(*keys, "_opened")
-    crowded = points.join(over, [*keys, "_opened"], "left_semi").drop("_n")
-    order = Window.partitionBy(*keys, "_opened").orderBy("_us", "request_id")
-    events = limited.withColumn("_us", epoch_us("ts")).join(crowded, [*keys, "_us"])
-    ranked = events.withColumn("place", F.row_number().over(order))
+    crowded = join_null_safe(points, over, [*keys, "_opened"], "left_semi").drop("_n")
+    events = join_null_safe(limited.withColumn("_us", epoch_us("ts")), crowded, [*keys, "_us"])
+    ranked = bucketed_row_number(events, [*keys, "_opened"], ["_us", "request_id"], F.floor(F.col("_us") / 1_000_000), "place")
     return ranked.where(F.col("place") > F.col("limit")).select("request_id", "throttle_key", "ts")
 
 
@@ -79,9 +76,9 @@ def throttle_aligned(limited: DataFrame, window_secs: int = THROTTLE_WINDOW_SECS
     slotted = limited.withColumn("slot", F.window("ts", f"{window_secs} seconds")["start"])
     keys = ["throttle_key", "limit", "slot"]
     over = slotted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.col("limit")).select(*keys)
-    order = Window.partitionBy(*keys).orderBy("ts", "request_id")
-    ranked = slotted.join(over, keys, "left_semi").withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") > F.col("limit")).select("request_id", "throttle_key", "slot", "place")
+    crowded = slotted.join(over, keys, "left_semi")
+    ranked = bucketed_row_number(crowded, keys, ["ts", "request_id"], F.date_trunc("second", "ts"), "place")
+    return ranked.where(F.col("place") > F.col("limit")).select("request_id", "throttle_key", "slot", F.col("place").cast("int").alias("place"))
 
 
 def status_class() -> Column:

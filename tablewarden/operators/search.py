@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.fixed_values import MAX_SEARCH_QUERY
+from tablewarden.session import settle
 
 _BREAK = r"[^\p{L}\p{N}]+"
 BM25_K1, BM25_B = 1.2, 0.75
@@ -33,8 +33,6 @@ class Atom:
 
 
 def _split(text: str) -> tuple[str, ...]:
-    if not text or len(text.encode()) > MAX_SEARCH_QUERY:
-        raise ValueError(f"search text must have 1 to {MAX_SEARCH_QUERY} bytes")
     spaced = "".join(c if c.isalnum() else " " for c in text.lower())
     if not spaced.split():
         raise ValueError("search text holds no word")
@@ -127,8 +125,8 @@ def boolean_search(index: DataFrame, query: list[tuple[Atom, ...]]) -> DataFrame
 def bm25(docs: DataFrame, doc_id: str, column: str, terms: list[str]) -> DataFrame:
     """Documents holding any of the terms, best first, with their BM25 score.
 
-    Term frequencies are counted inside each document's word list, so the text is never exploded or
-    shuffled; only the corpus statistics are aggregated.
+    Term frequencies are counted inside each document's word list, so the text is never exploded or shuffled. Lengths and
+    frequencies are written once; the corpus statistics and the scores both come from them, so each text is split once.
     """
     terms = sorted(set(terms))
     tokens = F.col("_w")
@@ -136,6 +134,7 @@ def bm25(docs: DataFrame, doc_id: str, column: str, terms: list[str]) -> DataFra
     counted = docs.select(F.col(doc_id).alias("doc"), words(F.col(column)).alias("_w")).select(
         "doc", F.size(tokens).alias("length"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     )
+    counted = settle(counted, "term-counts")
     corpus = counted.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"),

@@ -7,10 +7,19 @@ through one pre-aggregated row per (key, bucket).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the left side's keys stay."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, by a partially aggregated ``max_by``."""
     rest = [c for c in df.columns if c not in keys]
@@ -28,7 +37,7 @@ def bucketed_row_number(
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = df.withColumn("_inside", inside).join(offsets, part)
+    numbered = join_null_safe(df.withColumn("_inside", inside), offsets, part)
     return numbered.withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
@@ -42,7 +51,7 @@ def bucketed_lag(
     carried = lasts.select(*part, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_prev"))
     inside = Window.partitionBy(*part).orderBy(*order)
     step = df.withColumn("_rn", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
-    merged = step.join(carried, part)
+    merged = join_null_safe(step, carried, part)
     lagged = F.when(F.col("_rn") == 1, F.col(f"_prev.{value}")).otherwise(F.col("_lag"))
     return merged.withColumn(out, lagged).drop("_bucket", "_rn", "_lag", "_prev")
 

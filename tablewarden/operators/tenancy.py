@@ -20,8 +20,8 @@ def usage(tenants: DataFrame, datasets: DataFrame) -> DataFrame:
     ratio = F.when(quota > 0, F.col("dataset_count") / quota).otherwise(0.0)
     status = F.when(quota <= 0, "unlimited").when(ratio >= 1.0, "exceeded").when(ratio >= 0.8, "warning").otherwise("ok")
     amounts = F.concat(F.col("dataset_count").cast("string"), F.lit(" of "), quota.cast("string"))
-    warning = F.when(status == "exceeded", F.concat(F.lit("Dataset quota exceeded: "), amounts, F.lit(" datasets used"))).when(
-        status == "warning", F.concat(F.lit("Approaching dataset quota: "), amounts, F.lit(" ("), percent_text(ratio, 0), F.lit("%)"))
+    warning = F.when(status == "exceeded", F.concat(F.lit("over quota: "), amounts)).when(
+        status == "warning", F.concat(F.lit("near quota: "), amounts, F.lit(" ("), percent_text(ratio, 0), F.lit("%)"))
     )
     return joined.select(
         "tenant_id", "dataset_count", "quota_max_datasets", ratio.alias("usage_ratio"), status.alias("status"), warning.alias("warning")
@@ -32,15 +32,16 @@ def admission(requests: DataFrame, tenants: DataFrame, datasets: DataFrame, buck
     """Decide a batch of new datasets (id, tenant_id, requested_at) in order of arrival.
 
     Over the quota a request is blocked, or in a dry run admitted with a warning. Blocked requests
-    use no quota, but nor do later ones fit, so a request's place alone decides. ``bucket`` coarsens
+    use no quota, but nor do later ones fit, so a request's place alone decides. A request without a
+    tenant, or of one that is not known, is ``unknown_tenant``. ``bucket`` coarsens
     the order of arrival (say the hour) and splits tenants with very many requests.
     """
     placed = bucketed_row_number(requests, ["tenant_id"], ["requested_at", "id"], bucket, "place")
     limits = tenants.join(_dataset_counts(datasets), "tenant_id", "left").select(
         "tenant_id", "quota_max_datasets", F.coalesce("n", F.lit(0)).alias("had")
     )
-    judged = placed.join(limits, "tenant_id")
+    judged = placed.join(limits.withColumn("known", F.lit(True)), "tenant_id", "left")
     before = F.col("had") + F.col("place") - 1
-    over = (F.col("quota_max_datasets") > 0) & (before >= F.col("quota_max_datasets"))
-    decision = F.when(~over, "admitted").otherwise("admitted_with_warning" if dry_run else "blocked")
+    over = F.coalesce((F.col("quota_max_datasets") > 0) & (before >= F.col("quota_max_datasets")), F.lit(False))
+    decision = F.when(F.col("known").isNull(), "unknown_tenant").when(~over, "admitted").otherwise("admitted_with_warning" if dry_run else "blocked")
     return judged.select("id", "tenant_id", "place", decision.alias("decision"))

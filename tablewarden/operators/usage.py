@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.fixed_values import DEFAULT_PERIOD_DAYS, MAX_UNIQUE_USERS_PER_DAY, PERIOD_DAYS
+from tablewarden.functions.fixed_values import PERIOD_DAYS
 
 COUNTERS = {
     "read_count": "read", "search_appearances": "search_appearance", "lineage_queries": "lineage_query", "api_calls": "api_call",
@@ -16,15 +16,13 @@ def counter_aggs() -> list[Column]:
     return [F.count_if(F.col("access_type") == kind).alias(name) for name, kind in COUNTERS.items()]
 
 
-def daily(events: DataFrame, cap: int | None = MAX_UNIQUE_USERS_PER_DAY) -> DataFrame:
+def daily(events: DataFrame) -> DataFrame:
     """Counters and distinct users per dataset and day; events without a user count but add no user.
 
     The distinct count is planned in two steps over (dataset, day, user), so a hot dataset is spread by user.
     """
-    users = F.countDistinct("user_name")
-    users = users if cap is None else F.least(users, F.lit(cap))
     keyed = events.withColumn("stat_date", F.col("ts").cast("date"))
-    return keyed.groupBy("dataset_id", "stat_date").agg(*counter_aggs(), users.alias("unique_users"))
+    return keyed.groupBy("dataset_id", "stat_date").agg(*counter_aggs(), F.countDistinct("user_name").alias("unique_users"))
 
 
 def daily_approximate(events: DataFrame) -> DataFrame:
@@ -52,7 +50,10 @@ def merge(stored: DataFrame, flushed: DataFrame) -> DataFrame:
 
 
 def period_days(period: str) -> int:
-    return PERIOD_DAYS.get(period, DEFAULT_PERIOD_DAYS)
+    """Days of a named period; any other name is refused."""
+    if period not in PERIOD_DAYS:
+        raise ValueError(f"period {period!r} is none of {', '.join(PERIOD_DAYS)}")
+    return PERIOD_DAYS[period]
 
 
 def in_period(stats: DataFrame, as_of: Column, period: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablewarden.operators import audit as ops
 from tablewarden.plans.registry import query
 from tablewarden.session import scratch_path
@@ -32,7 +30,7 @@ _FILTER = "entity_type = 'dataset' AND action = 'read'"
 @query(
     "audit_query",
     f"""SELECT *, (SELECT count(*) FROM {{audit_log}} WHERE {_FILTER}) AS total FROM {{audit_log}} WHERE {_FILTER}
-    ORDER BY timestamp DESC, id DESC LIMIT 100 OFFSET 20""",
+    ORDER BY timestamp DESC, id DESC OFFSET 20""",
 )
 def audit_query(v):
     return ops.log_page(v.audit_log, offset=20, entity_type="dataset", action="read")
@@ -55,9 +53,9 @@ def audit_tenant_query(v):
     return ops.log_page(v.audit_log, limit=50, tenant_id="tenant_4")
 
 
-@query("audit_write", "SELECT CAST(timestamp AS DATE) AS log_date, action, count(*) AS events FROM {audit_log} GROUP BY ALL")
+@query("audit_write", "SELECT *, CAST(timestamp AS DATE) AS log_date FROM {audit_log}")
 def audit_write(v):
     folder = scratch_path(v.spark, "audit-log")
     ops.append(folder, v.audit_log.where("actor_type = 'user'"))
     ops.append(folder, v.audit_log.where("actor_type <> 'user'"))
-    return v.spark.read.parquet(folder).groupBy("log_date", "action").agg(F.count(F.lit(1)).alias("events"))
+    return v.spark.read.parquet(folder)

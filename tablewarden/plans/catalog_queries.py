@@ -74,7 +74,7 @@ def catalog_top_domains(v):
 @query(
     "domain_counts",
     """SELECT m.name, count(d.id) AS dataset_count FROM {domains} m LEFT JOIN {datasets} d ON d.domain = m.name
-    WHERE m.is_active GROUP BY m.name ORDER BY m.name LIMIT 100""",
+    WHERE m.is_active GROUP BY m.name""",
 )
 def domain_counts(v):
     return ops.domain_counts(v.domains, v.datasets)
@@ -135,8 +135,8 @@ _USAGE = """SELECT t.tenant_id, t.quota_max_datasets AS quota, count(d.id) AS n,
     "quota_usage",
     f"""SELECT tenant_id, n AS dataset_count, quota AS quota_max_datasets, CAST(round(r, 6) AS DOUBLE) AS usage_ratio,
       CASE WHEN quota <= 0 THEN 'unlimited' WHEN r >= 1 THEN 'exceeded' WHEN r >= 0.8 THEN 'warning' ELSE 'ok' END AS status,
-      CASE WHEN quota <= 0 THEN NULL WHEN r >= 1 THEN 'Dataset quota exceeded: ' || n || ' of ' || quota || ' datasets used'
-        WHEN r >= 0.8 THEN 'Approaching dataset quota: ' || n || ' of ' || quota || ' (' || printf('%.0f', r * 100) || '%)' END AS warning
+      CASE WHEN quota <= 0 THEN NULL WHEN r >= 1 THEN 'over quota: ' || n || ' of ' || quota
+        WHEN r >= 0.8 THEN 'near quota: ' || n || ' of ' || quota || ' (' || printf('%.0f', r * 100) || '%)' END AS warning
     FROM ({_USAGE}) u""",
 )
 def quota_usage(v):
@@ -147,9 +147,9 @@ _ASKED = "SELECT event_id AS id, 'tenant_' || CAST(user_id % 25 AS STRING) AS te
 
 
 def _admission_sql(over: str) -> str:
-    return f"""SELECT a.id, a.tenant_id, a.place, CASE WHEN u.quota > 0 AND u.n + a.place - 1 >= u.quota THEN '{over}' ELSE 'admitted' END AS decision
+    return f"""SELECT a.id, a.tenant_id, a.place, CASE WHEN u.tenant_id IS NULL THEN 'unknown_tenant' WHEN u.quota > 0 AND u.n + a.place - 1 >= u.quota THEN '{over}' ELSE 'admitted' END AS decision
     FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY requested_at, id) AS place FROM ({_ASKED}) q) a
-    JOIN ({_USAGE}) u ON u.tenant_id = a.tenant_id"""
+    LEFT JOIN ({_USAGE}) u ON u.tenant_id = a.tenant_id"""
 
 
 @query("quota_admission", _admission_sql("admitted_with_warning"))

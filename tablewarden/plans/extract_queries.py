@@ -173,7 +173,7 @@ def lineage_wildcard_unknown(v):
 
 @query(
     "lineage_extract_warnings",
-    f"""SELECT query_id, branch, target_table, 'SELECT ' || CASE WHEN every THEN '*' ELSE 'o.*' END || ' requires schema lookup - columns not extracted' AS warning
+    f"""SELECT query_id, branch, target_table, 'columns unknown: ' || CASE WHEN every THEN '*' ELSE 'o.*' END AS warning
     FROM ({_WILD}) w""",
 )
 def lineage_extract_warnings(v):

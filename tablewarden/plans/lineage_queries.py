@@ -11,7 +11,7 @@ from tablewarden.plans.registry import query
 ROOT = (10, "user_email")
 LAST = (190, "user_email")
 ROOT_FIELD = 101
-REACH_DEPTH = 3
+DEPTH = 10
 
 
 def _closure_sql(root: tuple[int, str], downstream: bool, extra: str, final: str) -> str:
@@ -25,7 +25,7 @@ def _closure_sql(root: tuple[int, str], downstream: bool, extra: str, final: str
       UNION
       SELECT c.{far}_dataset_id, c.{far}_field_name{cols}, w.depth + 1
       FROM {{column_lineage}} c JOIN (SELECT DISTINCT dataset_id, column_name, depth FROM walk) w
-        ON c.{near}_dataset_id = w.dataset_id AND c.{near}_field_name = w.column_name WHERE w.depth < 10)
+        ON c.{near}_dataset_id = w.dataset_id AND c.{near}_field_name = w.column_name WHERE w.depth < {DEPTH})
     {final}"""
 
 
@@ -35,12 +35,12 @@ _LIST = """SELECT DISTINCT w.dataset_id, d.name AS dataset_name, w.column_name,
 
 @query("lineage_downstream", _closure_sql(ROOT, True, "transformation_type expression", _LIST))
 def lineage_downstream(v):
-    return ops.column_closure(v.column_lineage, v.datasets, *ROOT, downstream=True)
+    return ops.column_closure(v.column_lineage, v.datasets, *ROOT, downstream=True, max_depth=DEPTH)
 
 
 @query("lineage_upstream", _closure_sql(LAST, False, "transformation_type expression", _LIST))
 def lineage_upstream(v):
-    return ops.column_closure(v.column_lineage, v.datasets, *LAST, downstream=False)
+    return ops.column_closure(v.column_lineage, v.datasets, *LAST, downstream=False, max_depth=DEPTH)
 
 
 _WORDS = " OR ".join(f"w.expression ILIKE '%{x}%'" for x in ANONYMISING_WORDS)
@@ -59,7 +59,7 @@ _WORDS = " OR ".join(f"w.expression ILIKE '%{x}%'" for x in ANONYMISING_WORDS)
     ),
 )
 def lineage_pii_propagation(v):
-    return ops.pii_propagation(v.column_lineage, v.datasets, *ROOT)
+    return ops.pii_propagation(v.column_lineage, v.datasets, *ROOT, max_depth=DEPTH)
 
 
 _IMPACT = """SELECT dataset_id, dataset_name, column_name, coalesce(transformation_type, 'direct') AS transformation_type,
@@ -71,7 +71,7 @@ _IMPACT = """SELECT dataset_id, dataset_name, column_name, coalesce(transformati
 
 @query("lineage_impact", _closure_sql(ROOT, True, "transformation_type", _IMPACT))
 def lineage_impact(v):
-    return ops.impact(v.column_lineage, v.datasets, v.fields, ROOT_FIELD)
+    return ops.impact(v.column_lineage, v.datasets, v.fields, ROOT_FIELD, DEPTH)
 
 
 @query(
@@ -87,44 +87,29 @@ def lineage_impact(v):
     ),
 )
 def lineage_impact_summary(v):
-    return ops.impact_summary(ops.impact(v.column_lineage, v.datasets, v.fields, ROOT_FIELD))
+    return ops.impact_summary(ops.impact(v.column_lineage, v.datasets, v.fields, ROOT_FIELD, DEPTH))
 
 
-@query(
-    "pii_reach_all",
-    f"""
-    WITH RECURSIVE roots AS (
-      SELECT c.field_id, f.dataset_id, f.name AS column_name FROM {{classifications}} c JOIN {{fields}} f ON f.id = c.field_id
-      WHERE c.classification = 'pii'),
-    walk AS (
-      SELECT field_id, dataset_id, column_name, 0 AS depth FROM roots
+_REACH = """
+    WITH RECURSIVE walk AS (
+      SELECT DISTINCT {label} f.dataset_id, f.name AS column_name, 0 AS depth
+      FROM {{classifications}} c JOIN {{fields}} f ON f.id = c.field_id WHERE c.classification = 'pii'
       UNION
-      SELECT w.field_id, c.target_dataset_id, c.target_field_name, w.depth + 1
-      FROM {{column_lineage}} c JOIN walk w ON c.source_dataset_id = w.dataset_id AND c.source_field_name = w.column_name
-      WHERE w.depth < {REACH_DEPTH})
-    SELECT field_id, dataset_id, column_name, min(depth) AS depth FROM walk
-    GROUP BY ALL HAVING min(depth) > 0""",
-)
+      SELECT {label} e.target_dataset_id, e.target_field_name, c.depth + 1
+      FROM {{column_lineage}} e JOIN walk c ON e.source_dataset_id = c.dataset_id AND e.source_field_name = c.column_name
+      WHERE c.depth < 12)
+    SELECT {label} dataset_id, column_name, min(depth) AS depth FROM walk c GROUP BY ALL HAVING min(depth) > 0"""
+
+
+@query("pii_reach_all", _REACH.format(label=""))
 def pii_reach_all(v):
-    roots = ops.pii_roots(v.fields, v.classifications).drop("category")
-    return ops.first_reach(v.column_lineage, roots, REACH_DEPTH)
+    """Every column that is not personal data itself and that some reaches, with the steps from the nearest."""
+    return ops.first_reach(v.column_lineage, ops.pii_roots(v.fields, v.classifications).drop("category", "field_id"))
 
 
-@query(
-    "pii_reach_category",
-    """
-    WITH RECURSIVE walk AS (
-      SELECT DISTINCT c.category, f.dataset_id, f.name AS column_name, 0 AS depth
-      FROM {classifications} c JOIN {fields} f ON f.id = c.field_id WHERE c.classification = 'pii'
-      UNION
-      SELECT w.category, c.target_dataset_id, c.target_field_name, w.depth + 1
-      FROM {column_lineage} c JOIN walk w ON c.source_dataset_id = w.dataset_id AND c.source_field_name = w.column_name
-      WHERE w.depth < 10)
-    SELECT category, dataset_id, column_name, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0""",
-)
+@query("pii_reach_category", _REACH.format(label="c.category,"))
 def pii_reach_category(v):
-    roots = ops.pii_roots(v.fields, v.classifications).drop("field_id")
-    return ops.first_reach(v.column_lineage, roots, 10)
+    return ops.first_reach(v.column_lineage, ops.pii_roots(v.fields, v.classifications).drop("field_id"))
 
 
 @query(
@@ -170,7 +155,7 @@ _RAW_EDGES = """
 @query(
     "lineage_record",
     f"""SELECT CAST(reason AS STRING) AS reason, transformation_type, count(*) AS edges FROM (
-      SELECT CASE WHEN source_dataset_id <= 0 OR target_dataset_id <= 0 THEN 'dataset id not positive'
+      SELECT CASE WHEN NOT coalesce(source_dataset_id > 0 AND target_dataset_id > 0, false) THEN 'dataset id not positive'
         WHEN coalesce(source_field_name, '') = '' OR coalesce(target_field_name, '') = '' THEN 'empty column name'
         WHEN strlen(source_field_name) > 256 OR strlen(target_field_name) > 256 THEN 'column name too long' END AS reason,
         lower(transformation_type) AS transformation_type FROM ({_RAW_EDGES})) GROUP BY ALL""",

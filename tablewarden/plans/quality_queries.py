@@ -8,28 +8,27 @@ from tablewarden.functions.exprs import ntz
 from tablewarden.operators import quality as ops
 from tablewarden.plans.registry import query
 from tablewarden.plans.views import AS_OF
+from tablewarden.session import settle
+
+
+# Columns of the described tables: name in the file statistics, name in ``data_files``, declared type.
+_COLUMNS = [("l_quantity", "quantity", "double"), ("l_returnflag", "flag", "string"), ("l_orderkey", "key", "long"),
+            ("l_extendedprice", "price", "decimal(18,3)"), ("l_shipdate", "date", "date")]
+_NULLS = ("quantity", "flag")
 
 
 def file_rows(v):
     """(dataset_id, path, size, stats): file entries with their statistics as JSON text."""
-    stats = F.to_json(
-        F.struct(
-            F.col("num_records").alias("numRecords"),
-            F.struct(F.col("null_quantity").alias("l_quantity"), F.col("null_flag").alias("l_returnflag")).alias("nullCount"),
-            F.struct(F.col("min_quantity").alias("l_quantity"), F.col("min_flag").alias("l_returnflag")).alias("minValues"),
-            F.struct(F.col("max_quantity").alias("l_quantity"), F.col("max_flag").alias("l_returnflag")).alias("maxValues"),
-        )
-    )
+    ends = lambda end: F.struct(*[F.col(f"{end}_{c}").alias(name) for name, c, _ in _COLUMNS])
+    nulls = F.struct(*[(F.col(f"null_{c}") if c in _NULLS else F.lit(0)).alias(name) for name, c, _ in _COLUMNS])
+    stats = F.to_json(F.struct(F.col("num_records").alias("numRecords"), nulls.alias("nullCount"), ends("min").alias("minValues"), ends("max").alias("maxValues")))
     text = F.when(F.col("stats_kind") == "ok", stats).when(F.col("stats_kind") == "malformed", '{"numRecords": oops')
     return v.data_files.select("dataset_id", F.concat(F.lit("part-"), F.col("file_no")).alias("path"), "size", text.alias("stats"))
 
 
 def columns_of(v):
     """(dataset_id, column_name, data_type) of the described tables."""
-    cols = F.array(
-        F.struct(F.lit("l_quantity").alias("column_name"), F.lit("double").alias("data_type")),
-        F.struct(F.lit("l_returnflag").alias("column_name"), F.lit("string").alias("data_type")),
-    )
+    cols = F.array(*[F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("data_type")) for name, _, kind in _COLUMNS])
     return v.datasets.select(F.col("id").alias("dataset_id"), F.inline(cols))
 
 
@@ -47,15 +46,13 @@ def table_stats(v):
 
 _COLUMN = """SELECT id AS dataset_id, '{name}' AS column_name, '{kind}' AS data_type, s.n AS null_count, s.lo AS min_value,
       s.hi AS max_value, CAST(NULL AS BIGINT) AS distinct_count
-    FROM {{datasets}} LEFT JOIN (SELECT dataset_id, CAST(sum(null_{c}) AS BIGINT) AS n, CAST(min(min_{c}) AS VARCHAR) AS lo,
+    FROM {{datasets}} LEFT JOIN (SELECT dataset_id, CAST(sum({n}) AS BIGINT) AS n, CAST(min(min_{c}) AS VARCHAR) AS lo,
       CAST(max(max_{c}) AS VARCHAR) AS hi FROM {{data_files}} WHERE stats_kind = 'ok' GROUP BY dataset_id) s ON s.dataset_id = id"""
 
 
 @query(
     "column_stats",
-    _COLUMN.format(name="l_quantity", kind="double", c="quantity")
-    + " UNION ALL "
-    + _COLUMN.format(name="l_returnflag", kind="string", c="flag"),
+    " UNION ALL ".join(_COLUMN.format(name=name, kind=kind, c=c, n=f"null_{c}" if c in _NULLS else "0") for name, c, kind in _COLUMNS),
 )
 def column_stats(v):
     return ops.column_stats(file_rows(v), columns_of(v))
@@ -67,14 +64,14 @@ def column_stats(v):
         f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
         f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM {{access_events}}"
         for c in ("event_id", "dataset_id", "user_name", "access_type")
-    ),
+    ) + " UNION ALL SELECT 'ts', count(*), count(*) - count(ts), CAST(min(ts) AS VARCHAR), CAST(max(ts) AS VARCHAR) FROM {access_events}",
 )
 def column_profile(v):
-    return ops.profile(v.access_events.select("event_id", "dataset_id", "user_name", "access_type"))
+    return ops.profile(v.access_events)
 
 
 def scored(v):
-    files = file_rows(v)
+    files = settle(ops.parse_file_stats(file_rows(v)).select("dataset_id", "size", "parsed", "malformed"), "file-stats")
     stats = ops.table_stats(files)
     nulls = ops.column_stats(files, columns_of(v)).groupBy("dataset_id").agg(
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("null_count"), F.count(F.lit(1)).alias("column_count")
@@ -84,15 +81,15 @@ def scored(v):
 
 
 _STALE = f"CAST(epoch($TS '{AS_OF}' - d.last_updated) AS BIGINT)"
-_SCORES = f"""SELECT s.dataset_id,
-    CASE WHEN s.row_count = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - nulls / (s.row_count * 2.0))) END AS completeness_score,
+_SCORES = f"""SELECT d.id AS dataset_id,
+    CASE WHEN coalesce(s.row_count, 0) = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - nulls / (s.row_count * 5.0))) END AS completeness_score,
     CASE WHEN {_STALE} <= expected_interval_secs + grace_period_secs THEN 1.0
       ELSE 1.0 / (1.0 + ({_STALE} - expected_interval_secs - grace_period_secs) / expected_interval_secs) END AS freshness_score,
-    1.0 - 0.5 * CASE WHEN s.size_bytes // num_files < 134217728
-      THEN least(CAST(floor(134217728.0 / (s.size_bytes // num_files)) AS BIGINT), num_files) ELSE 0 END / num_files
+    CASE WHEN num_files IS NULL THEN 1.0 ELSE 1.0 - 0.5 * CASE WHEN s.size_bytes // num_files < 134217728
+      THEN least(CAST(floor(134217728.0 / (s.size_bytes // num_files)) AS BIGINT), num_files) ELSE 0 END / num_files END
       AS file_health_score, small_files, num_files
-    FROM ({_STATS}) s JOIN {{datasets}} d ON d.id = s.dataset_id
-    LEFT JOIN {{freshness_config}} f ON f.dataset_id = s.dataset_id"""
+    FROM {{datasets}} d LEFT JOIN ({_STATS}) s ON d.id = s.dataset_id
+    LEFT JOIN {{freshness_config}} f ON f.dataset_id = d.id"""
 _ROUND = "CAST(round({0}, 6) AS DOUBLE) AS {0}"
 
 

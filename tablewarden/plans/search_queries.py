@@ -14,38 +14,42 @@ def _words(column: str) -> str:
     return _W.replace("{c}", f"coalesce({column}, '')")
 
 
-@query(
-    "search_index",
-    "SELECT term, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM ("
-    + " UNION ALL ".join(
-        [f"SELECT id AS doc, unnest({_words(c)}) AS term FROM {{datasets}}" for c in ("name", "path", "domain", "owner", "description")]
-        + [f"SELECT dataset_id, unnest({_words('tag')}) FROM {{tags}}", f"SELECT dataset_id, unnest({_words('name')}) FROM {{fields}}"]
+_TEXTS = ("name", "path", "domain", "owner", "description")
+
+
+def _postings(source: str, doc: str, column: str, part: str, item: str = "''") -> str:
+    """Postings of one text column: every word with its place."""
+    return f"""SELECT doc, '{part}' AS part, item, CAST(unnest(range(len(w))) AS INT) AS position, unnest(w) AS term
+      FROM (SELECT {doc} AS doc, {item} AS item, {_words(column)} AS w FROM {source})"""
+
+
+def _catalog_sql(datasets: str) -> str:
+    return " UNION ALL ".join(
+        [_postings(datasets, "id", c, c) for c in _TEXTS] + [_postings("{tags}", "dataset_id", "tag", "tags", "tag"), _postings("{fields}", "dataset_id", "name", "fields", "name")]
     )
-    + ") p GROUP BY term",
-)
+
+
+@query("search_index", _catalog_sql("{datasets}"))
 def search_index(v):
-    return ops.term_counts(ops.catalog_index(v.datasets, v.fields, v.tags))
+    return ops.catalog_index(v.datasets, v.fields, v.tags)
 
 
-@query(
-    "search_index_documents",
-    f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM {{documents}}) p GROUP BY term",
-)
+@query("search_index_documents", _postings("{documents}", "doc_id", "text", "text"))
 def search_index_documents(v):
-    return ops.term_counts(ops.postings(v.documents, "doc_id", ["text"]))
+    return ops.postings(v.documents, "doc_id", ["text"])
 
 
-@query(
-    "search_index_refresh",
-    """SELECT term, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM (
-      SELECT id AS doc, unnest(WORDS) AS term FROM (SELECT id, CASE WHEN domain IS NULL THEN 'renamed_' || id ELSE name END AS t FROM {datasets}) d) p
-    GROUP BY term""".replace("WORDS", _words("t")),
-)
+_EDITED = """(SELECT * REPLACE (CASE WHEN domain IS NULL THEN 'renamed_' || id ELSE name END AS name) FROM {datasets})"""
+
+
+@query("search_index_refresh", _catalog_sql(_EDITED))
 def search_index_refresh(v):
-    index = ops.postings(v.datasets, "id", ["name"])
+    """The stored index after some datasets got another name: only their postings are made anew, all parts of them."""
+    index = ops.catalog_index(v.datasets, v.fields, v.tags)
     edited = v.datasets.where("domain IS NULL").withColumn("name", F.concat(F.lit("renamed_"), F.col("id").cast("string")))
-    rebuilt = ops.postings(edited, "id", ["name"])
-    return ops.term_counts(ops.refresh_index(index, edited.select(F.col("id").alias("doc")), rebuilt))
+    ids = edited.select(F.col("id").alias("dataset_id"))
+    rebuilt = ops.catalog_index(edited, v.fields.join(ids, "dataset_id", "left_semi"), v.tags.join(ids, "dataset_id", "left_semi"))
+    return ops.refresh_index(index, edited.select(F.col("id").alias("doc")), rebuilt)
 
 
 _LINE = f"' ' || array_to_string({_words('text')}, ' ') || ' '"
@@ -95,10 +99,9 @@ def search_bm25(v):
 
 @query(
     "search_filtered",
-    "SELECT * FROM {datasets} WHERE domain = 'Brand#3' AND (regexp_matches(lower(name), '(^|_)bolt(_|$)') OR regexp_matches(lower(name), '(^|_)re[a-z]'))",
+    f"""SELECT * FROM {{datasets}} WHERE domain = 'Brand#3' AND id IN (
+      SELECT doc FROM ({_catalog_sql('{datasets}')}) p WHERE term IN ('bolt', 'returned') OR starts_with(term, 'ssn'))""",
 )
 def search_filtered(v):
-    found = ops.boolean_search(
-        ops.catalog_index(v.datasets, v.fields.limit(0), v.tags.limit(0)), ops.any_of(ops.word("bolt"), ops.prefix("re"))
-    )
+    found = ops.boolean_search(ops.catalog_index(v.datasets, v.fields, v.tags), ops.any_of(ops.word("bolt"), ops.word("returned"), ops.prefix("ssn")))
     return ops.filtered(found, v.datasets, "Brand#3")

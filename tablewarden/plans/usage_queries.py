@@ -21,13 +21,10 @@ def usage_daily(v):
     return ops.daily(v.access_events)
 
 
-@query(
-    "usage_unique_cap",
-    f"""SELECT dataset_id, CAST(ts AS DATE) AS stat_date, least(count(DISTINCT user_name), 8) AS unique_users
-    FROM ({_BUSY}) b GROUP BY ALL""",
-)
+@query("usage_unique_cap", f"SELECT dataset_id, CAST(ts AS DATE) AS stat_date, count(DISTINCT user_name) AS unique_users FROM ({_BUSY}) b GROUP BY ALL")
 def usage_unique_cap(v):
-    return ops.daily(v.sql(_BUSY), cap=8).select("dataset_id", "stat_date", "unique_users")
+    """Distinct users of busy days: all of them, however many."""
+    return ops.daily(v.sql(_BUSY)).select("dataset_id", "stat_date", "unique_users")
 
 
 @query("usage_daily_approximate")
@@ -58,7 +55,7 @@ def usage_search_appearances(v):
       FROM {{access_events}} GROUP BY ALL) d GROUP BY dataset_id, stat_date""",
 )
 def usage_merge(v):
-    half = lambda n: ops.daily(v.access_events.where(F.col("event_id") % 2 == n), cap=None)
+    half = lambda n: ops.daily(v.access_events.where(F.col("event_id") % 2 == n))
     return ops.merge(half(0), half(1))
 
 
@@ -82,7 +79,7 @@ def usage_dataset_days(v):
     WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 7 GROUP BY ALL""",
 )
 def usage_distinct_users(v):
-    return ops.distinct_users(v.access_events, ntz(AS_OF), "unknown period")
+    return ops.distinct_users(v.access_events, ntz(AS_OF), "7d")
 
 
 @query(

@@ -104,9 +104,12 @@ VIEWS: dict[str, str] = {
           count(*) - count(nullif(l_returnflag, 'N')) AS null_flag,
           min(nullif(l_quantity, 1.0)) AS min_quantity, max(nullif(l_quantity, 1.0)) AS max_quantity,
           min(nullif(l_returnflag, 'N')) AS min_flag, max(nullif(l_returnflag, 'N')) AS max_flag,
+          min(9007199254740993 + l_orderkey) AS min_key, max(9007199254740993 + l_orderkey) AS max_key,
+          min(CAST(l_extendedprice AS DECIMAL(18, 3))) AS min_price, max(CAST(l_extendedprice AS DECIMAL(18, 3))) AS max_price,
+          min(CAST(l_shipdate AS DATE)) AS min_date, max(CAST(l_shipdate AS DATE)) AS max_date,
           count(*) * 20000000 * (1 + l_suppkey % 10) AS size,
           CASE WHEN l_suppkey % 17 = 3 THEN 'malformed' WHEN l_suppkey % 19 = 5 THEN 'missing' ELSE 'ok' END AS stats_kind
-        FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
+        FROM {lineitem} WHERE l_partkey % 20 <> 9 GROUP BY l_partkey, l_suppkey""",
     "access_events": f"""
         SELECT event_id, event_id % {_N_PART} AS dataset_id,
           CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'user_' || {_text('user_id')} END AS user_name,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
@@ -47,8 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or fresh
 
 
+_owned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tablewarden/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's own part of the shared folder, which is removed when the driver's Python ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/tablewarden/{sc.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(remove_folder, sc._jvm, sc._jsc.hadoopConfiguration(), own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(jvm, conf, path: str) -> None:
+    """Delete a folder on whatever file system it is; a JVM that is gone already leaves it to the folder's owner."""
+    try:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    except Exception:  # the gateway may be closed by now
+        pass
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -63,6 +82,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``settle``, with the number of rows, which the write itself counts."""
+    seen = Observation()
+    kept = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return kept, seen.get["n"]
+
+
 def broadcast_if_small(df: DataFrame, label: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` computed once, and marked for broadcast only when its counted rows are within the bound.
 

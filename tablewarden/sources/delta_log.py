@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.functions.fixed_values import DEFAULT_HISTORY_LIMIT, MAX_VERSION_RANGE
 from tablewarden.operators.skew import bucketed_lag, bucketed_row_number
 from tablewarden.session import settle
 
@@ -88,13 +87,16 @@ def snapshot(actions: DataFrame, version: int | None = None) -> DataFrame:
     )
 
 
-def commit_history(actions: DataFrame, limit: int = DEFAULT_HISTORY_LIMIT) -> DataFrame:
-    """The newest ``limit`` commits of every table, newest first."""
+def commit_history(actions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The commits of every table, newest first; the newest ``limit`` of each if that is given."""
     commits = actions.where("commitInfo IS NOT NULL").select(
         "location", "version", F.col("commitInfo.timestamp").alias("timestamp_ms"),
         F.coalesce("commitInfo.operation", F.lit("")).alias("operation"), F.col("commitInfo.userName").alias("user_name"),
         F.coalesce("commitInfo.operationParameters", F.create_map().cast(_TEXT_MAP)).alias("parameters"),
-    ).withColumn("_order", -F.col("version"))
+    )
+    if limit is None:
+        return commits.orderBy("location", F.desc("version"))
+    commits = commits.withColumn("_order", -F.col("version"))
     ranked = bucketed_row_number(commits, ["location"], ["_order"], F.floor(F.col("_order") / 1000), "_newest")
     return ranked.where(F.col("_newest") <= limit).drop("_order", "_newest").orderBy("location", F.desc("version"))
 
@@ -138,8 +140,6 @@ def schema_diff(actions: DataFrame, from_version: int, to_version: int) -> DataF
     """Schema change of every table between two of its versions."""
     if not 0 <= from_version < to_version:
         raise ValueError("from_version must be below to_version")
-    if to_version - from_version > MAX_VERSION_RANGE:
-        raise ValueError(f"version range above {MAX_VERSION_RANGE}")
     at = lambda v: extract_schema(table_metadata(actions, v), ["location"])
     return diff_columns(at(from_version), at(to_version), ["location"])
 

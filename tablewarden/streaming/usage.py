@@ -17,7 +17,7 @@ def exact(events: DataFrame, folder: str, every: str | None = None):
     """Each batch adds its counters and its distinct (dataset, day, user) rows; late events count like others."""
 
     def flush(batch: DataFrame, number: int) -> None:
-        counters = usage.daily(batch, cap=None).drop("unique_users")
+        counters = usage.daily(batch).drop("unique_users")
         users = batch.where("user_name IS NOT NULL").select("dataset_id", F.col("ts").cast("date").alias("stat_date"), "user_name").distinct()
         write_batch(counters, f"{folder}/counters", number)
         write_batch(users, f"{folder}/users", number)
@@ -27,12 +27,11 @@ def exact(events: DataFrame, folder: str, every: str | None = None):
 
 def exact_result(spark, folder: str, events_schema_of: DataFrame) -> DataFrame:
     """Daily rows after all batches so far, equal to the batch form over the same events."""
-    counters = usage.daily(events_schema_of, cap=None).drop("unique_users").schema
+    counters = usage.daily(events_schema_of).drop("unique_users").schema
     users = events_schema_of.select("dataset_id", F.col("ts").cast("date").alias("stat_date"), "user_name").schema
     sums = read_batches(spark, f"{folder}/counters", counters).groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in usage.COUNTERS])
     people = read_batches(spark, f"{folder}/users", users).groupBy(*_KEYS).agg(F.countDistinct("user_name").alias("u"))
-    capped = F.least(F.coalesce("u", F.lit(0)), F.lit(usage.MAX_UNIQUE_USERS_PER_DAY))
-    return sums.join(people, _KEYS, "left").select(*_KEYS, *usage.COUNTERS, capped.alias("unique_users"))
+    return sums.join(people, _KEYS, "left").select(*_KEYS, *usage.COUNTERS, F.coalesce("u", F.lit(0)).alias("unique_users"))
 
 
 def windowed(events: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -32,16 +32,17 @@ def test_diamond_keeps_each_depth_once_and_cycles_end(spark):
     assert rows(reach, "dataset_id", "depth") == [(2, 1), (3, 1), (4, 1)]
 
 
-def test_hot_nodes_are_split(spark):
-    edges = [(1, "a", i, "c", "direct", None) for i in range(2, 60)] + [(i, "c", 100, "z", "direct", f"e{i}") for i in range(2, 60)]
-    e, ds = graph(spark, edges)
-    root = ops._one_root(spark, 1, "a")
-    plain = ops.traverse(e, root, True, 3)
-    split = ops.traverse(e, root, True, 3, rows_per_slot=5)
-    assert rows(split, *sorted(split.columns)) == rows(plain, *sorted(plain.columns)) and plain.count() == 116
-    assert rows(ops.traverse(e, ops._one_root(spark, 100, "z"), False, 3, rows_per_slot=5)) == rows(
-        ops.traverse(e, ops._one_root(spark, 100, "z"), False, 3)
-    )
+def test_depth_is_as_given_and_none_runs_to_the_end(spark):
+    edges, ds = graph(spark, [(i, "a", i + 1, "a", "direct", None) for i in range(1, 71)] + [(71, "a", 1, "a", "direct", None)])
+    assert ops.column_closure(edges, ds, 1, "a", True, 60).count() == 60
+    assert ops.column_closure(edges, ds, 1, "a", True, 0).count() == 0
+
+
+def test_labels_that_are_null_are_seen(spark):
+    edges, _ = graph(spark, [(1, "a", 2, "a", "direct", None), (2, "a", 1, "a", "direct", None), (2, "a", 3, "a", "direct", None)])
+    roots = spark.createDataFrame([(None, 1, "a")], "label string, dataset_id bigint, column_name string")
+    assert rows(ops.first_reach(edges, roots), "dataset_id", "depth") == [(2, 1), (3, 2)]
+    assert {r["dataset_id"] for r in ops.traverse(edges, roots, True).collect()} == {1, 2, 3}
 
 
 def test_anonymise_and_severity(spark):
@@ -68,5 +69,7 @@ def test_record_and_delete(spark):
     assert ops.delete_edges(kept, spark.createDataFrame([(2,)], "dataset_id bigint")).count() == 0
 
 
-def test_depth_is_clamped():
-    assert [ops.clamp_depth(d) for d in (None, 0, -3, 7, 500)] == [10, 1, 1, 7, 50]
+def test_record_refuses_null_ids(spark):
+    edges, _ = graph(spark, [(1, "a", 2, "b", None, None)])
+    null_id = edges.selectExpr("CAST(NULL AS BIGINT) AS source_dataset_id", "source_field_name", "target_dataset_id", "target_field_name", "transformation_type", "expression")
+    assert rows(ops.check_edges(null_id), "reason") == [("dataset id not positive",)]
