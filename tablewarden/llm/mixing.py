@@ -33,13 +33,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def words(text: str) -> Column:
-    """The words of a column; none for null."""
-    t = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), f"^{SPACES}|{SPACES}$", "")
+    """The words of a column, in lower case; none for null."""
+    t = F.btrim(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.length(t) > 0, F.split(t, SPACES)).otherwise(F.array().cast("array<string>"))
 
 
 def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def _sum_of(table: Column, hashed: Column) -> Column:
@@ -70,8 +70,8 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
         return Classifier(["all"], [0.0], [])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = keep(known.where(chance < fit_rows / total).dropDuplicates(["doc_id"]), "labels")
-    texts = docs.select("doc_id", F.transform(words(text), bucket).alias("buckets"))
-    seen = keep(texts.join(F.broadcast(sample), "doc_id"), "labelled")
+    labelled_docs = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
+    seen = keep(labelled_docs.select("domain", F.transform(words(text), bucket).alias("buckets")), "labelled")
     shares = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return Classifier(["all"], [0.0], [])
@@ -137,19 +137,22 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total
     return steps
 
 
-def with_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Classifier]:
-    """(doc, doc_id, __n, __p, __rate, __copies), ``doc`` with all columns of ``docs``.
+def with_rates(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", keep_text: bool = True
+) -> tuple[DataFrame, Classifier]:
+    """(doc, doc_id, __n, __p, __rate, __copies), ``doc`` with all columns of ``docs`` (but the text without ``keep_text``).
 
-    Copies are the rate rounded up or down by a hash of the id, right on average.
+    Copies are the rate rounded up or down by a hash of the id, right on average. The documents with their posteriors are
+    kept in the shared folder, so each text is read once for them.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
+    whole = docs.select(F.struct(*columns).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     model = fit(labelled, whole)
-    small = keep(score(whole.select("text"), model).select("__n", "__p"), "posteriors")
-    steps = solve(small, model, weights)
-    rated = score(whole, model).drop("text").withColumn("__rate", chain(steps))
+    scored = keep(score(whole, model).drop("text"), "posteriors")
+    steps = solve(scored, model, weights)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     more = (chance < F.col("__rate") - F.floor("__rate")).cast("int")
-    return rated.withColumn("__copies", F.floor("__rate").cast("int") + more), model
+    return scored.withColumn("__rate", chain(steps)).withColumn("__copies", F.floor("__rate").cast("int") + more), model
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

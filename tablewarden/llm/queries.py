@@ -89,7 +89,7 @@ def domains(labels: DataFrame) -> DataFrame:
 @query("op7_soft_mixing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
-    rated, model = mixing.with_rates(docs, domains(labels), MIX_WEIGHTS)
+    rated, model = mixing.with_rates(docs, domains(labels), MIX_WEIGHTS, keep_text=False)
     shares = [F.get("__p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)]
     return rated.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), *shares, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
