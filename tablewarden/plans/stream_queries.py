@@ -68,21 +68,27 @@ def stream_request_metrics(v):
     return usage.updates_result(v.spark, folder, updates.schema, ["slot", "path", "method", "status_class"])
 
 
+_START_MS = 1704067200000  # 2024-01-01 00:00:00
+
+
 @query(
     "stream_alerts",
-    """
-    WITH last AS (SELECT e.dataset_id, max(epoch_us(e.ts) // 1000) AS m, any_value(1000 * c.expected_interval_secs) AS iv,
-        any_value(1000 * c.grace_period_secs) AS grace
-      FROM {access_events} e JOIN {freshness_config} c ON c.dataset_id = e.dataset_id WHERE c.alert_on_stale GROUP BY ALL),
-    due AS (SELECT *, m + iv + grace + 1 AS due_at FROM last)
-    SELECT dataset_id, due_at AS alert_at_ms, (due_at - m) // 1000 AS staleness_secs,
-      CASE WHEN due_at - m >= 4 * iv THEN 'critical' WHEN due_at - m >= 2 * iv THEN 'warning' ELSE 'info' END AS severity
-    FROM due WHERE due_at <= (SELECT max(m) FROM last)""",
+    f"""
+    WITH seen AS (SELECT max(epoch_us(ts) // 1000) AS m FROM {{access_events}}),
+    watched AS (SELECT dataset_id, 1000 * expected_interval_secs AS iv, 1000 * grace_period_secs AS grace FROM {{freshness_config}} WHERE alert_on_stale),
+    points AS (
+      SELECT w.dataset_id, epoch_us(e.ts) // 1000 AS up FROM {{access_events}} e JOIN watched w ON w.dataset_id = e.dataset_id
+      UNION SELECT dataset_id, {_START_MS} FROM watched),
+    gaps AS (
+      SELECT p.dataset_id, up, iv, up + iv + grace + 1 AS due,
+        coalesce(lead(up) OVER (PARTITION BY p.dataset_id ORDER BY up), (SELECT m FROM seen)) AS until
+      FROM points p JOIN watched w ON w.dataset_id = p.dataset_id),
+    sent AS (SELECT *, unnest(range(due, until, 86400000)) AS alert_at_ms FROM gaps WHERE due < until)
+    SELECT dataset_id, alert_at_ms, (alert_at_ms - up) // 1000 AS staleness_secs,
+      CASE WHEN alert_at_ms - up >= 4 * iv THEN 'critical' WHEN alert_at_ms - up >= 2 * iv THEN 'warning' ELSE 'info' END AS severity FROM sent""",
 )
 def stream_alerts(v):
     folder = runner.fresh_folder(v.spark, "alerts")
-    runner.use_rocksdb(v.spark)
     updates = streaming(v).access_events.select("dataset_id", utc_instant(F.col("ts")).alias("updated_at"))
-    sent = alerts.freshness_alerts(updates, v.freshness_config, cooldown_secs=86400)
-    runner.run_batches(sent, lambda batch, number: runner.write_batch(batch, f"{folder}/rows", number), folder)
-    return runner.read_batches(v.spark, f"{folder}/rows", sent.schema).drop("batch")
+    alerts.freshness_alerts(updates, v.freshness_config, folder, _START_MS, cooldown_secs=86400)
+    return v.spark.read.schema(alerts.ALERT_SCHEMA).parquet(f"{folder}/rows/batch=*")

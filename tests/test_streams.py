@@ -50,18 +50,27 @@ def test_throttle_crosses_batches(spark, events):
     assert refused > 0 and requests.throttle_refused(keyed(batch), 60).count() == refused
 
 
-def test_freshness_alerts_fire_and_stop(spark, tmp_path):
-    runner.use_rocksdb(spark)
-    at = lambda m: NOW + datetime.timedelta(minutes=m)
-    # Dataset 2 is updated every ten minutes; dataset 1 is silent between minutes 0 and 50.
-    for n, minutes in enumerate([[0], [20], [40], [50], [60]]):
-        data = [(2, at(m)) for m in minutes] + ([(1, at(m)) for m in minutes if m in (0, 50)])
-        spark.createDataFrame(data, "dataset_id bigint, updated_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    config = spark.createDataFrame([(1, 300, 300, True), (2, 3600, 0, True)], "dataset_id bigint, expected_interval_secs bigint, grace_period_secs bigint, alert_on_stale boolean")
+@pytest.mark.parametrize("files", [1, 5, 20])
+def test_freshness_alerts_do_not_depend_on_the_batches(spark, tmp_path, files):
+    rnd = random.Random(7)
+    moments = sorted(rnd.randrange(0, 40 * 3600) for _ in range(200))
+    data = [(1 if rnd.random() < 0.5 else rnd.randrange(2, 6), NOW + datetime.timedelta(seconds=s)) for s in moments]
+    size = -(-len(data) // files)
+    for n in range(files):
+        spark.createDataFrame(data[n * size : (n + 1) * size], "dataset_id bigint, updated_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    limits = {1: (300, 300), 2: (600, 0), 3: (3600, 60), 4: (7200, 0), 6: (3600, 0)}  # 5 is not watched, 6 never updated
+    config = spark.createDataFrame([(d, i, g, True) for d, (i, g) in limits.items()], "dataset_id bigint, expected_interval_secs bigint, grace_period_secs bigint, alert_on_stale boolean")
     updates = runner.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.read.parquet(str(tmp_path / "in")).schema, 1)
-    sent = stream_alerts.freshness_alerts(updates, config, cooldown_secs=900)
-    folder = str(tmp_path / "out")
-    runner.run_batches(sent, lambda b, n: runner.write_batch(b, f"{folder}/rows", n), folder)
-    got = rows(runner.read_batches(spark, f"{folder}/rows", sent.schema), "dataset_id", "staleness_secs", "severity")
-    assert (1, 600, "warning") in got and {r[0] for r in got} == {1}
-    assert all(r[1] >= 600 and (r[1] - 600) % 900 == 0 for r in got)
+    start = int(NOW.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    stream_alerts.freshness_alerts(updates, config, str(tmp_path / "out"), start, cooldown_secs=900)
+    got = rows(spark.read.schema(stream_alerts.ALERT_SCHEMA).parquet(str(tmp_path / "out" / "rows" / "batch=*")), "dataset_id", "alert_at_ms", "staleness_secs", "severity")
+    end, want = start + moments[-1] * 1000, []
+    for d, (interval, grace) in limits.items():
+        ups = sorted({start, *(start + s * 1000 for s, (k, _) in zip(moments, data, strict=True) if k == d)})
+        for a, z in zip(ups, [*ups[1:], end], strict=True):
+            t = a + (interval + grace) * 1000 + 1
+            while t < z:
+                age = t - a
+                want.append((d, t, age // 1000, "critical" if age >= 4000 * interval else "warning" if age >= 2000 * interval else "info"))
+                t += 900_000
+    assert got == sorted(want, key=repr)
