@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewarden.plans.registry import query
+from tablewarden.session import settle
 from tablewarden.sources import delta_log as log
 
 _FIRST = [("user_id", "long", False), ("amount", "double", True), ("status", "string", True), ("day", "date", True)]
@@ -72,6 +73,22 @@ def delta_log_snapshot(v):
     return log.snapshot(actions(v)).drop("partition_columns", "last_modified_ms")
 
 
+_CHECKPOINT = 4
+
+
+def checkpointed(v):
+    """The same logs after clean-up: the state at version 4 is in checkpoints, and the commits up to it are gone."""
+    whole = log.parse_actions(v.sql(_LINES))
+    old = whole.where(F.col("version") <= _CHECKPOINT)
+    state = old.where("add IS NOT NULL OR metaData IS NOT NULL").withColumns({"version": F.lit(_CHECKPOINT).cast("bigint"), "checkpoint": F.lit(True)})
+    return settle(whole.where(F.col("version") > _CHECKPOINT).unionByName(state), "delta-actions")
+
+
+@query("delta_log_snapshot_checkpoint", _snapshot_sql(8).replace("coalesce(last_write, 0)", f"greatest(coalesce(last_write, 0), {_CHECKPOINT})"))
+def delta_log_snapshot_checkpoint(v):
+    return log.snapshot(checkpointed(v)).drop("partition_columns", "last_modified_ms")
+
+
 @query("delta_log_snapshot_at_version", _snapshot_sql(4))
 def delta_log_snapshot_at_version(v):
     return log.snapshot(actions(v), 4).drop("partition_columns", "last_modified_ms")

@@ -1,6 +1,8 @@
-"""Delta transaction logs read as plain JSON actions: live files, history, schemas and their changes.
+"""Delta transaction logs: live files, history, schemas and their changes, from commits and checkpoints.
 
-Everything works on many tables at once, from one scan of their log files.
+Everything works on many tables at once, from one scan of their commit files and one of their checkpoints. A checkpoint
+holds the whole state of a table at its version, so the commits up to it may be gone; what it holds counts as
+actions of its version. A table's state at a version starts from the newest checkpoint not after it.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from tablewarden.operators.skew import bucketed_lag, bucketed_row_number
 from tablewarden.session import settle
 
 _TEXT_MAP = "map<string,string>"
-ACTION_SCHEMA = f"""add struct<path:string, partitionValues:{_TEXT_MAP}, size:bigint, modificationTime:bigint, dataChange:boolean, stats:string>,
-    remove struct<path:string, deletionTimestamp:bigint, dataChange:boolean>,
+_VECTOR = "deletionVector:struct<storageType:string, pathOrInlineDv:string, offset:int>"
+ACTION_SCHEMA = f"""add struct<path:string, partitionValues:{_TEXT_MAP}, size:bigint, modificationTime:bigint, dataChange:boolean, stats:string, {_VECTOR}>,
+    remove struct<path:string, deletionTimestamp:bigint, dataChange:boolean, {_VECTOR}>,
     metaData struct<id:string, name:string, description:string, schemaString:string, partitionColumns:array<string>, createdTime:bigint>,
     commitInfo struct<timestamp:bigint, operation:string, userName:string, operationParameters:{_TEXT_MAP}>,
     protocol struct<minReaderVersion:int, minWriterVersion:int>"""
@@ -32,7 +35,21 @@ def read_log_lines(spark: SparkSession, locations: list[str]) -> DataFrame:
 
 
 def parse_actions(lines: DataFrame) -> DataFrame:
-    return lines.select("location", "version", F.from_json("value", ACTION_SCHEMA).alias("a")).select("location", "version", "a.*")
+    parsed = lines.select("location", "version", F.lit(False).alias("checkpoint"), F.from_json("value", ACTION_SCHEMA).alias("a"))
+    return parsed.select("location", "version", "checkpoint", "a.*")
+
+
+def read_checkpoints(spark: SparkSession, locations: list[str]) -> DataFrame:
+    """The actions in the tables' checkpoints, of one or several Parquet files each."""
+    files = spark.read.schema(ACTION_SCHEMA).option("pathGlobFilter", "*.checkpoint*.parquet")
+    found = files.parquet(*[f"{loc.rstrip('/')}/_delta_log" for loc in locations])
+    file = F.col("_metadata.file_path")
+    return found.select(
+        F.regexp_extract(file, r"^(.*)/_delta_log/", 1).alias("location"),
+        F.regexp_extract(file, r"/(\d+)\.checkpoint[^/]*$", 1).cast("bigint").alias("version"),
+        F.lit(True).alias("checkpoint"),
+        *[F.col(f.name) for f in found.schema],
+    )
 
 
 def load_actions(lines: DataFrame) -> DataFrame:
@@ -41,20 +58,35 @@ def load_actions(lines: DataFrame) -> DataFrame:
 
 
 def read_actions(spark: SparkSession, locations: list[str]) -> DataFrame:
-    return load_actions(read_log_lines(spark, locations))
+    """All actions of the tables at ``locations``, those of their checkpoints too, written once as columns."""
+    commits = parse_actions(read_log_lines(spark, locations))
+    return settle(commits.unionByName(read_checkpoints(spark, locations)), "delta-actions")
 
 
 def _until(actions: DataFrame, version: int | None) -> DataFrame:
     return actions if version is None else actions.where(F.col("version") <= version)
 
 
+def since_checkpoint(actions: DataFrame, version: int | None = None) -> DataFrame:
+    """The actions that make up each table's state: its newest checkpoint up to ``version`` and the commits after that."""
+    seen = _until(actions, version)
+    newest = seen.where("checkpoint").groupBy("location").agg(F.max("version").alias("_base"))
+    placed = seen.join(newest, "location", "left")
+    after = F.col("_base").isNull() | (F.col("version") > F.col("_base"))
+    return placed.where(F.when(F.col("checkpoint"), F.col("version") == F.col("_base")).otherwise(after)).drop("_base")
+
+
 def live_files(actions: DataFrame, version: int | None = None) -> DataFrame:
-    """Files that make up each table at ``version`` (newest by default): the last action of a path decides."""
-    touched = _until(actions, version).where("add IS NOT NULL OR remove IS NOT NULL").select(
-        "location", "version", F.coalesce("add.path", "remove.path").alias("path"), "add"
+    """Files that make up each table at ``version`` (newest by default): the last action of a path and deletion vector decides.
+
+    A commit that removes and adds the same leaves it added.
+    """
+    vector = F.coalesce("add.deletionVector", "remove.deletionVector")
+    touched = since_checkpoint(actions, version).where("add IS NOT NULL OR remove IS NOT NULL").select(
+        "location", F.coalesce("add.path", "remove.path").alias("path"), F.to_json(vector).alias("vector"), "add",
+        F.struct("version", F.col("add").isNotNull().alias("is_add")).alias("order"),
     )
-    # In one commit a file is not both added and removed, so the version alone orders a path's actions.
-    last = touched.groupBy("location", "path").agg(F.max_by("add", "version").alias("add"))
+    last = touched.groupBy("location", "path", "vector").agg(F.max_by("add", "order").alias("add"))
     return last.where("add IS NOT NULL").select(
         "location", "path", F.col("add.size").alias("size"), F.col("add.modificationTime").alias("modification_time"),
         F.col("add.stats").alias("stats"),
@@ -113,8 +145,15 @@ def extract_schema(schemas: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def schema_versions(actions: DataFrame) -> DataFrame:
-    """Every schema a table has had: (location, version, schema_string, partition_columns)."""
-    return actions.where("metaData IS NOT NULL").select(
+    """Every schema a table declared, as far back as its log goes: (location, version, schema_string, partition_columns).
+
+    What checkpoints hold stands in for the commits that are gone; a repeated schema changes nothing.
+    """
+    commits = actions.where("metaData IS NOT NULL AND NOT checkpoint")
+    oldest = commits.groupBy("location").agg(F.min("version").alias("_first"))
+    kept = actions.where("metaData IS NOT NULL AND checkpoint").join(oldest, "location", "left").where("_first IS NULL OR version < _first")
+    declared = commits.unionByName(kept.drop("_first"))
+    return declared.select(
         "location", "version", F.col("metaData.schemaString").alias("schema_string"),
         F.col("metaData.partitionColumns").alias("partition_columns"),
     )

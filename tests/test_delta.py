@@ -39,6 +39,46 @@ def test_snapshot_follows_versions(tables):
     assert rows(log.live_files(tables), "path") == [("f2",), ("f3",), ("f4",)]
 
 
+def test_checkpoints_stand_for_lost_commits(spark, tmp_path):
+    """Two checkpoints, commits before the second gone, a checkpoint in parts, deletion vectors."""
+    a = tmp_path / "a"
+    add = lambda p, size, dv=None: {"add": {"path": p, "size": size, "modificationTime": 1, "dataChange": True, "stats": '{"numRecords": 1}', **({"deletionVector": dv} if dv else {})}}
+    gone = lambda p, dv=None: {"remove": {"path": p, "dataChange": True, **({"deletionVector": dv} if dv else {})}}
+    meta = {"metaData": {"id": "x", "schemaString": schema(("id", "integer", False)), "partitionColumns": []}}
+    dv = {"storageType": "u", "pathOrInlineDv": "abc", "offset": 1}
+
+    def checkpoint(version, part, *actions):
+        log_dir = a / "_delta_log"
+        log_dir.mkdir(parents=True, exist_ok=True)
+        text = spark.createDataFrame([(json.dumps(x),) for x in actions], "value string")
+        made = text.select(F.from_json("value", log.ACTION_SCHEMA).alias("a")).select("a.*").toPandas()
+        name = f"{version:020d}.checkpoint{part}.parquet"
+        out = tmp_path / f"made-{version}{part}"
+        spark.createDataFrame(made, text.select(F.from_json("value", log.ACTION_SCHEMA).alias("a")).select("a.*").schema).coalesce(1).write.parquet(str(out))
+        next(out.glob("part-*.parquet")).rename(log_dir / name)
+
+    checkpoint(2, "", meta, add("old", 1), add("f1", 10))
+    checkpoint(4, ".0000000001.0000000002", meta, add("f1", 10))
+    checkpoint(4, ".0000000002.0000000002", add("f2", 20))
+    write(a, 5, add("f3", 30), gone("f1"), add("f1", 10, dv))
+    write(a, 6, gone("f2"), add("f2", 21))
+    actions = log.read_actions(spark, [str(a)])
+    assert rows(log.live_files(actions), "path", "size") == [("f1", 10), ("f2", 21), ("f3", 30)]
+    assert rows(log.live_files(actions, 4), "path") == [("f1",), ("f2",)] and rows(log.live_files(actions, 2), "path") == [("f1",), ("old",)]
+    assert rows(log.snapshot(actions), "version", "row_count", "num_files", "num_columns") == [(6, 3, 3, 1)]
+    assert rows(log.extract_schema(log.table_metadata(actions), ["location"]), "column_name", "data_type") == [("id", "integer")]
+    assert log.schema_changes(actions).count() == 0
+
+
+def test_order_of_remove_and_add_in_a_commit(spark, tmp_path):
+    for name, order in (("a", 1), ("b", -1)):
+        both = [{"remove": {"path": "f", "dataChange": True}}, {"add": {"path": "f", "size": 2, "modificationTime": 1, "dataChange": True}}]
+        write(tmp_path / name, 0, {"add": {"path": "f", "size": 1, "modificationTime": 1, "dataChange": True}})
+        write(tmp_path / name, 1, *both[::order])
+    actions = log.read_actions(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert rows(log.live_files(actions), "path", "size") == [("f", 2), ("f", 2)]
+
+
 def test_history(tables):
     assert rows(log.commit_history(tables, 2), "location", "version", "operation") == [("a", 1, "WRITE"), ("a", 2, "MERGE"), ("b", 0, "CREATE")]
 
