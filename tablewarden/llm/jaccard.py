@@ -6,9 +6,10 @@ band, by expected cost, the number of segments, spare ones for those that are em
 their one-deletion neighbourhoods). Documents with an equal segment meet by its signature:
 
 1. Documents with equal sets are one class, spoken for by its smallest id.
-2. Signatures are packed into blocks by destination; within a block of documents equal signatures are already joined and only the
-   smallest id travels on, so a signature that a third of all documents share travels once for each block. Where they meet, each
-   document is paired with the smallest id of the signature, its leader: as many pairs as documents, not their square.
+2. Signatures are packed by destination. Of the documents of a block that share one, a single id travels on together with a
+   number for that group, so a signature of a third of all documents travels once for each block. Where signatures meet, the
+   smallest id that offers them for its own band becomes their leader; the groups' numbers bring it back to all their
+   members. That makes as many pairs of a leader and a document as there are documents, not their square.
 3. Each pair is verified exactly on the texts. A leader with many documents is dealt out by salts.
 4. Documents of one leader that it isn't linked with may be linked with one another: they are compared by what they differ from
    the leader in, in square blocks of ``BLOCK`` documents, and only edges that span the links found go on.
@@ -36,7 +37,7 @@ from tablewarden.llm.graph import components
 PERCENT = 85
 WIDTH = 4
 FLUSH = 600_000
-SIGNATURES_PER_TASK = 400_000
+SIGNATURES_PER_TASK = 1_500_000
 LEADER_PART = 2048
 BLOCK = 512
 
@@ -57,71 +58,107 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def _meet(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest documents, and the distinct pairs of those with the others."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    leader = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else doc
-    other = leader != doc
-    pair = np.unique(np.stack([leader[other], doc[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return key[head], doc[head], pair[:, 0], pair[:, 1]
+_OFFER = np.dtype([("key", "<u8"), ("doc", "<i8"), ("group", "<u8"), ("larger", "i1")])
+_PAIR, _LEADS, _MEMBER = 0, 1, 2
 
 
-def leader_pairs(docs: DataFrame, n_shingles: int, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """(a, b): documents b with the leaders a of their signatures, each pair once."""
-    parts = max(16, n_shingles // SIGNATURES_PER_TASK * 2 // 5)
+def _groups(key: np.ndarray, doc: np.ndarray, larger: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an ``_OFFER`` for each key, members): of a block's documents with one key, the first speaks for the group.
 
-    def send(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc, a, b = _meet(np.concatenate(keys), np.concatenate(owners))
-        part = (key >> np.uint64(32)) % np.uint64(parts)
-        order = np.lexsort((doc, part))
-        key, doc, part = key[order], doc[order], part[order]
+    ``members`` has rows (group, document) for the others; equal groups of several keys are listed once.
+    """
+    order = np.lexsort((doc, larger, key))
+    key, doc, larger = key[order], doc[order], larger[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(head)
+    cut = np.append(first, len(key))
+    out = np.zeros(len(first), _OFFER)
+    out["key"], out["doc"], out["larger"] = key[first], doc[first], larger[first]
+    many = np.diff(cut) > 1
+    number = W.mix(S.group_sums(W.mix(doc.astype(np.uint64)), cut) + W.mix(out["doc"].astype(np.uint64) ^ np.uint64(0x5BD1E995))) | np.uint64(1)
+    out["group"] = np.where(many, number, 0)
+    _, once = np.unique(out["group"], return_index=True)
+    once = once[many[once]]
+    size = np.diff(cut)[once] - 1
+    at = np.repeat(cut[once] + 1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(once) else np.zeros(0, np.int64)
+    members = np.stack([np.repeat(number[once], size).view(np.int64), doc[at]], axis=1)
+    return out, members
+
+
+def _leaders(offers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs (leader, document), rows (group, its leader)) of offers that meet."""
+    offers = offers[np.lexsort((offers["doc"], offers["larger"], offers["key"]))]
+    head = np.ones(len(offers), bool)
+    head[1:] = offers["key"][1:] != offers["key"][:-1]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    led = offers["larger"][first] == 0  # sets of the larger band alone meet under that band's own signatures
+    leader, doc, group = offers["doc"][first], offers["doc"], offers["group"]
+    pair, grouped = led & (leader != doc), led & (group != 0)
+    pairs = np.unique(np.stack([leader[pair], doc[pair]], axis=1), axis=0)
+    return pairs, np.unique(np.stack([group[grouped].view(np.int64), leader[grouped]], axis=1), axis=0)
+
+
+def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
+
+
+def leader_pairs(docs: DataFrame, n_shingles: int, percent: int = PERCENT, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
+    """(a, b): documents b with the leaders a of their signatures."""
+    parts = max(12, n_shingles * 2 // 5 // SIGNATURES_PER_TASK)
+
+    def send(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        offers, members = _groups(*(np.concatenate(c) for c in zip(*kept, strict=True)))
+        part = ((offers["key"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((offers["doc"], part))
+        offers, part = offers[order], part[order]
         kinds, at = np.unique(part, return_index=True)
-        cut = [*at.tolist(), len(part)]
-        rows = [(int(p), key[i:j].tobytes(), doc[i:j].tobytes()) for p, i, j in zip(kinds, cut[:-1], cut[1:], strict=True)]
-        where = (b % parts).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        for i in range(0, len(order), 4096):  # pairs already found go to any part
-            some = order[i : i + 4096]
-            rows.append((-1 - int(where[some[0]]), a[some].tobytes(), b[some].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["part", "x", "y"])
+        rows = [
+            (p, b"".join(offers[f][i:j].tobytes() for f in _OFFER.names))
+            for p, i, j in zip(kinds.tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)
+        ]
+        for i in range(0, len(members), 8192):  # members only pass through
+            rows.append((-1 - int(members[i, 1]) % parts, members[i : i + 8192].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = S.Bands(percent)
-        keys, owners, n = [], [], 0
+        kept, n = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for a, z, block in W.blocks(batch):
-                key, doc = S.signatures(S.shingle_sets(block, width), bands)
-                keys.append(key)
-                owners.append(ids[a:z][doc])
+                key, doc, larger = S.signatures(S.shingle_sets(block, width), bands)
+                kept.append((key, ids[a:z][doc], larger))
                 n += len(key)
-                if n >= FLUSH:
-                    yield from send(keys, owners)
-                    keys, owners, n = [], [], 0
+                if n >= flush:
+                    yield from send(kept)
+                    kept, n = [], 0
         if n:
-            yield from send(keys, owners)
+            yield from send(kept)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, found = [], [], []
+        kept = []
         for batch in batches:
-            for part, x, y in zip(batch.column("part").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if part < 0:
-                    found.append(np.stack([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)], axis=1))
-                else:
-                    keys.append(np.frombuffer(x, np.uint64))
-                    owners.append(np.frombuffer(y, np.int64))
-        if keys:
-            _, _, a, b = _meet(np.concatenate(keys), np.concatenate(owners))
-            found.append(np.stack([a, b], axis=1))
-        if found:
-            pair = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    sent = docs.mapInArrow(offer, "part long, x binary, y binary").repartition(parts, "part")
-    return sent.mapInArrow(join, "a long, b long").distinct()
+                    yield _rows(_MEMBER, np.frombuffer(blob, np.int64).reshape(-1, 2))
+                    continue
+                offers, at = np.zeros(len(blob) // _OFFER.itemsize, _OFFER), 0
+                for f in _OFFER.names:
+                    size = _OFFER[f].itemsize * len(offers)
+                    offers[f], at = np.frombuffer(blob[at : at + size], _OFFER[f]), at + size
+                kept.append(offers)
+        if kept:
+            pairs, leads = _leaders(np.concatenate(kept))
+            yield _rows(_PAIR, pairs)
+            yield _rows(_LEADS, leads)
+
+    sent = docs.mapInArrow(offer, "part long, blob binary").repartition(parts, "part")
+    met = keep(sent.mapInArrow(join, "kind byte, a long, b long"), "met")
+    leads = met.where(F.col("kind") == _LEADS).select(F.col("a").alias("number"), F.col("b").alias("a")).distinct()
+    members = met.where(F.col("kind") == _MEMBER).select(F.col("a").alias("number"), "b")
+    brought = leads.join(members, "number").where("a <> b").select("a", "b")
+    return met.where(F.col("kind") == _PAIR).select("a", "b").unionByName(brought).distinct()
 
 
 def linked(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -136,7 +173,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int
     text_b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     text_a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     leaders = pairs.select("a", "salt").distinct()
-    both = pairs.join(text_b, "b").join(leaders.join(text_a, "a"), ["a", "salt"])
+    # merge joins at every size: the texts are the larger side, and a broadcast of pairs would not last
+    both = pairs.join(text_b.hint("merge"), "b").join(leaders.join(text_a.hint("merge"), "a").hint("merge"), ["a", "salt"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
@@ -231,8 +269,10 @@ def links_around(verified: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+def join_documents(
+    docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", flush: int = FLUSH
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``; a block has about ``flush`` signatures."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sets = keep(set_table(docs, width), "sets")
     key = ["n_shingles", "k1", "k2"]
@@ -240,7 +280,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     spoken = keep(sets.join(classes, key, "left").select("doc_id", "n_shingles", "rep"), "classes")
     total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    met = keep(leader_pairs(usable, total, percent, width), "met")
+    met = leader_pairs(usable, total, percent, width, flush)
     rep = spoken.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
     pairs = met.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = keep(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")

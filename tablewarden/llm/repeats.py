@@ -143,7 +143,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-def meet(source: DataFrame, make, parts: int, by_seed: bool) -> DataFrame:
+def meet(source: DataFrame, make, parts: int, by_seed: bool, flush: int = FLUSH) -> DataFrame:
     """``VERDICT`` rows for the records that ``make`` gets from Arrow batches.
 
     With ``by_seed``, records of one ``h`` and different ``c`` offer their windows; else only equal records count.
@@ -155,7 +155,7 @@ def meet(source: DataFrame, make, parts: int, by_seed: bool) -> DataFrame:
             for records in make(batch):
                 kept.append(records)
                 n += len(records)
-                if n >= FLUSH:
+                if n >= flush:
                     yield _send(parts, *_settle(np.concatenate(kept), by_seed))
                     kept, n = [], 0
         if n:
@@ -201,8 +201,10 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` has the words that stay, joined by one space."""
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", flush: int = FLUSH
+) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): ``kept`` has the words that stay, joined by one space; a block has about ``flush`` anchors."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
     parts = max(16, -(-total_bytes(docs) // BYTES_PER_TASK))
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_
         for a, z, block in W.blocks(batch):
             yield occurrences(block, rows[a:z], length, seed)
 
-    first = keep(meet(docs.select("row", "text"), seeds, parts, True), "seeds")
+    first = keep(meet(docs.select("row", "text"), seeds, parts, True, flush), "seeds")
     by_row = first.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "repeats", "offers")).alias("found"))
     joined = docs.join(by_row.hint("shuffle_hash"), "row", "left")
     schema = "row long, doc_id long, text string, n_words long, n_removed long, kept string, starts binary, sizes binary, offered binary, keys binary"
@@ -260,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_
             yield out
 
     unsure = half.where("offered is not null")
-    second = meet(unsure.select("row", "offered", "keys"), windows, parts, False)
+    second = meet(unsure.select("row", "offered", "keys"), windows, parts, False, flush)
     hits = second.groupBy("row").agg(F.collect_list("lo").alias("hits"))
     final = unsure.select("row", "doc_id", "text", "n_words", "starts", "sizes").join(hits.hint("shuffle_hash"), "row", "left")
 

@@ -123,11 +123,14 @@ class Bands:
         return best[1]
 
 
-def signatures(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) pairs: two linked sets that differ share at least one signature."""
+def signatures(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, whether it is offered as a larger partner of a smaller band's sets).
+
+    Two linked sets that differ share at least one signature, which one of them at least offers for its own band.
+    """
     sizes = sets.sizes
     band = bands.band(sizes)
-    keys, docs = [], []
+    keys, docs, larger = [], [], []
     for down in (0, 1):
         number = np.where(sizes > 0, band - down, -1)
         live = np.flatnonzero(number >= 0)
@@ -169,6 +172,7 @@ def signatures(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
                 x = np.array([hash((int(number[live[d]]), *chosen)) & (2**64 - 1)], np.uint64)
                 keys.append(W.mix(x))
                 docs.append(live[[d]])
+        larger.append(np.full(sum(map(len, docs)) - sum(map(len, larger)), down, np.int8))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(docs)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(larger)

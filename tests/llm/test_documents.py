@@ -227,16 +227,16 @@ def repeats_by_hand(made, length):
 
 
 @pytest.mark.parametrize("flush", [400_000, 50])
-def test_repeats_on_odd_documents(docs, empty, flush, monkeypatch):
-    monkeypatch.setattr(repeats, "FLUSH", flush)
+def test_repeats_on_odd_documents(docs, empty, flush):
     made, df = docs
-    got = repeats.remove_repeats(df)
+    got = repeats.remove_repeats(df, flush=flush)
     digest = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect()), key=repr)
     assert digest == repeats_by_hand(made, 35)
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_repeats_with_partial_overlaps(spark):
+@pytest.mark.parametrize("flush", [400_000, 60])
+def test_repeats_with_partial_overlaps(spark, flush):
     """Passages of many lengths, cut from a few texts and set between other words, with periodic ones among them."""
     rng = np.random.default_rng(3)
     pool = [[f"p{rng.integers(200)}" for _ in range(300)] for _ in range(3)] + [["a", "b", "c"] * 60, ["z"] * 120]
@@ -249,7 +249,7 @@ def test_repeats_with_partial_overlaps(spark):
             at, n = int(rng.integers(len(src))), int(rng.integers(5, 80))
             own += src[at : at + n]
         made.append((d, " ".join(own), None, None, None))
-    got = repeats.remove_repeats(spark.createDataFrame(made, COLUMNS).repartition(5))
+    got = repeats.remove_repeats(spark.createDataFrame(made, COLUMNS).repartition(5), flush=flush)
     digest = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect()), key=repr)
     assert digest == repeats_by_hand(made, 35)
 
@@ -351,3 +351,20 @@ def test_feistel_on_addresses_is_a_permutation(spark):
     """All addresses of one short form, each another one's pseudonym."""
     df = spark.range(10000).selectExpr("id AS doc_id", "concat_ws('.', id div 1000, id div 100 % 10, id div 10 % 10, id % 10) AS text")
     assert pii.pseudonymize(df, "key").select("text").distinct().intersect(df.select("text")).count() == 10000
+
+
+@pytest.mark.parametrize("flush", [600_000, 40])
+def test_jaccard_join_whatever_the_blocks(spark, flush):
+    """A chain of texts, each like its neighbours only, in many blocks: what one block groups must meet all others."""
+    rng = np.random.default_rng(11)
+    made, base = [], [f"w{i}" for i in range(120)]
+    for step in range(60):
+        base = list(base)
+        for _ in range(int(rng.integers(1, 3))):
+            base[int(rng.integers(len(base)))] = f"n{rng.integers(10**6)}"
+        made.append((int(rng.integers(10**12)), " ".join(base), None, None, None))
+        if step % 7 == 0:
+            made.append((int(rng.integers(10**12)), " ".join(base), None, None, None))
+    df = keep(spark.createDataFrame(made, COLUMNS).repartition(6), "chain")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df, flush=flush).collect()}
+    assert got == jaccard_by_hand(made)
