@@ -39,6 +39,8 @@ WIDTH = 4
 FLUSH = 600_000
 SIGNATURES_PER_TASK = 1_500_000
 LEADER_PART = 2048
+CLASS_PART = 1024
+SALTS = 64
 BLOCK = 512
 
 
@@ -161,8 +163,20 @@ def leader_pairs(docs: DataFrame, n_shingles: int, percent: int = PERCENT, width
     return met.where(F.col("kind") == _PAIR).select("a", "b").unionByName(brought).distinct()
 
 
-def linked(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * common >= percent * (n_a + n_b - common)
+def with_classes(sets: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, rep): the smallest id with an equal set, itself if there is no other; null for empty sets.
+
+    Large classes are joined under salts, the others by their key.
+    """
+    key = ["n_shingles", "k1", "k2"]
+    classes = keep(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    large = classes.where(F.col("n") > CLASS_PART).select(*key, F.col("rep").alias("large"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(large, [*key, "salt"], "left")
+    salted = keep(salted.select("doc_id", *key, "large"), "salted-sets")
+    done = salted.where("large is not null").select("doc_id", "n_shingles", F.col("large").alias("rep"))
+    rest = salted.where("large is null").join(classes.where(F.col("n") <= CLASS_PART).select(*key, "rep"), key, "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id"))
+    return done.unionByName(rest.select("doc_id", "n_shingles", own.alias("rep")))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -275,9 +289,7 @@ def join_documents(
     """(doc_id, n_shingles, component_id) for each row of ``docs``; a block has about ``flush`` signatures."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sets = keep(set_table(docs, width), "sets")
-    key = ["n_shingles", "k1", "k2"]
-    classes = sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    spoken = keep(sets.join(classes, key, "left").select("doc_id", "n_shingles", "rep"), "classes")
+    spoken = keep(with_classes(sets), "classes")
     total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     met = leader_pairs(usable, total, percent, width, flush)

@@ -353,6 +353,16 @@ def test_feistel_on_addresses_is_a_permutation(spark):
     assert pii.pseudonymize(df, "key").select("text").distinct().intersect(df.select("text")).count() == 10000
 
 
+def test_equal_sets_have_one_speaker(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CLASS_PART", 20)
+    made = [(1000 - i, "a b c d e" if i % 2 else f"x{i % 10} b c d e", None, None, None) for i in range(200)] + [(5, "", None, None, None), (3, None, None, None, None)]
+    got = {r["doc_id"]: r["rep"] for r in jaccard.with_classes(keep(jaccard.set_table(spark.createDataFrame(made, COLUMNS).select("doc_id", "text")), "t")).collect()}
+    least = {}
+    for d, t, *_ in made:
+        least[t] = min(d, least.get(t, d))
+    assert got == {d: least[t] if t else None for d, t, *_ in made}
+
+
 @pytest.mark.parametrize("flush", [600_000, 40])
 def test_jaccard_join_whatever_the_blocks(spark, flush):
     """A chain of texts, each like its neighbours only, in many blocks: what one block groups must meet all others."""
