@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.fixed_values import MAX_DATASET_NAME, MAX_FIELD_NAME, MAX_IDENTIFIER, MAX_TAG
-from tablewarden.operators.skew import dense_ids
+from tablewarden.operators.skew import dense_ids, latest_per_key
 
 # Letters and digits of any script.
 _WORD = r"\p{IsAlphabetic}\p{N}"
@@ -69,9 +69,10 @@ def emit(catalog: Catalog, batch: DataFrame) -> Catalog:
 
     batch: name, path, format, description, tenant, domain, owner, emitted_at, row_count, size_bytes,
     partition_keys array, fields array<struct<name, data_type, nullable>>, upstream array<string>,
-    tags array<string>; names are unique in it. Known datasets keep id and created_at, everything else
+    tags array<string>. Of rows with one name the last by emitted_at counts. Known datasets keep id and created_at, everything else
     of an emitted dataset is replaced; upstream names the catalog does not know are skipped.
     """
+    batch = latest_per_key(batch, ["name"], ["emitted_at", "path"])
     known = catalog.datasets.select(F.col("name"), F.col("id").alias("known_id"), F.col("created_at").alias("known_created"))
     top = F.coalesce(catalog.datasets.agg(F.max("id")).scalar(), F.lit(0))
     matched = batch.join(known, "name", "left")

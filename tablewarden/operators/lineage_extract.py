@@ -19,10 +19,11 @@ _QUERY = ["query_id", "branch"]
 
 def source_tables(tables: DataFrame) -> DataFrame:
     """Tables each SELECT reads under the name it uses for them; derived tables as ``<subquery:alias>``."""
-    return tables.select(
+    named = tables.select(
         *_QUERY, "ordinal", F.coalesce("alias", "table").alias("source_table"),
         F.coalesce("table", F.concat(F.lit("<subquery:"), "alias", F.lit(">"))).alias("table_name"),
-    ).dropDuplicates([*_QUERY, "source_table", "table_name"])
+    )
+    return named.groupBy(*_QUERY, "source_table", "table_name").agg(F.min("ordinal").alias("ordinal"))
 
 
 def read_texts(texts: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 20_000
-
 
 def build_session(app: str = "tablewarden", cpus: int | None = None) -> SparkSession:
     """A session for local runs; on a cluster pass the session the cluster gives you instead."""
@@ -87,12 +85,3 @@ def settle_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     seen = Observation()
     kept = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
     return kept, seen.get["n"]
-
-
-def broadcast_if_small(df: DataFrame, label: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` computed once, and marked for broadcast only when its counted rows are within the bound.
-
-    Beyond it the planner is free to shuffle.
-    """
-    made = settle(df, label)
-    return F.broadcast(made) if made.count() <= max_rows else made

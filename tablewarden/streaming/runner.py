@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tablewarden.session import scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
@@ -23,11 +21,6 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return reader.parquet(folder)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State store for queries with much or timed state; a setting of the session that later queries read at start."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def run_batches(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str, mode: str = "append", every: str | None = None
 ):

@@ -50,6 +50,18 @@ def test_kinds_columns_and_names(spark):
         assert (texts[expr]["text"] is None) == (kind == "direct"), expr
 
 
+def test_long_items_are_read(spark):
+    literals = ", ".join(f"'x{i}'" for i in range(15000))
+    sums = " + ".join(f"c{i}" for i in range(12000))
+    nested = "(" * 400 + "a" + ")" * 400
+    cases = "CASE WHEN a = 1 THEN " * 300 + "b" + " END" * 300
+    exprs = [f"status IN ({literals})", sums, f"f({nested}) + b", cases, "CAST(a AS " + "w " * 20000 + ")"]
+    texts = {r["expr"]: r for r in ops.read_texts(_items(spark, exprs)).collect()}
+    assert [texts[e]["kind"] for e in exprs[:4]] == ["expression", "expression", "expression", "case"]
+    assert texts[exprs[0]]["text"] == "status" and texts[exprs[0]]["refs"] == ["status"]
+    assert len(texts[sums]["refs"]) == 12000 and texts[exprs[2]]["refs"] == ["a", "b"]
+
+
 def test_operand_text(spark):
     exprs = ["x IN (1, 2)", "lower(x) NOT IN ('a')", "x BETWEEN 1 AND y", "a AND x IN (1)", "NOT x IN (1)"]
     texts = {r["expr"]: r["text"] for r in ops.read_texts(_items(spark, exprs)).collect()}
