@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,21 @@ def classify_by_content(df: DataFrame, text_columns: list[str], rules=None, whol
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def scan_tables(frames: dict[str, DataFrame], rules: DataFrame, whole_values: bool = False) -> DataFrame:
+    """(dataset, column_name, rule, matching_values, checked_values) for every string column of every frame.
+
+    ``rules`` is a governance rule table; the patterns of its active PII rules become literals of the one pass over each frame.
+    """
+    live = rules.where("rule_type = 'pii_detection' AND is_active").withColumn("c", F.from_json("config", RULE_CONFIG))
+    known = [(r["name"], r["patterns"]) for r in live.select("name", "c.patterns").where("size(patterns) > 0").orderBy("name").collect()]
+    scans = []
+    for name, df in frames.items():
+        texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+        if texts and known:
+            scans.append(classify_by_content(df, texts, known, whole_values).select(F.lit(name).alias("dataset"), "*"))
+    return reduce(DataFrame.unionByName, scans)
+
+
 _STORED = ["classification", "category", "confidence", "source"]
 
 

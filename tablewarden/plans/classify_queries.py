@@ -60,6 +60,21 @@ def classify_by_content_whole_values(v):
     return ops.classify_by_content(v.requests, ["client_ip"])
 
 
+# Every string column of these tables, as TESTDATA.md has them.
+_TEXT_COLUMNS = {
+    "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "documents": ["text", "lang", "source"], "conversations": ["role", "text"],
+    "pages": ["url", "html"], "events": ["event_type", "props"],
+}
+
+
+@query(
+    "classify_by_content_scan",
+    " UNION ALL ".join(f"SELECT '{t}' AS dataset, * FROM ({_content_sql(t, c, False)})" for t, columns in _TEXT_COLUMNS.items() for c in columns),
+)
+def classify_by_content_scan(v):
+    return ops.scan_tables({t: v.table(t) for t in _TEXT_COLUMNS}, ops.default_rules(v.spark))
+
+
 _SCAN = """SELECT id AS field_id, 'sensitive' AS classification, 'scan' AS category, CAST(0.7 AS DOUBLE) AS confidence,
     'auto' AS source FROM {fields} WHERE id % 2 = 0"""
 

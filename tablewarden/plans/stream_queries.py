@@ -1,10 +1,14 @@
-"""Streaming forms run to the end of the events file, checked against their batch forms."""
+"""Streaming forms, checked against their batch forms.
+
+The events arrive as weeks, one after the other, each taken up by the stream before the next is there. So state
+and results cross batches in every query.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewarden.functions.exprs import utc_instant
+from tablewarden.functions.exprs import ntz, utc_instant
 from tablewarden.plans.registry import query
 from tablewarden.plans.request_queries import _OPENED, _WINDOW, limited
 from tablewarden.plans.usage_queries import _COUNTERS, _DAILY
@@ -12,17 +16,25 @@ from tablewarden.plans.views import Views
 from tablewarden.streaming import alerts, audit, requests, runner, throttle, usage
 
 
-def streaming(v: Views) -> Views:
-    """The same views with ``events`` as a stream of files."""
-    s = Views(v.spark, v.folder)
-    s._made["events"] = runner.file_stream(v.spark, v.folder, "events.parquet", v.events.schema)
-    return s
+_WEEKS = ["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+
+
+def by_weeks(v: Views, run) -> None:
+    """Call ``run`` with the views over the stream of events, once after each week has arrived."""
+    folder, ts = runner.fresh_folder(v.spark, "events"), F.col("ts")
+    ends = [ntz(f"{day} 00:00:00") for day in _WEEKS]
+    parts = [ts < ends[0], *[(ts >= a) & (ts < z) for a, z in zip(ends[:-1], ends[1:])], ts.isNull() | (ts >= ends[-1])]
+    for part in parts:
+        v.events.where(part).write.mode("append").parquet(folder)
+        s = Views(v.spark, v.folder)
+        s._made["events"] = runner.file_stream(v.spark, folder, "*.parquet", v.events.schema)
+        run(s)
 
 
 @query("stream_usage_daily", _DAILY)
 def stream_usage_daily(v):
     folder = runner.fresh_folder(v.spark, "usage")
-    usage.exact(streaming(v).access_events, folder)
+    by_weeks(v, lambda s: usage.exact(s.access_events, folder))
     return usage.exact_result(v.spark, folder, v.access_events)
 
 
@@ -32,15 +44,14 @@ def stream_usage_daily(v):
 )
 def stream_usage_windowed(v):
     folder = runner.fresh_folder(v.spark, "usage-windowed")
-    updates = usage.windowed(streaming(v).access_events)
-    usage.keep_updates(updates, folder)
-    return usage.updates_result(v.spark, folder, updates.schema).drop("unique_users")
+    by_weeks(v, lambda s: usage.keep_updates(usage.windowed(s.access_events), folder))
+    return usage.updates_result(v.spark, folder, usage.windowed(v.access_events).schema).drop("unique_users")
 
 
 @query("stream_audit", "SELECT * FROM {audit_log}")
 def stream_audit(v):
     folder = runner.fresh_folder(v.spark, "audit")
-    audit.append(streaming(v).audit_log, folder)
+    by_weeks(v, lambda s: audit.append(s.audit_log, folder))
     return v.spark.read.schema(v.audit_log.schema).parquet(f"{folder}/log").select(*v.audit_log.columns)
 
 
@@ -51,7 +62,7 @@ def stream_audit(v):
 )
 def stream_throttle(v):
     folder = runner.fresh_folder(v.spark, "throttle")
-    throttle.throttle(limited(streaming(v)), folder, _WINDOW, ttl_secs=10 * _WINDOW)
+    by_weeks(v, lambda s: throttle.throttle(limited(s), folder, _WINDOW, ttl_secs=10 * _WINDOW))
     return throttle.result(v.spark, folder)
 
 
@@ -63,9 +74,8 @@ def stream_throttle(v):
 )
 def stream_request_metrics(v):
     folder = runner.fresh_folder(v.spark, "request-metrics")
-    updates = requests.sliding_rates(streaming(v).requests)
-    usage.keep_updates(updates, folder)
-    return usage.updates_result(v.spark, folder, updates.schema, ["slot", "path", "method", "status_class"])
+    by_weeks(v, lambda s: requests.count_rates(s.requests, folder))
+    return requests.rates_result(v.spark, folder)
 
 
 _START_MS = 1704067200000  # 2024-01-01 00:00:00
@@ -89,6 +99,6 @@ _START_MS = 1704067200000  # 2024-01-01 00:00:00
 )
 def stream_alerts(v):
     folder = runner.fresh_folder(v.spark, "alerts")
-    updates = streaming(v).access_events.select("dataset_id", utc_instant(F.col("ts")).alias("updated_at"))
-    alerts.freshness_alerts(updates, v.freshness_config, folder, _START_MS, cooldown_secs=86400)
+    updates = lambda s: s.access_events.select("dataset_id", utc_instant(F.col("ts")).alias("updated_at"))
+    by_weeks(v, lambda s: alerts.freshness_alerts(updates(s), v.freshness_config, folder, _START_MS, cooldown_secs=86400))
     return v.spark.read.schema(alerts.ALERT_SCHEMA).parquet(f"{folder}/rows/batch=*")

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import utc_instant, utc_wall_clock
 from tablewarden.operators.requests import status_class
+from tablewarden.streaming.runner import read_batches, run_batches, write_batch
 
+_KEYS = ["slot", "path", "method", "status_class"]
+_COUNTS = "slot timestamp_ntz, path string, method string, status_class string, requests bigint"
 
-def sliding_rates(requests: DataFrame, width: str = "5 minutes", slide: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
-    """Requests per path, method and status class in each sliding window, as a stream of updates."""
-    counted = requests.withColumn("ts", utc_instant(F.col("ts"))).withWatermark("ts", lateness).groupBy(
-        F.window("ts", width, slide), "path", "method", status_class().alias("status_class")
-    ).agg(F.count(F.lit(1)).alias("requests"))
+
+def _windowed(requests: DataFrame, width: str, slide: str) -> DataFrame:
+    counted = requests.groupBy(F.window("ts", width, slide), "path", "method", status_class().alias("status_class")).agg(F.count(F.lit(1)).alias("requests"))
     return counted.select(utc_wall_clock(F.col("window.start")).alias("slot"), "path", "method", "status_class", "requests")
+
+
+def count_rates(requests: DataFrame, folder: str, width: str = "5 minutes", slide: str = "1 minute", every: str | None = None):
+    """Each batch adds its own counts per window, path, method and status class; however late a request is, it counts."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        timed = batch.withColumn("ts", utc_instant(F.col("ts")))
+        write_batch(_windowed(timed, width, slide), f"{folder}/rates", number)
+
+    return run_batches(requests, add, folder, every=every)
+
+
+def rates_result(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts over all batches so far."""
+    schema = spark.createDataFrame([], _COUNTS).schema
+    return read_batches(spark, f"{folder}/rates", schema).groupBy(*_KEYS).agg(F.sum("requests").alias("requests"))
+
+
+def sliding_rates(requests: DataFrame, width: str = "5 minutes", slide: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
+    """As a stream of updates with state that ends: requests later than ``lateness`` are left out, which ``count_rates`` never does."""
+    return _windowed(requests.withColumn("ts", utc_instant(F.col("ts"))).withWatermark("ts", lateness), width, slide)
