@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.exprs import json_string_list
 from tablewarden.functions.types import canonical_type
 from tablewarden.operators import ingest as ops
-from tablewarden.plans.registry import query
+from tablewarden.plans.registry import alias, query
 from tablewarden.plans.views import BASE_TABLES
 from tablewarden.sources.catalog_store import scan_dataset as scan
 
@@ -202,3 +202,7 @@ def etl_clean(v):
 def etl_summary(v):
     out = ops.customer_summary(ops.clean_transactions(v.sql(_TRANSACTIONS)))
     return out.withColumn("total_amount", F.round("total_amount", 4)).withColumn("avg_amount", F.round("avg_amount", 4))
+
+
+alias("pipeline_clean", "etl_clean")
+alias("pipeline_summary", "etl_summary")

@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def alias(name: str, of: str) -> None:
+    """Register a query under a second name."""
+    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+
+
 def load_all() -> None:
     for m in _MODULES:
         import_module(f"tablewarden.plans.{m}")

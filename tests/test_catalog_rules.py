@@ -151,3 +151,41 @@ def test_search(spark):
     with pytest.raises(ValueError):
         search.word("--")
     assert find(search.word("x" * 5000)) == []
+
+
+def test_column_statistics_are_exact(spark):
+    from tablewarden.operators import quality
+
+    stats = [
+        '{"numRecords": 2, "nullCount": {"n": 1}, "minValues": {"n": 9007199254740993, "d": 9.5, "x": 9.5, "s": "10"}, "maxValues": {"n": 9007199254740993, "d": 9.5, "x": 9.5, "s": "10"}}',
+        '{"numRecords": 1, "minValues": {"n": 10, "d": 10.25, "x": 10.25, "s": "9"}, "maxValues": {"n": 9007199254740992, "d": 10.25, "x": 10.25, "s": "9"}}',
+    ]
+    files = spark.createDataFrame([(1, f"f{i}", 1, s) for i, s in enumerate(stats)], "dataset_id bigint, path string, size bigint, stats string")
+    kinds = {"n": "long", "d": "decimal(10,2)", "x": "double", "s": "string", "gone": "date"}
+    schemas = spark.createDataFrame([(1, c, k) for c, k in kinds.items()], "dataset_id bigint, column_name string, data_type string")
+    got = {r["column_name"]: (r["null_count"], r["min_value"], r["max_value"]) for r in quality.column_stats(files, schemas).collect()}
+    assert got == {"n": (1, "10", "9007199254740993"), "d": (0, "9.50", "10.25"), "x": (0, "9.5", "10.25"), "s": (0, "10", "9"), "gone": (None, None, None)}
+
+
+def test_days_with_many_users_are_counted_whole(spark):
+    from pyspark.sql import functions as F
+
+    from tablewarden.operators import usage
+
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts")
+    events = spark.range(10500).select(F.lit(1).cast("bigint").alias("dataset_id"), F.concat(F.lit("u"), "id").alias("user_name"), F.lit("read").alias("access_type"), day)
+    assert usage.daily(events).first()["unique_users"] == 10500
+    with pytest.raises(ValueError):
+        usage.period_days("2w")
+
+
+def test_requests_of_unknown_tenants_get_a_decision(spark):
+    from pyspark.sql import functions as F
+
+    from tablewarden.operators import tenancy
+
+    asked = spark.createDataFrame([(1, "t", 1), (2, "t", 2), (3, "nobody", 1), (4, None, 1)], "id bigint, tenant_id string, requested_at int")
+    tenants = spark.createDataFrame([("t", 1)], "tenant_id string, quota_max_datasets bigint")
+    none = spark.createDataFrame([], "id bigint, tenant string")
+    got = tenancy.admission(asked, tenants, none, F.col("requested_at"), dry_run=False)
+    assert {r["id"]: r["decision"] for r in got.collect()} == {1: "admitted", 2: "blocked", 3: "unknown_tenant", 4: "unknown_tenant"}

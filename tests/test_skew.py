@@ -42,3 +42,10 @@ def test_substring_matches(spark):
     want = sorted(((t, n) for t in texts for n in needles if n in t), key=repr)
     for salts in (1, 4):
         assert rows(skew.substring_matches(left, "text", right, "needle", salts=salts), "text", "needle") == want
+
+
+def test_null_keys_and_times_stay(spark):
+    df = spark.createDataFrame([("a", 1, 1), (None, 1, 2), (None, 2, 3), ("a", None, 4)], "k string, t int, id int")
+    numbered = skew.bucketed_row_number(df, ["k"], ["t", "id"], F.floor(F.col("t") / 10))
+    assert rows(numbered, "id", "row_no") == [(1, 2), (2, 1), (3, 2), (4, 1)]
+    assert rows(skew.bucketed_lag(df, ["k"], ["t", "id"], "id", F.floor(F.col("t") / 10), "before"), "id", "before") == [(1, 4), (2, None), (3, 2), (4, None)]
