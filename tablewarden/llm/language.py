@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import words as W
+from tablewarden.llm.common import fresh_name
 
 ORDER = 3
 FIT_BYTES = 8_000_000
@@ -182,11 +183,13 @@ class Coder:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` without the text, with the language found and its score."""
+    """``docs`` without the text, with the language found and its score; columns that have these names already are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by fit_bytes
-    others = [c for c in docs.columns if c != text]
-    with_letter = docs.select(*[f"`{c}`" for c in others], F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    others = [c for c in docs.columns if c not in (text, pred, score)]
+    source, has_letter = fresh_name(others, "text"), fresh_name(others, "has_letter")
+    letter_of = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    with_letter = docs.select(*[f"`{c}`" for c in others], F.col(f"`{text}`").alias(source), letter_of.alias(has_letter))
     kept: list[Coder] = []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +197,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             kept.append(Coder(shared.value) if shared.value.langs else None)
         coder = kept[0]
         for batch in batches:
-            for a, z, block in W.blocks(batch, "__text"):
+            for a, z, block in W.blocks(batch, source):
                 part = batch.slice(a, z - a)
-                letter = part.column("__letter").to_numpy(zero_copy_only=False)
+                letter = part.column(has_letter).to_numpy(zero_copy_only=False)
                 names, values = np.full(z - a, "und", object), np.zeros(z - a)
                 if coder is not None:
                     bits = coder.totals(block.data, block.cut)

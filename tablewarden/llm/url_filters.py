@@ -112,7 +112,10 @@ def build_cascade(universe: DataFrame) -> Cascade:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], is_listed: Column, url: str = "url") -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; ``is_listed`` is decided once for each host, on column key."""
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` (columns of these names are replaced).
+
+    ``is_listed`` is decided once for each host, on column key.
+    """
     host, path = host_and_path(F.col(f"`{url}`"))
     universe = pages.select(host.alias("key")).distinct().select("key", F.coalesce(is_listed, F.lit(False)).alias("listed"))
     cascade = build_cascade(universe)

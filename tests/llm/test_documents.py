@@ -77,6 +77,8 @@ def test_language_learns_and_handles_odd_texts(spark, docs, empty):
     for d, t, *_ in made:
         blank = not any(c.isalpha() for c in t or "")
         assert (odd[d]["lang_pred"] == "und") == blank and 0 <= odd[d]["score"] <= 1
+    clash = df.select("doc_id", "text", df["lang"].alias("score"), df["source"].alias("has_letter"))
+    assert language.predict(clash, model).columns == ["doc_id", "has_letter", "lang_pred", "score"]
     none = language.fit(empty)
     assert {r["lang_pred"] for r in language.predict(df.select("doc_id", "text"), none).collect()} == {"und"}
     assert language.predict(empty, model).count() == 0
