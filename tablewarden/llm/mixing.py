@@ -8,8 +8,9 @@ metric is exactly 1, so a step of 1 always descends. An iteration is one aggrega
 posteriors; the rates are a chain of the steps' K coefficients, so no state is stored or shuffled.
 
 Tokens are words (runs without white space). The classifier is learnt from at most about ``FIT_ROWS`` labelled documents,
-chosen by a hash of their id, over ``BUCKETS`` hashed lower-case words. Words that tell little (log odds under ``LEAST_ODDS``) count
-nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most. Null and empty texts have no tokens, prior posteriors, and rate like others. Without labels every document has
+chosen by a hash of their id (equal texts once), over lower-case words. Words that tell little (log odds
+under ``LEAST_ODDS``, or shares of documents closer than ``LEAST_SPREADS`` standard errors or ``LEAST_SHARE``, as the words of
+a group of copies have) count nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most. Null and empty texts have no tokens, prior posteriors, and rate like others. Without labels every document has
 rate 1. Everything is DataFrame functions.
 """
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import keep
 
 FIT_ROWS = 4000
-BUCKETS = 1 << 15
 LEAST_ODDS = 1.5
+LEAST_SPREADS = 5.0
+LEAST_SHARE = 0.1
 ABSENT = 4.0
 STEPS = 40
 TOLERANCE = 1e-4
@@ -38,67 +40,91 @@ def words(text: str) -> Column:
     return F.when(F.length(t) > 0, F.split(t, SPACES)).otherwise(F.array().cast("array<string>"))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def hashes(text: str) -> Column:
+    """Hashes of the distinct words of a column."""
+    return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
 
 
-def _sum_of(table: Column, hashed: Column) -> Column:
-    return F.aggregate(hashed, F.lit(0.0), lambda s, b: s + F.get(table, b))
+def _literal(values: list, kind: str) -> Column:
+    """An array that the optimizer folds to one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 @dataclass
 class Classifier:
-    """``odds``: for each domain but the first the log odds of ``BUCKETS`` buckets, as text; ``priors``: log shares and what no word at all tells."""
+    """Domains with log priors (and what no word at all tells), and the words that tell: by slot their hash and, for each domain
+    but the first, their log odds; a word's slot is its hash modulo the number of slots."""
 
     domains: list[str]
     priors: list[float]
-    odds: list[str]
+    words: list[int]
+    odds: list[list[float]]
 
     def logs(self, hashed: Column) -> Column:
-        """Log posteriors, but for a common term, of the domains for an array of buckets."""
+        """Log posteriors, but for a common term, of the domains for an array of word hashes."""
+        if not self.words:
+            return F.array(*[F.lit(p) for p in self.priors])
+        slots = F.lit(len(self.words))
+        own = _literal(self.words, "bigint")
+        known = F.transform(F.filter(hashed, lambda h: F.get(own, F.pmod(h, slots).cast("int")) == h), lambda h: F.pmod(h, slots).cast("int"))
         logs = [F.lit(self.priors[0])]
         for prior, odds in zip(self.priors[1:], self.odds, strict=True):
-            logs.append(F.lit(prior) + _sum_of(F.split(F.lit(odds), ",").cast("array<double>"), hashed))  # folded to one literal
+            logs.append(F.lit(prior) + _sum_of(_literal([f"{x:.6g}" for x in odds], "double"), known))
         return F.array(*logs)
 
 
+def _sum_of(table: Column, slots: Column) -> Column:
+    return F.aggregate(slots, F.lit(0.0), lambda s, b: s + F.get(table, b))
+
+
 def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text") -> Classifier:
     """``labelled``: (doc_id, domain). The sample of labels is small by its bound, so it is broadcast to ``docs``."""
     known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     total = known.count()
     if not total:
-        return Classifier(["all"], [0.0], [])
+        return Classifier(["all"], [0.0], [], [])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = keep(known.where(chance < fit_rows / total).dropDuplicates(["doc_id"]), "labels")
     labelled_docs = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
-    seen = keep(labelled_docs.select("domain", F.transform(words(text), bucket).alias("buckets")), "labelled")
+    labelled_docs = labelled_docs.withColumn("same", F.xxhash64(text)).dropDuplicates(["same"])
+    seen = keep(labelled_docs.select("domain", hashes(text).alias("words")), "labelled")
     shares = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
-        return Classifier(["all"], [0.0], [])
+        return Classifier(["all"], [0.0], [], [])
     domains = sorted(shares, key=lambda d: (-shares[d], d))
     rows = sum(shares.values())
     priors = [math.log(shares[d] / rows) for d in domains]
-    present = seen.select("domain", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    counts = present.groupBy("bucket").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n_{k}") for k, d in enumerate(domains)])
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").fillna(0)
-    fields = []
+    present = seen.select("domain", F.explode("words").alias("word"))
+    counts = present.groupBy("word").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n_{k}") for k, d in enumerate(domains)])
+    fields, size_0 = [], shares[domains[0]]
     for k in range(1, len(domains)):
-        own, first = (F.col(f"n_{k}") + 0.5) / (shares[domains[k]] + 1.0), (F.col("n_0") + 0.5) / (shares[domains[0]] + 1.0)
-        told = (F.abs(F.log(own / first)) >= LEAST_ODDS) & (F.col(f"n_{k}") + F.col("n_0") >= 5)
-        absent = F.when(own > first, F.log((1 - own) / (1 - first))).otherwise(0.0)  # a lack of the first domain's words says little
-        fields.append(F.when(told, F.log(own / first) - absent).otherwise(0.0).alias(f"odds_{k}"))
-        fields.append(F.when(told, absent).otherwise(0.0).alias(f"absent_{k}"))
-    by_bucket = counts.select("bucket", *fields)
-    table = by_bucket.orderBy("bucket").toPandas()  # BUCKETS rows
+        size = shares[domains[k]]
+        own, first = (F.col(f"n_{k}") + 0.5) / (size + 1.0), (F.col("n_0") + 0.5) / (size_0 + 1.0)
+        pooled = (F.col(f"n_{k}") + F.col("n_0") + 0.5) / (size + size_0 + 1.0)
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / size + 1 / size_0))
+        told = (F.abs(F.log(own / first)) >= LEAST_ODDS) & (F.abs(own - first) >= F.greatest(F.lit(LEAST_SHARE), LEAST_SPREADS * spread))
+        gone = F.log((1 - own) / (1 - first))
+        fields.append(F.when(told, F.log(own / first) - gone).otherwise(0.0).alias(f"odds_{k}"))
+        # the lack of the first domain's words says little
+        fields.append(F.when(told & (own > first), gone).otherwise(0.0).alias(f"absent_{k}"))
+    odds = [f"odds_{k}" for k in range(1, len(domains))]
+    if not odds:
+        return Classifier(domains, priors, [], [])
+    table = counts.select("word", *fields).where(F.greatest(F.lit(0.0), *[F.abs(o) for o in odds]) > 0).toPandas()  # words in a tenth of a domain's sample
     priors[1:] = [p + max(-ABSENT, float(table[f"absent_{k}"].sum())) for k, p in enumerate(priors[1:], 1)]
-    return Classifier(domains, priors, [",".join(f"{x:.4g}" for x in table[f"odds_{k}"]) for k in range(1, len(domains))])
+    slots = max(1024, 1 << (16 * len(table)).bit_length())
+    held, by_slot = [0] * slots, [[0.0] * slots for _ in odds]
+    for row in table.assign(weight=table[odds].abs().max(axis=1)).sort_values(["weight", "word"]).to_dict("records"):
+        slot = row["word"] % slots  # of words that share a slot the one that tells more stays
+        held[slot] = row["word"]
+        for values, o in zip(by_slot, odds, strict=True):
+            values[slot] = row[o]
+    return Classifier(domains, priors, held, by_slot)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (tokens) and ``__p`` (posteriors in the order of the model's domains)."""
-    out = docs.withColumn("__b", F.transform(words(text), bucket)).withColumn("__n", F.size("__b").cast("double"))
-    out = out.withColumn("__l", model.logs(F.array_distinct("__b"))).drop("__b")
+    out = docs.withColumn("__n", F.size(words(text)).cast("double")).withColumn("__l", model.logs(hashes(text)))
     out = out.withColumn("__l", F.expr("transform(__l, x -> exp(x - array_max(__l)))"))
     return out.withColumn("__p", F.expr("transform(__l, x -> x / aggregate(__l, 0D, (s, y) -> s + y))")).drop("__l")
 

@@ -77,7 +77,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-MIX_WEIGHTS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
+MIX_WEIGHTS = {"good": 0.93, "poor": 0.05, "toxic": 0.02}
 
 
 def domains(labels: DataFrame) -> DataFrame:
