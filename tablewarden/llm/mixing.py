@@ -40,9 +40,9 @@ def words(text: str) -> Column:
     return F.when(F.length(t) > 0, F.split(t, SPACES)).otherwise(F.array().cast("array<string>"))
 
 
-def hashes(text: str) -> Column:
-    """Hashes of the distinct words of a column."""
-    return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
+def distinct_hashes(found: Column) -> Column:
+    """Hashes of the distinct words of an array."""
+    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
     sample = keep(known.where(chance < fit_rows / total).dropDuplicates(["doc_id"]), "labels")
     labelled_docs = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
     labelled_docs = labelled_docs.withColumn("same", F.xxhash64(text)).dropDuplicates(["same"])
-    seen = keep(labelled_docs.select("domain", hashes(text).alias("words")), "labelled")
+    seen = keep(labelled_docs.select("domain", distinct_hashes(words(text)).alias("words")), "labelled")
     shares = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return Classifier(["all"], [0.0], [], [])
@@ -124,7 +124,8 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
 
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (tokens) and ``__p`` (posteriors in the order of the model's domains)."""
-    out = docs.withColumn("__n", F.size(words(text)).cast("double")).withColumn("__l", model.logs(hashes(text)))
+    out = docs.withColumn("__w", words(text))  # used twice, so a column of its own: it is split once
+    out = out.withColumn("__n", F.size("__w").cast("double")).withColumn("__l", model.logs(distinct_hashes(F.col("__w")))).drop("__w")
     out = out.withColumn("__l", F.expr("transform(__l, x -> exp(x - array_max(__l)))"))
     return out.withColumn("__p", F.expr("transform(__l, x -> x / aggregate(__l, 0D, (s, y) -> s + y))")).drop("__l")
 
