@@ -8,6 +8,9 @@ from tablewarden.llm import jaccard, mixing, packing, pii, quality
 from tablewarden.llm.common import keep, table
 from tablewarden.llm.queries import MIX_WEIGHTS, PII_KEY, WORD_TOKENIZER, domains
 
+NEAR_PERCENT = 80
+NEAR_WIDTH = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
@@ -15,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of near duplicates (Jaccard similarity of five-word shingles of 0.8 or more), that with the smallest id."""
+    return jaccard.one_of_each(docs, NEAR_PERCENT, NEAR_WIDTH)
 
 
 def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

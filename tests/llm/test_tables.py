@@ -110,3 +110,23 @@ def test_pipeline_stages_keep_columns(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_pipeline_near_duplicates_have_five_word_similarity_of_080(spark):
+    """Pairs just above 0.8 of five-word shingles and under 0.85 of four-word ones are one document; a pair just under 0.8 stays two."""
+    base = [[f"{name}{i}" for i in range(500)] for name in "abc"]
+    replaced = ["z" + w if i % 45 == 20 and i < 490 else w for i, w in enumerate(base[0])]  # 11 words
+    longer = base[1] + [f"y{i}" for i in range(88)]
+    apart = base[2] + [f"x{i}" for i in range(125)]
+    texts = [base[0], replaced, base[1], longer, base[2], apart]
+
+    def similarity(x, y, width):
+        a, b = ({tuple(t[i : i + width]) for i in range(len(t) - width + 1)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    assert 0.8 <= similarity(base[0], replaced, 5) < 0.81 and similarity(base[0], replaced, 4) < 0.85
+    assert 0.8 <= similarity(base[1], longer, 5) < 0.85 and similarity(base[1], longer, 4) < 0.85
+    assert 0.79 < similarity(base[2], apart, 5) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4, 5]
