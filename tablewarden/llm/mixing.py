@@ -8,9 +8,11 @@ metric is exactly 1, so a step of 1 always descends. An iteration is one aggrega
 posteriors; the rates are a chain of the steps' K coefficients, so no state is stored or shuffled.
 
 Tokens are words (runs without white space). The classifier is learnt from at most about ``FIT_ROWS`` labelled documents,
-chosen by a hash of their id (equal texts once), over lower-case words. Words that tell little (log odds
-under ``LEAST_ODDS``, or shares of documents closer than ``LEAST_SPREADS`` standard errors or ``LEAST_SHARE``, as the words of
-a group of copies have) count nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most. Null and empty texts have no tokens, prior posteriors, and rate like others. Without labels every document has
+chosen by a hash of their id, over lower-case words. Near duplicates among them (five-word shingles, Jaccard similarity
+of 0.8 or more) count once, as the document with the smallest id, so the words of a group of copies tell no more than
+those of one document. Words that tell little (log odds under ``LEAST_ODDS``, or shares of documents closer than
+``LEAST_SPREADS`` standard errors, or likelihood ratios under those of that many, as standard errors are too small for rare words)
+count nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most. Null and empty texts have no tokens, prior posteriors, and rate like others. Without labels every document has
 rate 1. Everything is DataFrame functions.
 """
 
@@ -19,15 +21,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import keep
+from tablewarden.llm.graph import components
 
 FIT_ROWS = 4000
 LEAST_ODDS = 1.5
 LEAST_SPREADS = 5.0
-LEAST_SHARE = 0.1
+NEAR_PERCENT = 80
+NEAR_WIDTH = 5
 ABSENT = 4.0
 STEPS = 40
 TOLERANCE = 1e-4
@@ -77,6 +81,52 @@ def _sum_of(table: Column, slots: Column) -> Column:
     return F.aggregate(slots, F.lit(0.0), lambda s, b: s + F.get(table, b))
 
 
+def shingles(found: Column, width: int = NEAR_WIDTH) -> Column:
+    """Hashes of the distinct runs of ``width`` words of an array; the words of a shorter one are together its one run."""
+    last = F.greatest(F.size(found) - width, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(found, i + 1, width)))
+    return F.when(F.size(found) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
+def near_classes(sets: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
+    """(node, component) of the nodes that are linked with another one, for (node, set) with one row a node.
+
+    Of two linked sets, each one's rarest shingles but ``percent`` of its size hold one of the other's. Sets are first compared
+    with the smallest node at each of those shingles, and then with all others there that these links leave apart.
+    """
+    single = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("item"))
+    often = single.groupBy("item").agg(F.count("*").alias("times")).where("times > 1")
+    # a shingle of one set alone meets nothing, but comes first in its set
+    ranked = single.join(often, "item", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("times", "item")))
+    rare = keep(ranked.where(F.expr(f"times > 1 and place <= n - ({percent} * n + 99) div 100 + 1")).select("item", "node"), "rare-shingles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return keep(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "near")
+
+    heads = rare.groupBy("item").agg(F.min("node").alias("a"))
+    first = linked(rare.join(heads, "item").where("node > a").select("a", F.col("node").alias("b")).distinct())
+    found = keep(components(first), "near-classes")
+    pairs = rare.select("item", F.col("node").alias("a")).join(rare.select("item", F.col("node").alias("b")), "item").where("a < b").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    rest = linked(pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    return found if rest.isEmpty() else components(first.unionByName(rest))
+
+
+def one_of_each_class(labelled: DataFrame) -> DataFrame:
+    """(domain, words) for (doc_id, domain, text): of near duplicates the document with the smallest id, and one without words."""
+    split = labelled.withColumn("__w", words("text")).select("doc_id", "domain", distinct_hashes(F.col("__w")).alias("words"), shingles(F.col("__w")).alias("set"))
+    split = split.withColumn("node", F.xxhash64(F.array_sort("set")))
+    rows = keep(split.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("domain", "words", "set"), "doc_id").alias("row")), "labelled")
+    classes = near_classes(rows.select("node", "row.set").where("size(set) > 0"))
+    of_node = rows.select("node", "doc_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_node.groupBy("component").agg(F.min_by("node", "doc_id").alias("node")).select("node")
+    return rows.join(least, "node", "left_semi").select("row.domain", "row.words")
+
+
 def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text") -> Classifier:
     """``labelled``: (doc_id, domain). The sample of labels is small by its bound, so it is broadcast to ``docs``."""
     known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "domain")
@@ -85,9 +135,8 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
         return Classifier(["all"], [0.0], [], [])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = keep(known.where(chance < fit_rows / total).dropDuplicates(["doc_id"]), "labels")
-    labelled_docs = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
-    labelled_docs = labelled_docs.withColumn("same", F.xxhash64(text)).dropDuplicates(["same"])
-    seen = keep(labelled_docs.select("domain", distinct_hashes(words(text)).alias("words")), "labelled")
+    labelled_docs = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id")
+    seen = keep(one_of_each_class(labelled_docs), "seen")
     shares = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return Classifier(["all"], [0.0], [], [])
@@ -102,7 +151,8 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
         own, first = (F.col(f"n_{k}") + 0.5) / (size + 1.0), (F.col("n_0") + 0.5) / (size_0 + 1.0)
         pooled = (F.col(f"n_{k}") + F.col("n_0") + 0.5) / (size + size_0 + 1.0)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / size + 1 / size_0))
-        told = (F.abs(F.log(own / first)) >= LEAST_ODDS) & (F.abs(own - first) >= F.greatest(F.lit(LEAST_SHARE), LEAST_SPREADS * spread))
+        ratio = _likelihood_ratio(F.col(f"n_{k}"), size, F.col("n_0"), size_0)
+        told = (F.abs(F.log(own / first)) >= LEAST_ODDS) & (F.abs(own - first) >= LEAST_SPREADS * spread) & (ratio >= LEAST_SPREADS**2)
         gone = F.log((1 - own) / (1 - first))
         fields.append(F.when(told, F.log(own / first) - gone).otherwise(0.0).alias(f"odds_{k}"))
         # the lack of the first domain's words says little
@@ -110,7 +160,7 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
     odds = [f"odds_{k}" for k in range(1, len(domains))]
     if not odds:
         return Classifier(domains, priors, [], [])
-    table = counts.select("word", *fields).where(F.greatest(F.lit(0.0), *[F.abs(o) for o in odds]) > 0).toPandas()  # words in a tenth of a domain's sample
+    table = counts.select("word", *fields).where(F.greatest(F.lit(0.0), *[F.abs(o) for o in odds]) > 0).toPandas()  # words of several documents of the sample
     priors[1:] = [p + max(-ABSENT, float(table[f"absent_{k}"].sum())) for k, p in enumerate(priors[1:], 1)]
     slots = max(1024, 1 << (16 * len(table)).bit_length())
     held, by_slot = [0] * slots, [[0.0] * slots for _ in odds]
@@ -122,6 +172,15 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
     return Classifier(domains, priors, held, by_slot)
 
 
+def _likelihood_ratio(n: Column, size: int, n_0: Column, size_0: int) -> Column:
+    """Twice the log likelihood ratio of two shares of documents against one common share."""
+    def part(seen: Column, of: Column | int, whole: Column | int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * (size + size_0) / (of * whole))).otherwise(0.0)
+
+    both, neither = n + n_0, size + size_0 - n - n_0
+    return 2 * (part(n, both, size) + part(n_0, both, size_0) + part(size - n, neither, size) + part(size_0 - n_0, neither, size_0))
+
+
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (tokens) and ``__p`` (posteriors in the order of the model's domains)."""
     out = docs.withColumn("__w", words(text))  # used twice, so a column of its own: it is split once

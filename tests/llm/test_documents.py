@@ -380,3 +380,51 @@ def test_jaccard_join_whatever_the_blocks(spark, flush):
     df = keep(spark.createDataFrame(made, COLUMNS).repartition(6), "chain")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df, flush=flush).collect()}
     assert got == jaccard_by_hand(made)
+
+
+def test_mixing_learns_from_many_rare_words_and_not_from_copies(spark):
+    """Forty insults at 7 % each tell; the words of 150 near copies and single ones don't."""
+    rng = np.random.default_rng(8)
+    made, labels = [], []
+    template = [f"t{i}" for i in range(80)]
+    for d in range(1600):
+        kind = "toxic" if d % 4 == 0 else "good"
+        own = [f"w{x}" for x in rng.integers(0, 3000, 60)] + [f"once{d}"]
+        if kind == "toxic":
+            own += [f"insult{i}" for i in range(40) if rng.random() < 0.07]
+        made.append((d, " ".join(own), None, None, None))
+        labels.append((d, kind))
+    for d in range(2000, 2150):
+        made.append((d, " ".join([*template, f"copy{d}"]), None, None, None))
+        labels.append((d, "toxic"))
+    df, labelled = spark.createDataFrame(made, COLUMNS), spark.createDataFrame(labels, LABELS)
+    model = mixing.fit(labelled, df)
+    assert model.domains == ["good", "toxic"] and round(np.exp(model.priors[0]), 2) == round(1200 / 1601, 2)
+    got = mixing.score(df, model).selectExpr("doc_id", "text", "__p[1] AS p").toPandas()
+    insulted = got["text"].str.contains("insult")
+    assert insulted.sum() > 300 and got["p"][insulted].min() > 0.5 and (got["p"][insulted] > 0.9).mean() > 0.8
+    assert got["p"][~insulted & (got["doc_id"] < 2000)].max() < 0.5 and got["p"][got["doc_id"] >= 2000].max() < 0.5
+
+
+def test_near_classes_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 10**6, int(rng.integers(1, 60))).tolist()
+        for _ in range(8):
+            sets.append(sorted({x if rng.random() > 0.08 else int(rng.integers(0, 10**6)) for x in base}))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = dict(rows(mixing.near_classes(keep(spark.createDataFrame(list(enumerate(sets)), "node long, set array<bigint>"), "near-test"))))
+    assert len(got) > 10 and all(got.get(i, i) == find(i) for i in range(len(sets)))
