@@ -2,10 +2,12 @@
 
 A Bernoulli naive Bayes classifier learnt from a labelled table gives each document a posterior over the domains. Document i, of n_i
 tokens and posterior p_i, is to be used r_i >= 0 times, and the expected tokens of domain k, T_k = sum n_i r_i p_ik, are
-to meet targets t_k. Projected gradient descent minimises sum (T_k - t_k)^2 / s_k with s_k = sum n_i p_ik, in the metric
-of the n_i: r_i <- max(0, r_i - sum_k p_ik (T_k - t_k) / s_k). As posteriors sum to 1 the largest curvature in that
-metric is exactly 1, so a step of 1 always descends. An iteration is one aggregation of K numbers over the kept table of
-posteriors; the rates are a chain of the steps' K coefficients, so no state is stored or shuffled.
+to meet targets t_k. Of the rates that do, those closest to 1 (in the metric of the n_i) are r_i = max(0, 1 - sum_k p_ik c_k),
+so K numbers c_k say all of them. They are the minimum of a convex function, whose value, gradient (the gaps t_k - T_k) and
+curvature (sums of n_i p_ik p_il over documents with a rate) are one aggregation over the kept table of posteriors; damped Newton
+steps go on until the targets are met. A weak pull to c = 0 (``PULL``) makes the minimum finite where no rates meet the
+targets: there the rates of least sum (T_k - t_k)^2 / s_k, with s_k = sum n_i p_ik, are found. The gap that remains is kept with the
+model, and a gap of more than ``TOLERANCE`` of all tokens is warned of.
 
 Tokens are words (runs without white space). The classifier is learnt from at most about ``FIT_ROWS`` labelled documents,
 chosen by a hash of their id, over lower-case words. Near duplicates among them (five-word shingles, Jaccard similarity
@@ -19,8 +21,10 @@ rate 1. Everything is DataFrame functions.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +37,10 @@ LEAST_SPREADS = 5.0
 NEAR_PERCENT = 80
 NEAR_WIDTH = 5
 ABSENT = 4.0
-STEPS = 40
+STEPS = 200
 TOLERANCE = 1e-4
+EXACT = 1e-6
+PULL = 1e-8
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -57,12 +63,14 @@ def _literal(values: list, kind: str) -> Column:
 @dataclass
 class Classifier:
     """Domains with log priors (and what no word at all tells), and the words that tell: by slot their hash and, for each domain
-    but the first, their log odds; a word's slot is its hash modulo the number of slots."""
+    but the first, their log odds; a word's slot is its hash modulo the number of slots. ``gaps``: how far the mixture solved with
+    it is over or under its targets, in shares of all tokens."""
 
     domains: list[str]
     priors: list[float]
     words: list[int]
     odds: list[list[float]]
+    gaps: dict[str, float] = field(default_factory=dict)
 
     def logs(self, hashed: Column) -> Column:
         """Log posteriors, but for a common term, of the domains for an array of word hashes."""
@@ -189,38 +197,67 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     return out.withColumn("__p", F.expr("transform(__l, x -> x / aggregate(__l, 0D, (s, y) -> s + y))")).drop("__l")
 
 
-def chain(steps: list[list[float]]) -> Column:
-    """The rate after the steps, from 1."""
-    rate = F.lit(1.0)
-    for c in steps:
-        move = F.lit(0.0)
-        for k, value in enumerate(c):
-            move = move + F.get("__p", F.lit(k)) * F.lit(value)
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
-
-
-def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None) -> list[list[float]]:
-    """The steps' coefficients. Targets are ``weights`` (domains without one: 0) of ``total`` tokens (all, if None)."""
-    def totals(rate: Column) -> list[float]:
-        sums = [F.sum(F.col("__n") * rate * F.get("__p", F.lit(k))).alias(f"t{k}") for k in range(len(model.domains))]
-        return [float(x or 0.0) for x in scored.agg(*sums).first()]
-
-    base = totals(F.lit(1.0))
-    whole = sum(weights.get(d, 0.0) for d in model.domains)
-    if not sum(base) or not whole:
-        return []
-    target = [(total or sum(base)) * weights.get(d, 0.0) / whole for d in model.domains]
-    steps: list[list[float]] = []
-    now, error = base, None
+def rate(c: list[float]) -> Column:
+    """The rate that the domains' numbers give a document."""
+    move = F.lit(0.0)
+    for k, value in enumerate(c):
+        move = move + F.get("__p", F.lit(k)) * F.lit(float(value))
+    return F.greatest(F.lit(0.0), 1 - move)
+
+
+def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None) -> tuple[list[float], dict[str, float]]:
+    """(the domains' numbers, by domain the tokens over or under its target as a share of all tokens).
+
+    Targets are ``weights`` (domains without one: 0) of ``total`` tokens (all, if None).
+    """
+    size = len(model.domains)
+    pairs = [(k, m) for k in range(size) for m in range(k + 1)]
+
+    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        posterior = [F.get("__p", F.lit(k)) for k in range(size)]
+        used = scored.withColumn("__r", rate(c.tolist()))
+        live = F.when(F.col("__r") > 0, F.col("__n")).otherwise(0.0)
+        found = used.agg(
+            F.sum(F.col("__n") * F.col("__r") * F.col("__r")),
+            *[F.sum(F.col("__n") * F.col("__r") * p) for p in posterior], *[F.sum(live * posterior[k] * posterior[m]) for k, m in pairs],
+        ).first()
+        values = np.array([float(x or 0.0) for x in found])
+        curved = np.zeros((size, size))
+        for (k, m), x in zip(pairs, values[1 + size :], strict=True):
+            curved[k, m] = curved[m, k] = x
+        return values[1 : 1 + size], curved, values[0]
+
+    c = np.zeros(size)
+    base, curved, spread = sums(c)
+    mass, whole = base.sum(), sum(weights.get(d, 0.0) for d in model.domains)
+    if not mass or not whole:
+        return c.tolist(), {}
+    target = (total or mass) / mass * np.array([weights.get(d, 0.0) for d in model.domains]) / whole
+    scale = np.maximum(base / mass, 1e-12)
+
+    def judge(c: np.ndarray, now: np.ndarray, spread: float) -> tuple[float, np.ndarray]:
+        return 0.5 * spread / mass + target @ c + 0.5 * PULL * (scale * c) @ c, target - now / mass + PULL * scale * c
+
+    now = base
+    value, slope = judge(c, now, spread)
+    damping = 0.0
     for _ in range(STEPS):
-        gap = [t - g for t, g in zip(now, target, strict=True)]
-        last, error = error, max(abs(x) for x in gap)
-        if error <= TOLERANCE * sum(target) or (last is not None and last - error < 1e-3 * TOLERANCE * sum(target)):
+        if np.abs(now / mass - target).max() <= EXACT or (np.abs(slope) <= EXACT * EXACT).all():
+            break
+        step = -np.linalg.solve(curved / mass + np.diag((PULL + damping) * scale), slope)
+        if abs(slope @ step) <= 1e-15:
             break
-        steps.append([x / s if s else 0.0 for x, s in zip(gap, base, strict=True)])
-        now = totals(chain(steps))
-    return steps
+        there, next_curved, next_spread = sums(c + step)
+        next_value, next_slope = judge(c + step, there, next_spread)
+        if next_value <= value + 1e-4 * (slope @ step) + 1e-15 * abs(value):
+            c, now, curved, value, slope = c + step, there, next_curved, next_value, next_slope
+            damping = damping / 10 if damping > 1e-9 else 0.0
+        else:
+            damping = max(10 * damping, 1e-7)
+    gaps = dict(zip(model.domains, (now / mass - target).tolist(), strict=True))
+    if max(map(abs, gaps.values())) > TOLERANCE:
+        warnings.warn(f"the mixture misses its targets by these shares of all tokens: {gaps}", stacklevel=2)
+    return c.tolist(), gaps
 
 
 def with_rates(
@@ -235,10 +272,10 @@ def with_rates(
     whole = docs.select(F.struct(*columns).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     model = fit(labelled, whole)
     scored = keep(score(whole, model).drop("text"), "posteriors")
-    steps = solve(scored, model, weights)
+    numbers, model.gaps = solve(scored, model, weights)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     more = (chance < F.col("__rate") - F.floor("__rate")).cast("int")
-    return scored.withColumn("__rate", chain(steps)).withColumn("__copies", F.floor("__rate").cast("int") + more), model
+    return scored.withColumn("__rate", rate(numbers)).withColumn("__copies", F.floor("__rate").cast("int") + more), model
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -428,3 +428,26 @@ def test_near_classes_are_those_of_all_pairs(spark):
                 parent[max(x, y)] = min(x, y)
     got = dict(rows(mixing.near_classes(keep(spark.createDataFrame(list(enumerate(sets)), "node long, set array<bigint>"), "near-test"))))
     assert len(got) > 10 and all(got.get(i, i) == find(i) for i in range(len(sets)))
+
+
+@pytest.mark.parametrize("target", [(0.5, 0.3, 0.2), (0.93, 0.05, 0.02), (0.2, 0.2, 0.6)])
+def test_mixing_meets_targets_on_overlapping_domains(spark, target):
+    rng = np.random.default_rng(6)
+    p = np.exp(rng.normal(size=(5000, 3)) * 1.5 + np.log([0.8, 0.14, 0.06]))
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 900, 5000).astype(float)
+    scored = keep(spark.createDataFrame(pd.DataFrame({"doc_id": range(5000), "__n": n, "__p": p.tolist()})), "soft")
+    numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y", "z"], [0.0] * 3, [], []), dict(zip("xyz", target, strict=True)))
+    rates = scored.select("doc_id", mixing.rate(numbers).alias("r")).toPandas().set_index("doc_id")["r"].sort_index().to_numpy()
+    reached = (n * rates) @ p / n.sum()
+    assert np.allclose(reached, target, atol=1e-5) and rates.min() >= 0
+    assert np.allclose([gaps[d] for d in "xyz"], reached - target, atol=1e-9)
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    """Every document half x and half y: the nearest is half of the tokens each, whatever is wanted."""
+    scored = keep(spark.range(100).selectExpr("id AS doc_id", "10D AS __n", "array(0.5D, 0.5D) AS __p"), "halves")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y"], [0.0] * 2, [], []), {"x": 0.9, "y": 0.1})
+    assert abs(gaps["x"] + 0.4) < 1e-4 and abs(gaps["y"] - 0.4) < 1e-4
+    assert abs(scored.select(mixing.rate(numbers).alias("r")).first()["r"] - 1) < 1e-4
