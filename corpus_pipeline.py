@@ -28,8 +28,8 @@ def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def soft_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture wants them."""
-    return mixing.mix(docs, domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    """Documents as often as the mixture wants them; good ones at least once."""
+    return mixing.mix(docs, domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS, whole="good")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

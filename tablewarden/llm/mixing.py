@@ -205,10 +205,10 @@ def rate(c: list[float]) -> Column:
     return F.greatest(F.lit(0.0), 1 - move)
 
 
-def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total: float | None = None) -> tuple[list[float], dict[str, float]]:
+def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], whole: str | None = None) -> tuple[list[float], dict[str, float]]:
     """(the domains' numbers, by domain the tokens over or under its target as a share of all tokens).
 
-    Targets are ``weights`` (domains without one: 0) of ``total`` tokens (all, if None).
+    Targets are ``weights`` (domains without one: 0) of all tokens, or of so many that the domain ``whole`` keeps its own.
     """
     size = len(model.domains)
     pairs = [(k, m) for k in range(size) for m in range(k + 1)]
@@ -229,10 +229,13 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total
 
     c = np.zeros(size)
     base, curved, spread = sums(c)
-    mass, whole = base.sum(), sum(weights.get(d, 0.0) for d in model.domains)
-    if not mass or not whole:
+    mass, weight = base.sum(), sum(weights.get(d, 0.0) for d in model.domains)
+    if not mass or not weight:
         return c.tolist(), {}
-    target = (total or mass) / mass * np.array([weights.get(d, 0.0) for d in model.domains]) / whole
+    target = np.array([weights.get(d, 0.0) for d in model.domains]) / weight
+    if whole in model.domains and weights.get(whole) and base[model.domains.index(whole)]:
+        at = model.domains.index(whole)
+        target = target * base[at] / mass / target[at]
     scale = np.maximum(base / mass, 1e-12)
 
     def judge(c: np.ndarray, now: np.ndarray, spread: float) -> tuple[float, np.ndarray]:
@@ -260,26 +263,41 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], total
     return c.tolist(), gaps
 
 
+def least_rate(c: list[float], model: Classifier, whole: str) -> float:
+    """The smaller rate of a document that is surely of the domain ``whole`` and, if likeliest of it, of one without a telling word."""
+    at = model.domains.index(whole)
+    plain = np.exp(np.array(model.priors) - max(model.priors))
+    plain /= plain.sum()
+    return min(1 - c[at], float(1 - plain @ np.array(c))) if plain.argmax() == at else 1 - c[at]
+
+
 def with_rates(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", keep_text: bool = True
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", keep_text: bool = True,
+    whole: str | None = None,
 ) -> tuple[DataFrame, Classifier]:
     """(doc, doc_id, __n, __p, __rate, __copies), ``doc`` with all columns of ``docs`` (but the text without ``keep_text``).
 
     Copies are the rate rounded up or down by a hash of the id, right on average. The documents with their posteriors are
-    kept in the shared folder, so each text is read once for them.
+    kept in the shared folder, so each text is read once for them. With ``whole`` no
+    document that is surely of that domain, or without a telling word if that is likeliest of it, has a rate under 1, whatever
+    the composition: the domain keeps its tokens, and all rates are raised together by what is still lacking.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
-    whole = docs.select(F.struct(*columns).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model = fit(labelled, whole)
-    scored = keep(score(whole, model).drop("text"), "posteriors")
-    numbers, model.gaps = solve(scored, model, weights)
+    read = docs.select(F.struct(*columns).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    model = fit(labelled, read)
+    scored = keep(score(read, model).drop("text"), "posteriors")
+    numbers, model.gaps = solve(scored, model, weights, whole)
+    least = least_rate(numbers, model, whole) if whole in model.domains and weights.get(whole) else 1.0
+    raised = F.lit((1 + 1e-9) / least if 0 < least < 1 else 1.0)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     more = (chance < F.col("__rate") - F.floor("__rate")).cast("int")
-    return scored.withColumn("__rate", rate(numbers)).withColumn("__copies", F.floor("__rate").cast("int") + more), model
+    return scored.withColumn("__rate", rate(numbers) * raised).withColumn("__copies", F.floor("__rate").cast("int") + more), model
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", whole: str | None = None
+) -> DataFrame:
     """Each document as often as its copies say, with its columns as they are."""
-    rated, _ = with_rates(docs, labelled, weights, doc_id, text)
+    rated, _ = with_rates(docs, labelled, weights, doc_id, text, whole=whole)
     times = F.expr("if(__copies > 0, sequence(1, __copies), array())")
     return rated.select("doc", F.explode(times).alias("copy")).select("doc.*")

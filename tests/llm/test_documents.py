@@ -451,3 +451,27 @@ def test_mixing_reports_targets_out_of_reach(spark):
         numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y"], [0.0] * 2, [], []), {"x": 0.9, "y": 0.1})
     assert abs(gaps["x"] + 0.4) < 1e-4 and abs(gaps["y"] - 0.4) < 1e-4
     assert abs(scored.select(mixing.rate(numbers).alias("r")).first()["r"] - 1) < 1e-4
+
+
+@pytest.mark.parametrize("bad", [4, 200])
+def test_mixing_keeps_a_whole_domain_at_any_composition(spark, bad):
+    """Good documents over and under their weight: none is dropped, and the domains' shares are as wanted."""
+    rng = np.random.default_rng(7)
+    made, labels = [], []
+    for d in range(800):
+        kind = "poor" if d < bad else "good"
+        made.append((d, " ".join([f"w{x}" for x in rng.integers(0, 400, 30)] + [f"bad{x}" for x in range(12) if kind == "poor"]), None, None, None))
+        labels.append((d, kind))
+    for d in range(1000, 1040):  # labelled ones that have other words
+        made.append((d, " ".join([f"v{x}" for x in rng.integers(0, 400, 3)] + [f"bad{x}" for x in range(12)]), None, None, None))
+        labels.append((d, "poor"))
+    df, labelled = spark.createDataFrame(made, COLUMNS), spark.createDataFrame(labels, LABELS)
+    some = df.where("doc_id < 1000")
+    rated, model = mixing.with_rates(df, labelled, {"good": 0.93, "poor": 0.07}, whole="good")
+    got = rated.selectExpr("doc_id", "__n", "__p", "__rate", "__copies").toPandas()
+    good = got["doc_id"].between(bad, 799)
+    assert got["__rate"][good].min() >= 1 and got["__copies"][good].min() >= 1
+    expected = np.array(got["__p"].tolist()).T @ (got["__n"] * got["__rate"]).to_numpy()
+    assert abs(expected[model.domains.index("good")] / expected.sum() - 0.93) < 1e-3
+    kept = {r["doc_id"] for r in mixing.mix(some, labelled, {"good": 0.93, "poor": 0.07}, whole="good").select("doc_id").collect()}
+    assert kept >= set(range(bad, 800))
