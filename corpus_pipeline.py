@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Tokens and the solver's rates are beyond SQL; tests/llm compares the stages with brute-force versions.
+#: Tokens and the solver's rates are beyond SQL; the rows of run() as a whole are compared with nothing.
 ORACLE_SQL = None
 
 
