@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import jaccard, language, mixing, neighbours, packing, pii, quality, repeats, token_counts, url_filters
+from tablewarden.llm import filter_audit, jaccard, language, mixing, neighbours, packing, pii, quality, repeats, token_counts, url_filters
 from tablewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,44 @@ FROM words LEFT JOIN removed ON words.r = removed.r
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+), failures AS (
+  SELECT part, coalesce(g.doc_id IS NOT NULL, false) AS good, coalesce(t.doc_id IS NOT NULL, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(first < d.doc_id, false)] AS fails
+  FROM words d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON d.doc_id = g.doc_id
+    LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t ON d.doc_id = t.doc_id
+), kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM failures GROUP BY ALL
+), five AS (
+  SELECT unnest(range(1, 6)) AS f
+), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM five a, five b, five c, five d, five e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, unnest(range(1, 6)) AS step FROM orders
+), cells AS (
+  SELECT part, filter_order, step, o[step] AS f,
+    sum(n) FILTER (WHERE NOT list_bool_or(list_transform(o[1:step], lambda i: fails[i]))) AS kept,
+    sum(n) FILTER (WHERE fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])), false)) AS removed,
+    sum(n) FILTER (WHERE fails[o[step]] AND coalesce(list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])), false)) AS redundant,
+    sum(n) FILTER (WHERE fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+    sum(n_good) FILTER (WHERE fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])), false)) AS good_lost,
+    sum(n_toxic) FILTER (WHERE fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])), false)) AS toxic_lost
+  FROM kinds, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM cells
+"""
+
+
+@query("op11_failing_id_audit", _AUDIT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
