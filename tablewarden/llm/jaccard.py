@@ -37,27 +37,28 @@ from tablewarden.llm.graph import components
 PERCENT = 85
 WIDTH = 4
 FLUSH = 600_000
-SIGNATURES_PER_TASK = 1_500_000
+SIGNATURES_PER_TASK = 700_000
 LEADER_PART = 2048
 CLASS_PART = 1024
 SALTS = 64
 BLOCK = 512
 
 
-def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2) for each row of (doc_id, text)."""
+def set_table(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, n_signatures) for each row of (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = S.Bands(percent)
         for batch in batches:
             for a, z, block in W.blocks(batch):
                 sets = S.shingle_sets(block, width)
                 k1, k2 = S.set_keys(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, z - a), pa.array(sets.sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
-                    names=["doc_id", "n_shingles", "k1", "k2"],
+                    [batch.column("doc_id").slice(a, z - a), pa.array(sets.sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(S.signature_counts(sets.sizes, bands))],
+                    names=["doc_id", "n_shingles", "k1", "k2", "n_signatures"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(make, "doc_id long, n_shingles long, k1 long, k2 long, n_signatures long")
 
 
 _OFFER = np.dtype([("key", "<u8"), ("doc", "<i8"), ("group", "<u8"), ("larger", "i1")])
@@ -88,14 +89,24 @@ def _groups(key: np.ndarray, doc: np.ndarray, larger: np.ndarray) -> tuple[np.nd
     return out, members
 
 
-def _leaders(offers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs (leader, document), rows (group, its leader)) of offers that meet."""
-    offers = offers[np.lexsort((offers["doc"], offers["larger"], offers["key"]))]
-    head = np.ones(len(offers), bool)
-    head[1:] = offers["key"][1:] != offers["key"][:-1]
+def _leaders(offers: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs (leader, document), rows (group, its leader)) of offers that meet; most offers meet none and leave first."""
+    by_key = np.argsort(offers["key"])
+    key = offers["key"][by_key]
+    same = key[1:] == key[:-1]
+    meets = np.zeros(len(key), bool)
+    meets[1:] |= same
+    meets[:-1] |= same
+    some = by_key[meets | (offers["group"][by_key] != 0)]
+    del by_key, key, same, meets
+    key, doc, group, larger = (offers[f][some] for f in _OFFER.names)
+    order = np.lexsort((doc, larger, key))
+    key, doc, group, larger = key[order], doc[order], group[order], larger[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    led = offers["larger"][first] == 0  # sets of the larger band alone meet under that band's own signatures
-    leader, doc, group = offers["doc"][first], offers["doc"], offers["group"]
+    led = larger[first] == 0  # sets of the larger band alone meet under that band's own signatures
+    leader = doc[first]
     pair, grouped = led & (leader != doc), led & (group != 0)
     pairs = np.unique(np.stack([leader[pair], doc[pair]], axis=1), axis=0)
     return pairs, np.unique(np.stack([group[grouped].view(np.int64), leader[grouped]], axis=1), axis=0)
@@ -105,9 +116,9 @@ def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
 
 
-def leader_pairs(docs: DataFrame, n_shingles: int, percent: int = PERCENT, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
-    """(a, b): documents b with the leaders a of their signatures."""
-    parts = max(12, n_shingles * 2 // 5 // SIGNATURES_PER_TASK)
+def leader_pairs(docs: DataFrame, n_signatures: int, percent: int = PERCENT, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
+    """(a, b): documents b with the leaders a of their signatures; ``n_signatures`` of them are dealt out in even parts."""
+    parts = max(12, -(-n_signatures // SIGNATURES_PER_TASK))
 
     def send(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         offers, members = _groups(*(np.concatenate(c) for c in zip(*kept, strict=True)))
@@ -139,19 +150,19 @@ def leader_pairs(docs: DataFrame, n_shingles: int, percent: int = PERCENT, width
             yield from send(kept)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
+        kept: dict[str, list[np.ndarray]] = {f: [] for f in _OFFER.names}
         for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            for part, blob in zip(batch.column("part"), batch.column("blob"), strict=True):
+                part, blob = part.as_py(), blob.as_py()
                 if part < 0:
                     yield _rows(_MEMBER, np.frombuffer(blob, np.int64).reshape(-1, 2))
                     continue
-                offers, at = np.zeros(len(blob) // _OFFER.itemsize, _OFFER), 0
+                n, at = len(blob) // _OFFER.itemsize, 0
                 for f in _OFFER.names:
-                    size = _OFFER[f].itemsize * len(offers)
-                    offers[f], at = np.frombuffer(blob[at : at + size], _OFFER[f]), at + size
-                kept.append(offers)
-        if kept:
-            pairs, leads = _leaders(np.concatenate(kept))
+                    kept[f].append(np.frombuffer(blob, _OFFER[f], n, at))
+                    at += _OFFER[f].itemsize * n
+        if kept["key"]:
+            pairs, leads = _leaders({f: np.concatenate(kept.pop(f)) for f in _OFFER.names})
             yield _rows(_PAIR, pairs)
             yield _rows(_LEADS, leads)
 
@@ -288,9 +299,9 @@ def join_documents(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``; a block has about ``flush`` signatures."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sets = keep(set_table(docs, width), "sets")
+    sets = keep(set_table(docs, width, percent), "sets")
     spoken = keep(with_classes(sets), "classes")
-    total = int(sets.agg(F.sum("n_shingles")).first()[0] or 0)
+    total = int(sets.agg(F.sum("n_signatures")).first()[0] or 0)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     met = leader_pairs(usable, total, percent, width, flush)
     rep = spoken.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
@@ -306,7 +317,7 @@ def join_documents(
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id, in one row; documents without words all stay."""
+    """``docs`` with one document of each component, that with the smallest id; equal rows of it once, documents without words all stay."""
     found = keep(join_documents(docs, percent, width, doc_id, text), "components")
     name = fresh_name(docs.columns, "__gone")
     gone = keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
@@ -315,4 +326,4 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc
     left = docs.join(gone, own == gone[name], "left_anti")
     own = left[f"`{doc_id}`"].cast("long")
     once = left.join(twice, own == twice[name], "left_anti")
-    return once.unionByName(left.join(twice, own == twice[name], "left_semi").dropDuplicates([doc_id]))
+    return once.unionByName(left.join(twice, own == twice[name], "left_semi").dropDuplicates([doc_id, text]))

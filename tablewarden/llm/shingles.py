@@ -123,6 +123,19 @@ class Bands:
         return best[1]
 
 
+def signature_counts(sizes: np.ndarray, bands: Bands) -> np.ndarray:
+    """About how many signatures sets of these sizes offer, with those for the band below."""
+    kinds, where = np.unique(sizes, return_inverse=True)
+    out = np.zeros(len(kinds), np.int64)
+    band = bands.band(kinds)
+    for i, size in enumerate(kinds.tolist()):
+        for number in (int(band[i]), int(band[i]) - 1):
+            if size and number >= 0:
+                scheme = bands.scheme(number)
+                out[i] += scheme.segments + -(-scheme.deleted * size // scheme.segments) if scheme.differences else 0
+    return out[where]
+
+
 def signatures(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, document, whether it is offered as a larger partner of a smaller band's sets).
 
