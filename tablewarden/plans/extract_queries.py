@@ -64,9 +64,8 @@ def items(v):
 
 
 _TABLES = """
-    SELECT o_orderkey AS query_id, b AS branch, 1 AS ordinal, 'o' AS alias,
+    SELECT o_orderkey AS query_id, b AS branch, CASE WHEN o_orderkey % 20 = 3 THEN 3 ELSE 1 END AS ordinal, 'o' AS alias,
       CASE WHEN b = 0 THEN 'hot_gear_' || CAST(o_custkey AS STRING) ELSE 'orders' END AS table_name FROM {orders} CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1) t
-      WHERE o_orderkey % 20 <> 3
     UNION ALL SELECT o_orderkey, 0, 2, 'c', CAST(NULL AS STRING) FROM {orders}
     UNION ALL SELECT o_orderkey, 1, 2, CAST(NULL AS STRING), 'small_ring_' || CAST(o_custkey AS STRING) FROM {orders}"""
 
@@ -99,7 +98,7 @@ def lineage_extract(v):
 @query(
     "lineage_extract_resolved",
     f"""SELECT source_name, transformation, count(*) AS edges FROM (
-      SELECT transformation, CASE source_table WHEN 'o' THEN CASE WHEN query_id % 20 = 3 THEN 'o' WHEN branch = 0 THEN 'hot_gear_' || o_custkey ELSE 'orders' END
+      SELECT transformation, CASE source_table WHEN 'o' THEN CASE WHEN branch = 0 THEN 'hot_gear_' || o_custkey ELSE 'orders' END
         WHEN 'c' THEN CASE branch WHEN 0 THEN '<subquery:c>' ELSE 'c' END ELSE source_table END AS source_name
       FROM (SELECT query_id, branch, transformation, o_custkey, coalesce(qualifier, {_FIRST}) AS source_table
         FROM ({_SELECTED}) s JOIN (VALUES {_EDGE_ROWS}) e(n, transformation, expression, dflt, qualifier, source_column) USING (n)
@@ -125,8 +124,9 @@ def lineage_default_name(v):
 
 @query(
     "lineage_source_tables",
-    """SELECT o_orderkey AS query_id, 0 AS branch, 1 AS ordinal, 'o' AS source_table, 'hot_gear_' || o_custkey AS table_name FROM {orders} WHERE o_orderkey % 20 <> 3
-    UNION ALL SELECT o_orderkey, 1, 1, 'o', 'orders' FROM {orders} WHERE o_orderkey % 20 <> 3
+    """SELECT o_orderkey AS query_id, 0 AS branch, CASE WHEN o_orderkey % 20 = 3 THEN 3 ELSE 1 END AS ordinal, 'o' AS source_table,
+      'hot_gear_' || o_custkey AS table_name FROM {orders}
+    UNION ALL SELECT o_orderkey, 1, CASE WHEN o_orderkey % 20 = 3 THEN 3 ELSE 1 END, 'o', 'orders' FROM {orders}
     UNION ALL SELECT o_orderkey, 0, 2, 'c', '<subquery:c>' FROM {orders}
     UNION ALL SELECT o_orderkey, 1, 2, 'small_ring_' || o_custkey, 'small_ring_' || o_custkey FROM {orders}""",
 )
@@ -147,7 +147,7 @@ def lineage_set_op(v):
 _WILD = """SELECT l_orderkey AS query_id, l_linenumber % 2 AS branch, 'part_' || l_partkey AS target_table, l_linenumber % 2 = 0 AS every
     FROM {lineitem} WHERE l_orderkey % 50 = 49"""
 _USES = f"""SELECT w.*, 'o' AS source_table, CASE WHEN branch = 0 THEN 'hot_gear_' || o_custkey ELSE 'orders' END AS table_name
-      FROM ({_WILD}) w JOIN {{orders}} ON o_orderkey = query_id WHERE query_id % 20 <> 3
+      FROM ({_WILD}) w JOIN {{orders}} ON o_orderkey = query_id
     UNION ALL SELECT w.*, CASE branch WHEN 0 THEN 'c' ELSE 'small_ring_' || o_custkey END,
       CASE branch WHEN 0 THEN '<subquery:c>' ELSE 'small_ring_' || o_custkey END
       FROM ({_WILD}) w JOIN {{orders}} ON o_orderkey = query_id WHERE every"""

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = [
-    "lineage_queries", "extract_queries", "quality_queries", "delta_queries", "ingest_queries", "classify_queries",
+    "lineage_queries", "extract_queries", "quality_queries", "delta_queries", "delta_file_queries", "ingest_queries", "classify_queries",
     "contract_queries", "alert_queries", "usage_queries", "audit_queries", "catalog_queries", "search_queries",
     "request_queries", "stream_queries",
 ]

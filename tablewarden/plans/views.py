@@ -109,7 +109,7 @@ VIEWS: dict[str, str] = {
           min(CAST(l_shipdate AS DATE)) AS min_date, max(CAST(l_shipdate AS DATE)) AS max_date,
           count(*) * 20000000 * (1 + l_suppkey % 10) AS size,
           CASE WHEN l_suppkey % 17 = 3 THEN 'malformed' WHEN l_suppkey % 19 = 5 THEN 'missing' ELSE 'ok' END AS stats_kind
-        FROM {lineitem} WHERE l_partkey % 20 <> 9 GROUP BY l_partkey, l_suppkey""",
+        FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
     "access_events": f"""
         SELECT event_id, event_id % {_N_PART} AS dataset_id,
           CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'user_' || {_text('user_id')} END AS user_name,
@@ -181,7 +181,8 @@ VIEWS: dict[str, str] = {
             AS schema_contract,
           CASE WHEN s_suppkey % 3 <> 0 THEN '{{{{"min_completeness":0.9,"min_overall":' ||
             CASE WHEN s_suppkey % 31 = 1 THEN '1.5' ELSE '0.5' END || '}}}}' END AS quality_contract,
-          CASE WHEN s_suppkey % 5 <> 0 THEN '{{{{"max_staleness_secs":' ||
+          CASE WHEN s_suppkey % 41 = 7 THEN '{{{{"expected_interval_secs":60}}}}'
+            WHEN s_suppkey % 5 <> 0 THEN '{{{{"max_staleness_secs":' ||
             {_text('CASE WHEN s_suppkey % 37 = 1 THEN -1 ELSE 3600 * (s_suppkey % 60) + 1 END')} || '}}}}' END
             AS freshness_contract,
           CASE s_suppkey % 6 WHEN 0 THEN '["ftp://x"]' WHEN 1 THEN '["webhook:https://h.example.com/a","https://"]'

@@ -29,9 +29,9 @@ def read_log_lines(spark: SparkSession, locations: list[str]) -> DataFrame:
     file = F.col("_metadata.file_path")
     return lines.select(
         F.regexp_extract(file, r"^(.*)/_delta_log/", 1).alias("location"),
-        F.regexp_extract(file, r"/(\d+)\.json$", 1).cast("bigint").alias("version"),
+        F.expr(r"try_cast(regexp_extract(_metadata.file_path, r'/(\d+)\.json$', 1) AS BIGINT)").alias("version"),
         "value",
-    )
+    ).where("version IS NOT NULL")  # compacted commits and named checkpoints are files of other kinds
 
 
 def parse_actions(lines: DataFrame) -> DataFrame:
@@ -41,15 +41,11 @@ def parse_actions(lines: DataFrame) -> DataFrame:
 
 def read_checkpoints(spark: SparkSession, locations: list[str]) -> DataFrame:
     """The actions in the tables' checkpoints, of one or several Parquet files each."""
-    files = spark.read.schema(ACTION_SCHEMA).option("pathGlobFilter", "*.checkpoint*.parquet")
-    found = files.parquet(*[f"{loc.rstrip('/')}/_delta_log" for loc in locations])
-    file = F.col("_metadata.file_path")
-    return found.select(
-        F.regexp_extract(file, r"^(.*)/_delta_log/", 1).alias("location"),
-        F.regexp_extract(file, r"/(\d+)\.checkpoint[^/]*$", 1).cast("bigint").alias("version"),
-        F.lit(True).alias("checkpoint"),
-        *[F.col(f.name) for f in found.schema],
-    )
+    from tablewarden.sources import delta_files as files
+
+    whole = files.complete_checkpoints(files.list_files(spark, locations))
+    segment = whole.select("location", "path", F.lit("checkpoint").alias("kind"), "version", F.col("version").alias("until"))
+    return files.read_files(spark, segment)
 
 
 def load_actions(lines: DataFrame) -> DataFrame:

@@ -92,3 +92,57 @@ def test_schema_changes(tables):
     assert rows(log.schema_diff(tables, 0, 1000), "change_kind", "column_name") == want
     parts = log.extract_schema(log.table_metadata(tables, 1), ["location"])
     assert rows(parts.where("location = 'a'"), "position", "column_name", "is_partition") == [(0, "id", False), (1, "day", True)]
+
+
+def _kinds(spark, folder, version=None):
+    from tablewarden.sources import delta_files
+
+    chosen = delta_files.choose(delta_files.list_files(spark, [str(folder)]), version)
+    return sorted((r["kind"], r["version"], r["until"]) for r in chosen.collect()), delta_files.gaps(chosen).count()
+
+
+def test_files_are_chosen_by_name(spark, tmp_path):
+    """Ranges that overlap, an incomplete checkpoint, one in parts, names that mean nothing; nothing is opened."""
+    a = tmp_path / "a"
+    log_dir = a / "_delta_log"
+    log_dir.mkdir(parents=True)
+    for n in range(13):
+        (log_dir / f"{n:020d}.json").write_text("not json")
+    for x, y in ((1, 2), (4, 6), (5, 9), (7, 8), (7, 9), (11, 12)):
+        (log_dir / f"{x:020d}.{y:020d}.compacted.json").write_text("-")
+    for name in ("_last_checkpoint.json", "x.json", f"{3:020d}.crc", f"{10:020d}.checkpoint.0000000001.0000000002.parquet", "00000000000000000099.tmp.json"):
+        (log_dir / name).write_text("-")
+    for part in (1, 2):
+        (log_dir / f"{3:020d}.checkpoint.{part:010d}.0000000002.parquet").write_text("-")
+    now = [("checkpoint", 3, 3)] * 2 + [("commit", 10, 10), ("compacted", 4, 6), ("compacted", 7, 9), ("compacted", 11, 12)]
+    assert _kinds(spark, a) == (now, 0)
+    assert _kinds(spark, a, 8) == ([("checkpoint", 3, 3)] * 2 + [("compacted", 4, 6), ("compacted", 7, 8)], 0)
+    assert _kinds(spark, a, 2) == ([("commit", 0, 0), ("compacted", 1, 2)], 0)
+    (log_dir / f"{10:020d}.json").unlink()
+    assert _kinds(spark, a)[1] == 1 and _kinds(spark, a, 9)[1] == 0
+
+
+def test_incomplete_logs_are_an_error(spark, tmp_path):
+    from tablewarden.sources import delta_files
+
+    write(tmp_path / "a", 1, {"add": {"path": "f", "size": 1}})
+    with pytest.raises(ValueError, match="incomplete"):
+        delta_files.read_state(spark, [str(tmp_path / "a")])
+    write(tmp_path / "a", 0, {"metaData": {"id": "x", "schemaString": schema(("id", "long", True)), "partitionColumns": []}})
+    assert rows(log.live_files(delta_files.read_state(spark, [str(tmp_path / "a")])), "path") == [("f",)]
+
+
+def test_all_commits_beside_compacted_files_and_sidecars(spark, tmp_path):
+    """``read_actions`` takes single commits and whole checkpoints, named ones with their sidecars, and no compacted file."""
+    a = tmp_path / "a"
+    add = lambda p: {"add": {"path": p, "size": 1, "modificationTime": 1, "dataChange": True}}
+    write(a, 3, add("c"))
+    log_dir = a / "_delta_log"
+    (log_dir / f"{1:020d}.{2:020d}.compacted.json").write_text(json.dumps(add("compacted")))
+    (log_dir / f"{2:020d}.checkpoint.0f2e4c1a-0000-4000-8000-000000000001.json").write_text("\n".join(json.dumps({"sidecar": {"path": p}}) for p in ("s1.parquet", "s2.parquet")))
+    (log_dir / "_sidecars").mkdir()
+    for n, p in (("s1.parquet", "a"), ("s2.parquet", "b")):
+        made = spark.createDataFrame([(json.dumps(add(p)),)], "value string").select(F.from_json("value", log.ACTION_SCHEMA).alias("a")).select("a.*")
+        made.coalesce(1).write.parquet(str(tmp_path / f"made-{n}"))
+        next((tmp_path / f"made-{n}").glob("part-*.parquet")).rename(log_dir / "_sidecars" / n)
+    assert rows(log.live_files(log.read_actions(spark, [str(a)])), "path") == [("a",), ("b",), ("c",)]
