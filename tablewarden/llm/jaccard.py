@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import shingles as S
 from tablewarden.llm import words as W
-from tablewarden.llm.common import fresh_name, keep
+from tablewarden.llm.common import fresh_name, keep, release
 from tablewarden.llm.graph import components
 
 PERCENT = 85
@@ -307,9 +307,12 @@ def join_documents(
     rep = spoken.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
     pairs = met.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     pairs = keep(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")
+    del met
+    release(docs.sparkSession)  # the signatures are the largest shuffle, the texts of ``verify`` the next
     groups = pairs.groupBy("a").agg(F.count("*").alias("n_group"))
     salted = pairs.join(groups, "a").withColumn("salt", F.expr(f"pmod(xxhash64(b), (n_group + {LEADER_PART - 1}) div {LEADER_PART})"))
     verified = keep(verify(keep(salted, "salted"), usable, percent, width), "verified")
+    release(docs.sparkSession)
     edges = verified.where("link").select("a", "b").unionByName(links_around(verified, percent))
     found = components(edges)
     joined = spoken.join(found.withColumnRenamed("node", "rep"), "rep", "left")
