@@ -24,14 +24,6 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files removed of plans that nothing refers to any more.
-
-    Spark removes them when the driver's JVM collects what stood for them, which a driver with memory to spare puts off.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column."""
     return int(docs.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0)
