@@ -112,6 +112,33 @@ def _leaders(offers: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return pairs, np.unique(np.stack([group[grouped].view(np.int64), leader[grouped]], axis=1), axis=0)
 
 
+def _pack(offers: np.ndarray) -> bytes:
+    """Offers of one part, in order of their documents, in about 9 bytes each.
+
+    The upper half of a key has chosen the part, so the lower one is left to tell: among ``SIGNATURES_PER_TASK`` of them some
+    60 pairs meet by chance, which the exact check drops. Documents are steps from the one before, groups are few.
+    """
+    step = np.diff(offers["doc"], prepend=offers["doc"][:1])
+    wide = bool(step.max() >= 1 << 32)
+    grouped = np.flatnonzero(offers["group"])
+    head = np.array([len(offers), offers["doc"][0], wide, len(grouped)], "<i8")
+    key = (offers["key"] & np.uint64(0xFFFFFFFF)).astype("<u4")
+    parts = [head, key, step.astype("<i8" if wide else "<u4"), np.packbits(offers["larger"].astype(bool)), grouped.astype("<u4"), offers["group"][grouped]]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    n, first, wide, n_groups = np.frombuffer(blob, "<i8", 4).tolist()
+    at, out = 32, []
+    for dtype, count in (("<u4", n), ("<i8" if wide else "<u4", n), ("u1", -(-n // 8)), ("<u4", n_groups), ("<u8", n_groups)):
+        out.append(np.frombuffer(blob, dtype, count, at))
+        at += out[-1].nbytes
+    key, step, larger, grouped, numbers = out
+    group = np.zeros(n, np.uint64)
+    group[grouped] = numbers
+    return {"key": key, "doc": first + np.cumsum(step, dtype=np.int64), "group": group, "larger": np.unpackbits(larger, count=n).astype(np.int8)}
+
+
 def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
 
@@ -126,10 +153,7 @@ def leader_pairs(docs: DataFrame, n_signatures: int, percent: int = PERCENT, wid
         order = np.lexsort((offers["doc"], part))
         offers, part = offers[order], part[order]
         kinds, at = np.unique(part, return_index=True)
-        rows = [
-            (p, b"".join(offers[f][i:j].tobytes() for f in _OFFER.names))
-            for p, i, j in zip(kinds.tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)
-        ]
+        rows = [(p, _pack(offers[i:j])) for p, i, j in zip(kinds.tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
         for i in range(0, len(members), 8192):  # members only pass through
             rows.append((-1 - int(members[i, 1]) % parts, members[i : i + 8192].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
@@ -157,10 +181,8 @@ def leader_pairs(docs: DataFrame, n_signatures: int, percent: int = PERCENT, wid
                 if part < 0:
                     yield _rows(_MEMBER, np.frombuffer(blob, np.int64).reshape(-1, 2))
                     continue
-                n, at = len(blob) // _OFFER.itemsize, 0
-                for f in _OFFER.names:
-                    kept[f].append(np.frombuffer(blob, _OFFER[f], n, at))
-                    at += _OFFER[f].itemsize * n
+                for f, values in _unpack(blob).items():
+                    kept[f].append(values)
         if kept["key"]:
             pairs, leads = _leaders({f: np.concatenate(kept.pop(f)) for f in _OFFER.names})
             yield _rows(_PAIR, pairs)
@@ -279,7 +301,9 @@ def compare_block(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 def links_around(verified: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): edges that span the links between documents of one leader, where it is not linked with both."""
-    many = verified.where("n_group > 1").withColumn("chunks", F.expr(f"(n_group + {BLOCK - 1}) div {BLOCK}"))
+    # where all are linked with the leader there is nothing to compare, as among copies
+    some = keep(verified.where("n_group > 1 and not link").select("a").distinct(), "unlinked")
+    many = verified.where("n_group > 1").join(some, "a", "left_semi").withColumn("chunks", F.expr(f"(n_group + {BLOCK - 1}) div {BLOCK}"))
     many = many.withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")))
     square = F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
     dealt = many.select("a", "b", "n_b", "link", "differing", "chunk", square).select(
