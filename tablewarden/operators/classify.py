@@ -94,6 +94,7 @@ def scan_tables(frames: dict[str, DataFrame], rules: DataFrame, whole_values: bo
     """(dataset, column_name, rule, matching_values, checked_values) for every string column of every frame.
 
     ``rules`` is a governance rule table; the patterns of its active PII rules become literals of the one pass over each frame.
+    Without an active rule, or without a string column, there are no rows.
     """
     live = rules.where("rule_type = 'pii_detection' AND is_active").withColumn("c", F.from_json("config", RULE_CONFIG))
     known = [(r["name"], r["patterns"]) for r in live.select("name", "c.patterns").where("size(patterns) > 0").orderBy("name").collect()]
@@ -102,6 +103,8 @@ def scan_tables(frames: dict[str, DataFrame], rules: DataFrame, whole_values: bo
         texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
         if texts and known:
             scans.append(classify_by_content(df, texts, known, whole_values).select(F.lit(name).alias("dataset"), "*"))
+    if not scans:
+        return rules.sparkSession.createDataFrame([], "dataset string, column_name string, rule string, matching_values bigint, checked_values bigint")
     return reduce(DataFrame.unionByName, scans)
 
 

@@ -92,6 +92,26 @@ def test_urls_of_channels(spark):
     assert got[:2] == [None, None] and all(got[2:])
 
 
+def test_freshness_contract_without_a_maximum_judges_nothing(spark):
+    made = spark.createDataFrame(
+        [(1, '{"max_staleness_secs":60}'), (2, '{"expected_interval_secs":60}'), (3, None)], "id bigint, freshness_contract string"
+    ).selectExpr("*", "'c' AS name", "'*' AS dataset_pattern", "1 AS version", "CAST(NULL AS STRING) AS schema_contract", "CAST(NULL AS STRING) AS quality_contract", "CAST(NULL AS STRING) AS alert_channels")
+    datasets = spark.createDataFrame([(7, NOW), (8, NOW - datetime.timedelta(hours=1)), (9, None)], "id bigint, last_updated timestamp_ntz")
+    pairs = spark.createDataFrame([(c, d) for c in (1, 2, 3) for d in (7, 8, 9)], "contract_id bigint, dataset_id bigint")
+    found = contracts.freshness_violations(pairs, made, datasets, ntz(NOW.strftime("%Y-%m-%d %H:%M:%S")))
+    assert rows(found, "contract_id", "dataset_id") == [(1, 8), (1, 9)]
+    problems = contracts.definition_problems(made)
+    assert rows(problems.where("field = 'freshness_contract.max_staleness_secs'"), "contract_id", "message") == [(2, "missing")]
+
+
+def test_scan_without_rules_or_texts_is_empty(spark):
+    frames = {"numbers": spark.range(3), "texts": spark.createDataFrame([("a@b.org",)], "t string")}
+    rules = classify.default_rules(spark)
+    for some, of in ((frames, rules.where("false")), ({"numbers": frames["numbers"]}, rules), ({}, rules)):
+        assert classify.scan_tables(some, of).count() == 0
+    assert classify.scan_tables(frames, rules).count() > 0
+
+
 def test_freshness_severity_and_cooldown(spark):
     s = spark.createDataFrame([(3700,), (7200,), (7300,), (14400,), (14500,)], "s bigint")
     got = [r[0] for r in s.select(alerts.freshness_severity(F.col("s"), F.lit(3600))).collect()]
