@@ -185,8 +185,10 @@ class Coder:
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` without the text, with the language found and its score; columns that have these names already are replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is bounded by fit_bytes
-    others = [c for c in docs.columns if c not in (text, pred, score)]
+    # bounded by fit_bytes; lists and arrays alone, so workers need not find the class to read them
+    shared = spark.sparkContext.broadcast((model.langs, model.key, model.cost, model.context, model.escape))
+    has_langs = bool(model.langs)
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), pred.lower(), score.lower())]
     source, has_letter = fresh_name(others, "text"), fresh_name(others, "has_letter")
     letter_of = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
     with_letter = docs.select(*[f"`{c}`" for c in others], F.col(f"`{text}`").alias(source), letter_of.alias(has_letter))
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
-            kept.append(Coder(shared.value) if shared.value.langs else None)
+            kept.append(Coder(Model(*shared.value)) if has_langs else None)
         coder = kept[0]
         for batch in batches:
             for a, z, block in W.blocks(batch, source):

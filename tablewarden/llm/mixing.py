@@ -2,20 +2,23 @@
 
 A Bernoulli naive Bayes classifier learnt from a labelled table gives each document a posterior over the domains. Document i, of n_i
 tokens and posterior p_i, is to be used r_i >= 0 times, and the expected tokens of domain k, T_k = sum n_i r_i p_ik, are
-to meet targets t_k. Of the rates that do, those closest to 1 (in the metric of the n_i) are r_i = max(0, 1 - sum_k p_ik c_k),
-so K numbers c_k say all of them. They are the minimum of a convex function, whose value, gradient (the gaps t_k - T_k) and
-curvature (sums of n_i p_ik p_il over documents with a rate) are one aggregation over the kept table of posteriors; damped Newton
-steps go on until the targets are met. A weak pull to c = 0 (``PULL``) makes the minimum finite where no rates meet the
-targets: there the rates of least sum (T_k - t_k)^2 / s_k, with s_k = sum n_i p_ik, are found. The gap that remains is kept with the
-model, and a gap of more than ``TOLERANCE`` of all tokens is warned of.
+to meet targets t_k. Projected gradient on the rates, from 1 for each document, minimises the sum of (T_k - t_k)^2 / s_k, with
+s_k = sum n_i p_ik: each step moves document i by - sum_k p_ik (T_k - t_k) / s_k, and rates below 0 are set to 0. Steps add up
+before the projection (lazy projection), so the rates are always r_i = max(0, 1 - sum_k p_ik c_k), K numbers c_k say all of them, and a step
+is one aggregation of K sums over the kept table of posteriors. Steps are accelerated by momentum and go on until the targets are
+met, or the error stops falling, as it does where no rates meet the targets. A weak pull to c = 0 (``PULL``) keeps the numbers
+finite there. The gap that remains is kept with the model, and a gap of more than ``TOLERANCE`` of all tokens is warned of.
 
 Tokens are words (runs without white space). The classifier is learnt from at most about ``FIT_ROWS`` labelled documents,
 chosen by a hash of their id, over lower-case words. Near duplicates among them (five-word shingles, Jaccard similarity
 of 0.8 or more) count once, as the document with the smallest id, so the words of a group of copies tell no more than
 those of one document. Words that tell little (log odds under ``LEAST_ODDS``, or shares of documents closer than
 ``LEAST_SPREADS`` standard errors, or likelihood ratios under those of that many, as standard errors are too small for rare words)
-count nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most. Null and empty texts have no tokens, prior posteriors, and rate like others. Without labels every document has
-rate 1. Everything is DataFrame functions.
+count nothing; as words go together, the lack of all of a domain's words counts ``ABSENT`` at most.
+
+Null and empty texts have no tokens, prior posteriors, and rate like others; so do rows without an id, and repeated rows rate and are
+copied alike. Columns of the input stay inside ``doc`` under their own names, so they clash with nothing; an empty table gives an
+empty one. Without labels every document has rate 1. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ LEAST_SPREADS = 5.0
 NEAR_PERCENT = 80
 NEAR_WIDTH = 5
 ABSENT = 4.0
-STEPS = 200
+STEPS = 400
+PATIENCE = 60
+LEAST_LIVE = 0.05
 TOLERANCE = 1e-4
 EXACT = 1e-6
 PULL = 1e-8
@@ -62,13 +67,14 @@ def _literal(values: list, kind: str) -> Column:
 
 @dataclass
 class Classifier:
-    """Domains with log priors (and what no word at all tells), and the words that tell: by slot their hash and, for each domain
-    but the first, their log odds; a word's slot is its hash modulo the number of slots. ``gaps``: how far the mixture solved with
-    it is over or under its targets, in shares of all tokens."""
+    """Domains with log priors (and what no word at all tells), and the words that tell: their hashes ordered by slot (the hash
+    modulo the number of slots), where each slot's words begin (one entry more than slots), and for each domain but the first
+    the words' log odds. ``gaps``: how far the mixture solved with it is over or under its targets, in shares of all tokens."""
 
     domains: list[str]
     priors: list[float]
     words: list[int]
+    begins: list[int]
     odds: list[list[float]]
     gaps: dict[str, float] = field(default_factory=dict)
 
@@ -76,9 +82,13 @@ class Classifier:
         """Log posteriors, but for a common term, of the domains for an array of word hashes."""
         if not self.words:
             return F.array(*[F.lit(p) for p in self.priors])
-        slots = F.lit(len(self.words))
-        own = _literal(self.words, "bigint")
-        known = F.transform(F.filter(hashed, lambda h: F.get(own, F.pmod(h, slots).cast("int")) == h), lambda h: F.pmod(h, slots).cast("int"))
+        slots = F.lit(len(self.begins) - 1)
+        own, begins = _literal(self.words, "bigint"), _literal(self.begins, "int")
+        slot = lambda h: F.pmod(h, slots).cast("int")
+        begin, end = lambda h: F.get(begins, slot(h)), lambda h: F.get(begins, slot(h) + 1)
+        place = lambda h: F.array_position(F.slice(own, begin(h) + 1, end(h) - begin(h)), h)
+        met = F.filter(hashed, lambda h: begin(h) < end(h))
+        known = F.transform(F.filter(met, lambda h: place(h) > 0), lambda h: (begin(h) + place(h) - 1).cast("int"))
         logs = [F.lit(self.priors[0])]
         for prior, odds in zip(self.priors[1:], self.odds, strict=True):
             logs.append(F.lit(prior) + _sum_of(_literal([f"{x:.6g}" for x in odds], "double"), known))
@@ -140,14 +150,14 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
     known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     total = known.count()
     if not total:
-        return Classifier(["all"], [0.0], [], [])
+        return Classifier(["all"], [0.0], [], [0], [])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = keep(known.where(chance < fit_rows / total).dropDuplicates(["doc_id"]), "labels")
     labelled_docs = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id")
     seen = keep(one_of_each_class(labelled_docs), "seen")
     shares = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
-        return Classifier(["all"], [0.0], [], [])
+        return Classifier(["all"], [0.0], [], [0], [])
     domains = sorted(shares, key=lambda d: (-shares[d], d))
     rows = sum(shares.values())
     priors = [math.log(shares[d] / rows) for d in domains]
@@ -167,17 +177,13 @@ def fit(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS, text: st
         fields.append(F.when(told & (own > first), gone).otherwise(0.0).alias(f"absent_{k}"))
     odds = [f"odds_{k}" for k in range(1, len(domains))]
     if not odds:
-        return Classifier(domains, priors, [], [])
+        return Classifier(domains, priors, [], [0], [])
     table = counts.select("word", *fields).where(F.greatest(F.lit(0.0), *[F.abs(o) for o in odds]) > 0).toPandas()  # words of several documents of the sample
     priors[1:] = [p + max(-ABSENT, float(table[f"absent_{k}"].sum())) for k, p in enumerate(priors[1:], 1)]
     slots = max(1024, 1 << (16 * len(table)).bit_length())
-    held, by_slot = [0] * slots, [[0.0] * slots for _ in odds]
-    for row in table.assign(weight=table[odds].abs().max(axis=1)).sort_values(["weight", "word"]).to_dict("records"):
-        slot = row["word"] % slots  # of words that share a slot the one that tells more stays
-        held[slot] = row["word"]
-        for values, o in zip(by_slot, odds, strict=True):
-            values[slot] = row[o]
-    return Classifier(domains, priors, held, by_slot)
+    ordered = table.assign(slot=table["word"] % slots).sort_values(["slot", "word"])
+    begins = np.searchsorted(ordered["slot"].to_numpy(), np.arange(slots + 1)).tolist()
+    return Classifier(domains, priors, ordered["word"].tolist(), begins, [ordered[o].tolist() for o in odds])
 
 
 def _likelihood_ratio(n: Column, size: int, n_0: Column, size_0: int) -> Column:
@@ -209,26 +215,24 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], whole
     """(the domains' numbers, by domain the tokens over or under its target as a share of all tokens).
 
     Targets are ``weights`` (domains without one: 0) of all tokens, or of so many that the domain ``whole`` keeps its own.
+    Projected gradient on the rates, from 1, for half the sum over the domains of (total - target) ** 2 / tokens: a document
+    moves by its posteriors times the domains' relative errors, and what falls below 0 is projected to 0. The projection is the lazy
+    one: steps add up before it, so all rates follow from one number a domain and a pass needs two sums a domain. A domain's tokens
+    are those of documents with a rate over 0, ``LEAST_LIVE`` of all its tokens at least; as posteriors add up to 1, a step of length
+    1 does not overshoot on these. Steps are accelerated, and begin anew when the momentum leads away; the best ones found count.
     """
     size = len(model.domains)
-    pairs = [(k, m) for k in range(size) for m in range(k + 1)]
+    numbers = range(size)
 
-    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        posterior = [F.get("__p", F.lit(k)) for k in range(size)]
-        used = scored.withColumn("__r", rate(c.tolist()))
+    def totals(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = scored.select("__n", "__p").withColumn("__r", rate(c.tolist()))
         live = F.when(F.col("__r") > 0, F.col("__n")).otherwise(0.0)
-        found = used.agg(
-            F.sum(F.col("__n") * F.col("__r") * F.col("__r")),
-            *[F.sum(F.col("__n") * F.col("__r") * p) for p in posterior], *[F.sum(live * posterior[k] * posterior[m]) for k, m in pairs],
-        ).first()
+        found = used.agg(*[F.sum(w * F.get("__p", F.lit(k))) for w in (F.col("__n") * F.col("__r"), live) for k in numbers]).first()
         values = np.array([float(x or 0.0) for x in found])
-        curved = np.zeros((size, size))
-        for (k, m), x in zip(pairs, values[1 + size :], strict=True):
-            curved[k, m] = curved[m, k] = x
-        return values[1 : 1 + size], curved, values[0]
+        return values[:size], values[size:]
 
     c = np.zeros(size)
-    base, curved, spread = sums(c)
+    base, _ = totals(c)
     mass, weight = base.sum(), sum(weights.get(d, 0.0) for d in model.domains)
     if not mass or not weight:
         return c.tolist(), {}
@@ -236,31 +240,29 @@ def solve(scored: DataFrame, model: Classifier, weights: dict[str, float], whole
     if whole in model.domains and weights.get(whole) and base[model.domains.index(whole)]:
         at = model.domains.index(whole)
         target = target * base[at] / mass / target[at]
-    scale = np.maximum(base / mass, 1e-12)
-
-    def judge(c: np.ndarray, now: np.ndarray, spread: float) -> tuple[float, np.ndarray]:
-        return 0.5 * spread / mass + target @ c + 0.5 * PULL * (scale * c) @ c, target - now / mass + PULL * scale * c
-
-    now = base
-    value, slope = judge(c, now, spread)
-    damping = 0.0
+    least = np.maximum(LEAST_LIVE * base / mass, 1e-12)
+    scale = np.maximum(base / mass, least)
+    best, best_gap, still, momentum = c, base / mass - target, 0, 1.0
+    ahead, gap = c, best_gap
     for _ in range(STEPS):
-        if np.abs(now / mass - target).max() <= EXACT or (np.abs(slope) <= EXACT * EXACT).all():
-            break
-        step = -np.linalg.solve(curved / mass + np.diag((PULL + damping) * scale), slope)
-        if abs(slope @ step) <= 1e-15:
+        if np.abs(best_gap).max() <= EXACT or still >= PATIENCE:
             break
-        there, next_curved, next_spread = sums(c + step)
-        next_value, next_slope = judge(c + step, there, next_spread)
-        if next_value <= value + 1e-4 * (slope @ step) + 1e-15 * abs(value):
-            c, now, curved, value, slope = c + step, there, next_curved, next_value, next_slope
-            damping = damping / 10 if damping > 1e-9 else 0.0
+        slope = PULL * ahead - gap / scale
+        after = ahead - slope / (1 + PULL)
+        if (scale * slope) @ (after - c) > 0:  # the momentum leads uphill
+            momentum, ahead = 1.0, after
         else:
-            damping = max(10 * damping, 1e-7)
-    gaps = dict(zip(model.domains, (now / mass - target).tolist(), strict=True))
+            longer = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+            ahead, momentum = after + (momentum - 1) / longer * (after - c), longer
+        now, live = totals(ahead)
+        c, gap, scale = after, now / mass - target, np.maximum(live / mass, least)
+        still = 0 if np.abs(gap).max() < (1 - 1e-6) * np.abs(best_gap).max() else still + 1
+        if not still:
+            best, best_gap = ahead, gap
+    gaps = dict(zip(model.domains, best_gap.tolist(), strict=True))
     if max(map(abs, gaps.values())) > TOLERANCE:
         warnings.warn(f"the mixture misses its targets by these shares of all tokens: {gaps}", stacklevel=2)
-    return c.tolist(), gaps
+    return best.tolist(), gaps
 
 
 def least_rate(c: list[float], model: Classifier, whole: str) -> float:

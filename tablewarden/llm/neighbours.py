@@ -47,6 +47,9 @@ class Tree:
     children: list[np.ndarray]
     leaf: np.ndarray
 
+    def parts(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        return self.centroids, self.children, self.leaf
+
     @property
     def n_leaves(self) -> int:
         return int(self.leaf.max()) + 1
@@ -130,7 +133,7 @@ def grow(sample: np.ndarray, leaf_sample: float, seed: int = 0) -> Tree:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +160,7 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, embedding) of the rows that take part, whatever their length."""
     e = f"`{embedding}`"
     usable = f"size({e}) > 0 and not exists({e}, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists({e}, x -> x <> 0)"
-    both = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(e).cast("array<float>").alias("embedding"))
+    both = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(e).cast("array<double>").alias("embedding"))
     return both.where(F.col("vec_id").isNotNull()).where(F.expr(usable.replace(e, "embedding")))
 
 
@@ -187,14 +190,15 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     sample = rows.where(chance < wanted / n).limit(2 * SAMPLE).select("embedding").toPandas()["embedding"]
     sample = unit_rows(np.stack(sample)) if len(sample) else np.eye(1, dim)
     tree = grow(sample, max(2.0, leaf_rows * len(sample) / n))
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast(tree.parts())  # arrays alone: workers need not find the class to read them
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(*shared.value)
         for batch in batches:
             if not len(batch):
                 continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dim)
-            leaf = shared.value.assign(unit_rows(x))
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
+            leaf = tree.assign(unit_rows(x))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(leaf, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "leaf", "v"])
 
     placed = keep(rows.mapInArrow(place, "vec_id long, leaf int, v binary"), "vectors")
@@ -204,10 +208,10 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     trial = placed.where(F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(1 << 30)) / float(1 << 30) < 2 * CALIBRATION / n).limit(CALIBRATION).toPandas()
     if trial.empty:
         return Index(dim, tree, placed, sizes, tree.n_leaves, 1.0)
-    truth = brute_force(placed, trial["vec_id"].to_numpy(), np.stack([np.frombuffer(v, "<f4") for v in trial["v"]]), dim, k).toPandas()
+    truth = brute_force(placed, trial["vec_id"].to_numpy(), np.stack([np.frombuffer(v, "<f8") for v in trial["v"]]), dim, k).toPandas()
     place_of = {}
     for q, v in zip(trial["vec_id"], trial["v"], strict=True):
-        order = tree.visits(unit_rows(np.frombuffer(v, "<f4")[None])[0])
+        order = tree.visits(unit_rows(np.frombuffer(v, "<f8")[None])[0])
         place_of[q] = {leaf: i for i, leaf in enumerate(order)}
     needed = np.sort([place_of[q][leaf] + 1 for q, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
     at = min(len(needed) - 1, math.ceil(target * len(needed)) - 1) if len(needed) else -1
@@ -241,17 +245,18 @@ def search(index: Index, query_ids: DataFrame, k: int = 5) -> DataFrame:
     spark = query_ids.sparkSession
     if index.rows is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast((index.tree, index.sizes))
+    shared = spark.sparkContext.broadcast((index.tree.parts(), index.sizes))
     n_visits, dim = index.n_visits, index.dim
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sizes = shared.value
+        parts, sizes = shared.value
+        tree = Tree(*parts)
         for batch in batches:
             rows, leaves = [], []
             raw = batch.column("v").to_pylist()
             for i, v in enumerate(raw):
                 held = 0
-                for n, leaf in enumerate(tree.visits(unit_rows(np.frombuffer(v, "<f4")[None])[0])):
+                for n, leaf in enumerate(tree.visits(unit_rows(np.frombuffer(v, "<f8")[None])[0])):
                     if n >= n_visits and held > k:
                         break
                     if sizes[leaf]:

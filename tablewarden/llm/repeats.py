@@ -201,12 +201,45 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def _all_or_none(rows: DataFrame, length: int) -> DataFrame:
+    """Rows that there are twice or more: every window starts elsewhere too, so all words of ``length`` words or more go."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z, block in W.blocks(batch):
+                counts = [int(c) for c in block.counts[: z - a]]
+                gone = [np.full(c, c >= length) for c in counts]
+                removed = pa.array([c if c >= length else 0 for c in counts], pa.int64())
+                kept = pa.array([_kept_text(block, d, g).decode() for d, g in enumerate(gone)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), pa.array(counts, pa.int64()), removed, kept], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return rows.select("doc_id", "text").mapInArrow(make, "doc_id long, n_words long, n_removed long, kept string")
+
+
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", flush: int = FLUSH
 ) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` has the words that stay, joined by one space; a block has about ``flush`` anchors."""
+    """(doc_id, n_words, n_removed, kept): ``kept`` has the words that stay, joined by one space; a block has about ``flush`` anchors.
+
+    Equal rows (id and text, told by two hashes) are counted first. One of each goes into the search, for the others' sake; the
+    rows themselves need no finds, so however many there are, each is read once more and that is all.
+    """
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
+    keys = ["row", "check"]
+    checked = docs.withColumn("check", F.xxhash64("text", F.length("text"), "doc_id"))
+    repeated = keep(checked.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-rows")
+    if repeated.isEmpty():
+        return _among_rows(docs.withColumn("own", F.lit(True)), length, seed, flush)
+    single = checked.join(repeated, keys, "left_anti").select("doc_id", "text", "row")
+    several = checked.join(repeated, keys, "left_semi")
+    one_of_each = several.groupBy(*keys).agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", "row")
+    found = _among_rows(keep(single.withColumn("own", F.lit(True)).unionByName(one_of_each.withColumn("own", F.lit(False))), "rows"), length, seed, flush)
+    return found.unionByName(_all_or_none(several, length))
+
+
+def _among_rows(docs: DataFrame, length: int, seed: int, flush: int) -> DataFrame:
+    """What is left of different rows (doc_id, text, row, own); those not ``own`` are searched for the others' sake and not returned."""
     parts = max(16, -(-total_bytes(docs) // BYTES_PER_TASK))
 
     def seeds(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -217,7 +250,7 @@ def remove_repeats(
     first = keep(meet(docs.select("row", "text"), seeds, parts, True, flush), "seeds")
     by_row = first.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "repeats", "offers")).alias("found"))
     joined = docs.join(by_row.hint("shuffle_hash"), "row", "left")
-    schema = "row long, doc_id long, text string, n_words long, n_removed long, kept string, starts binary, sizes binary, offered binary, keys binary"
+    schema = "row long, doc_id long, own boolean, text string, n_words long, n_removed long, kept string, starts binary, sizes binary, offered binary, keys binary"
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,9 +283,9 @@ def remove_repeats(
                 part = batch.slice(a, z - a)
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4]
                 names = ["text", "n_words", "n_removed", "kept", "starts", "sizes", "offered", "keys"]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *(pa.array([o[k] for o in out], kinds[k]) for k in range(8))], names=["row", "doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("own"), *(pa.array([o[k] for o in out], kinds[k]) for k in range(8))], names=["row", "doc_id", "own", *names])
 
-    half = keep(joined.select("row", "doc_id", "text", "found").mapInArrow(decide, schema), "decided")
+    half = keep(joined.select("row", "doc_id", "own", "text", "found").mapInArrow(decide, schema), "decided")
 
     def windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for row, offered, keys in zip(batch.column("row").to_pylist(), batch.column("offered").to_pylist(), batch.column("keys").to_pylist(), strict=True):
@@ -264,7 +297,7 @@ def remove_repeats(
     unsure = half.where("offered is not null")
     second = meet(unsure.select("row", "offered", "keys"), windows, parts, False, flush)
     hits = second.groupBy("row").agg(F.collect_list("lo").alias("hits"))
-    final = unsure.select("row", "doc_id", "text", "n_words", "starts", "sizes").join(hits.hint("shuffle_hash"), "row", "left")
+    final = unsure.where("own").select("row", "doc_id", "text", "n_words", "starts", "sizes").join(hits.hint("shuffle_hash"), "row", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,4 +316,4 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     late = final.select("doc_id", "text", "n_words", "starts", "sizes", "hits").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
-    return half.where("offered is null").select("doc_id", "n_words", "n_removed", "kept").unionByName(late)
+    return half.where("own and offered is null").select("doc_id", "n_words", "n_removed", "kept").unionByName(late)

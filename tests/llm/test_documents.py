@@ -256,6 +256,17 @@ def test_repeats_with_partial_overlaps(spark, flush):
     assert digest == repeats_by_hand(made, 35)
 
 
+def test_repeats_of_rows_that_come_many_times(spark):
+    """Equal rows lose all long windows, texts that share a part with them lose that part, and short equal rows keep their words."""
+    long, short = " ".join(f"q{i}" for i in range(300)), "a few words"
+    made = [(1, long)] * 3000 + [(2, short)] * 50 + [(3, " ".join(["x", *(f"q{i}" for i in range(100, 160)), "y", "z"]))]
+    made += [(4, " ".join(f"r{i}" for i in range(60))), (4, " ".join(f"s{i}" for i in range(60))), (None, long)]
+    made = [(d, t, None, None, None) for d, t in made]
+    got = repeats.remove_repeats(spark.createDataFrame(made, COLUMNS).repartition(5))
+    digest = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect()), key=repr)
+    assert digest == repeats_by_hand(made, 35)
+
+
 def test_token_counts(docs, empty):
     made, df = docs
     tok = Tokenizer.from_file(queries.WORD_TOKENIZER)
@@ -437,7 +448,7 @@ def test_mixing_meets_targets_on_overlapping_domains(spark, target):
     p /= p.sum(axis=1, keepdims=True)
     n = rng.integers(1, 900, 5000).astype(float)
     scored = keep(spark.createDataFrame(pd.DataFrame({"doc_id": range(5000), "__n": n, "__p": p.tolist()})), "soft")
-    numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y", "z"], [0.0] * 3, [], []), dict(zip("xyz", target, strict=True)))
+    numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y", "z"], [0.0] * 3, [], [0], []), dict(zip("xyz", target, strict=True)))
     rates = scored.select("doc_id", mixing.rate(numbers).alias("r")).toPandas().set_index("doc_id")["r"].sort_index().to_numpy()
     reached = (n * rates) @ p / n.sum()
     assert np.allclose(reached, target, atol=1e-5) and rates.min() >= 0
@@ -448,7 +459,7 @@ def test_mixing_reports_targets_out_of_reach(spark):
     """Every document half x and half y: the nearest is half of the tokens each, whatever is wanted."""
     scored = keep(spark.range(100).selectExpr("id AS doc_id", "10D AS __n", "array(0.5D, 0.5D) AS __p"), "halves")
     with pytest.warns(UserWarning, match="misses its targets"):
-        numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y"], [0.0] * 2, [], []), {"x": 0.9, "y": 0.1})
+        numbers, gaps = mixing.solve(scored, mixing.Classifier(["x", "y"], [0.0] * 2, [], [0], []), {"x": 0.9, "y": 0.1})
     assert abs(gaps["x"] + 0.4) < 1e-4 and abs(gaps["y"] - 0.4) < 1e-4
     assert abs(scored.select(mixing.rate(numbers).alias("r")).first()["r"] - 1) < 1e-4
 
@@ -475,3 +486,59 @@ def test_mixing_keeps_a_whole_domain_at_any_composition(spark, bad):
     assert abs(expected[model.domains.index("good")] / expected.sum() - 0.93) < 1e-3
     kept = {r["doc_id"] for r in mixing.mix(some, labelled, {"good": 0.93, "poor": 0.07}, whole="good").select("doc_id").collect()}
     assert kept >= set(range(bad, 800))
+
+
+def mixing_by_hand(docs, domain_of, target):
+    """Rates by plain dictionaries and by projections onto the totals and onto rates of 0 and more, one after the other."""
+    present = {d: set(t.lower().split()) for d, t in docs}
+    size = collections.Counter(domain_of.values())
+    domains = sorted(size, key=lambda k: (-size[k], k))
+    count = {k: collections.Counter(w for d in domain_of if domain_of[d] == k for w in present[d]) for k in domains}
+    n_0, first = size[domains[0]], count[domains[0]]
+    prior, odds = {k: np.log(size[k] / len(domain_of)) for k in domains}, {k: {} for k in domains}
+    for k in domains[1:]:
+        absent = 0.0
+        for w in set(count[k]) | set(first):
+            a, b = count[k][w], first[w]
+            own, other, pooled = (a + 0.5) / (size[k] + 1), (b + 0.5) / (n_0 + 1), (a + b + 0.5) / (size[k] + n_0 + 1)
+            spread = np.sqrt(pooled * (1 - pooled) * (1 / size[k] + 1 / n_0))
+            cells = [(a, a + b, size[k]), (b, a + b, n_0), (size[k] - a, size[k] + n_0 - a - b, size[k]), (n_0 - b, size[k] + n_0 - a - b, n_0)]
+            ratio = 2 * sum(x * np.log(x * (size[k] + n_0) / (of * whole)) for x, whole, of in cells if x)
+            gone = np.log((1 - own) / (1 - other))
+            if abs(np.log(own / other)) >= mixing.LEAST_ODDS and abs(own - other) >= mixing.LEAST_SPREADS * spread and ratio >= mixing.LEAST_SPREADS**2:
+                odds[k][w] = np.log(own / other) - gone
+                absent += gone if own > other else 0.0
+        prior[k] += max(-mixing.ABSENT, absent)
+    told = set().union(*odds.values())
+    log = np.array([[prior[k] + sum(odds[k].get(w, 0.0) for w in present[d] & told) for k in domains] for d, _ in docs])
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    n = np.array([float(len(t.split())) for _, t in docs])
+    want = np.array([target[k] for k in domains]) * n.sum()
+    moved, rate = np.ones(len(n)), np.ones(len(n))
+    for _ in range(20_000):
+        moved = moved - p @ (((n * rate) @ p - want) / (n @ p))
+        rate = np.maximum(0, moved)
+    return domains, p, rate
+
+
+def test_mixing_equals_a_plain_version(spark):
+    """Posteriors and rates of documents in three overlapping domains, with so many telling words that slots are shared."""
+    rng = np.random.default_rng(11)
+    docs, domain_of = [], {}
+    for d in range(900):
+        kind = "abc"[int(rng.choice(3, p=[0.6, 0.3, 0.1]))]
+        own = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(5, 60)))] + [f"once{d}"]
+        for k in "abc":
+            own += [f"{k}{x}" for x in rng.integers(0, 40, 6 if k == kind else int(rng.integers(0, 4)))]
+        docs.append((d, " ".join(own)))
+        if d % 3:
+            domain_of[d] = kind
+    target = {"a": 0.4, "b": 0.25, "c": 0.35}
+    domains, p, want = mixing_by_hand(docs, domain_of, target)
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], COLUMNS)
+    rated, model = mixing.with_rates(df, spark.createDataFrame(list(domain_of.items()), LABELS), target)
+    got = rated.selectExpr("doc_id", "__p", "__rate").toPandas().set_index("doc_id").sort_index()
+    assert model.domains == domains and max(map(abs, model.gaps.values())) < 1e-4 and len(model.words) > 20
+    assert np.allclose(np.array(got["__p"].tolist()), p, atol=1e-4) and (p.max(axis=1) < 0.99).sum() > 5
+    assert np.allclose(got["__rate"], want, atol=1e-3) and np.ptp(want) > 0.5
