@@ -97,29 +97,28 @@ def lineage_extract(v):
 
 @query(
     "lineage_extract_resolved",
-    f"""SELECT source_name, transformation, count(*) AS edges FROM (
-      SELECT transformation, CASE source_table WHEN 'o' THEN CASE WHEN branch = 0 THEN 'hot_gear_' || o_custkey ELSE 'orders' END
+    f"""SELECT query_id, branch, source_table, source_column, target_table, transformation, CASE source_table WHEN 'o' THEN CASE WHEN branch = 0 THEN 'hot_gear_' || o_custkey ELSE 'orders' END
         WHEN 'c' THEN CASE branch WHEN 0 THEN '<subquery:c>' ELSE 'c' END ELSE source_table END AS source_name
-      FROM (SELECT query_id, branch, transformation, o_custkey, coalesce(qualifier, {_FIRST}) AS source_table
+      FROM (SELECT query_id, branch, transformation, o_custkey, source_column, target_table, coalesce(qualifier, {_FIRST}) AS source_table
         FROM ({_SELECTED}) s JOIN (VALUES {_EDGE_ROWS}) e(n, transformation, expression, dflt, qualifier, source_column) USING (n)
-        JOIN {{orders}} ON o_orderkey = query_id) x) y GROUP BY ALL""",
+        JOIN {{orders}} ON o_orderkey = query_id) x""",
 )
 def lineage_extract_resolved(v):
     edges = ops.resolve_tables(ops.extract(items(v), tables(v)), tables(v))
-    return edges.groupBy("source_name", "transformation").agg(F.count(F.lit(1)).alias("edges"))
+    return edges.select("query_id", "branch", "source_table", "source_column", "target_table", "transformation", "source_name")
 
 
-_NAME_ROWS = ", ".join(f"({n}, {_sql_text(i[1])})" for n, i in enumerate(ITEMS))
+_NAME_ROWS = ", ".join(f"({n}, {_sql_text(i[0])}, {_sql_text(i[1])})" for n, i in enumerate(ITEMS))
 
 
 @query(
     "lineage_default_name",
-    f"""SELECT name, count(*) AS items FROM (SELECT {_PICK} AS n FROM {{lineitem}} WHERE l_orderkey % 50 <> 49 AND l_partkey % 3 = 0) s
-    JOIN (VALUES {_NAME_ROWS}) t(n, name) USING (n) GROUP BY ALL""",
+    f"""SELECT query_id, branch, target_table, expr, name FROM ({_SELECTED}) s JOIN (VALUES {_NAME_ROWS}) t(n, expr, name) USING (n)
+    WHERE target_column IS NULL""",
 )
 def lineage_default_name(v):
     unnamed = ops.default_names(items(v).where("NOT is_wildcard AND target_column IS NULL"))
-    return unnamed.groupBy("name").agg(F.count(F.lit(1)).alias("items"))
+    return unnamed.select("query_id", "branch", "target_table", "expr", "name")
 
 
 @query(
@@ -156,10 +155,10 @@ _USES = f"""SELECT w.*, 'o' AS source_table, CASE WHEN branch = 0 THEN 'hot_gear
 @query(
     "lineage_wildcard_expand",
     f"""SELECT u.query_id, u.branch, u.source_table, f.name AS source_column, u.target_table, f.name AS target_column,
-      'direct' AS transformation FROM ({_USES}) u JOIN {{datasets}} d ON d.name = u.table_name JOIN {{fields}} f ON f.dataset_id = d.id""",
+      'direct' AS transformation, CAST(NULL AS VARCHAR) AS expression FROM ({_USES}) u JOIN {{datasets}} d ON d.name = u.table_name JOIN {{fields}} f ON f.dataset_id = d.id""",
 )
 def lineage_wildcard_expand(v):
-    return ops.expand_wildcards(items(v), tables(v), v.datasets, v.fields)[0].drop("expression")
+    return ops.expand_wildcards(items(v), tables(v), v.datasets, v.fields)[0]
 
 
 @query(

@@ -154,11 +154,11 @@ _RAW_EDGES = """
 
 @query(
     "lineage_record",
-    f"""SELECT CAST(reason AS STRING) AS reason, transformation_type, count(*) AS edges FROM (
-      SELECT CASE WHEN NOT coalesce(source_dataset_id > 0 AND target_dataset_id > 0, false) THEN 'dataset id not positive'
+    f"""SELECT source_dataset_id, source_field_name, target_dataset_id, target_field_name, lower(transformation_type) AS transformation_type,
+      expression, CASE WHEN NOT coalesce(source_dataset_id > 0 AND target_dataset_id > 0, false) THEN 'dataset id not positive'
         WHEN coalesce(source_field_name, '') = '' OR coalesce(target_field_name, '') = '' THEN 'empty column name'
-        WHEN strlen(source_field_name) > 256 OR strlen(target_field_name) > 256 THEN 'column name too long' END AS reason,
-        lower(transformation_type) AS transformation_type FROM ({_RAW_EDGES})) GROUP BY ALL""",
+        WHEN strlen(source_field_name) > 256 OR strlen(target_field_name) > 256 THEN 'column name too long' END AS reason
+      FROM ({_RAW_EDGES}) e""",
 )
 def lineage_record(v):
-    return ops.check_edges(v.sql(_RAW_EDGES)).groupBy("reason", "transformation_type").agg(F.count(F.lit(1)).alias("edges"))
+    return ops.check_edges(v.sql(_RAW_EDGES))
