@@ -83,11 +83,12 @@ class Classifier:
         if not self.words:
             return F.array(*[F.lit(p) for p in self.priors])
         slots = F.lit(len(self.begins) - 1)
-        own, begins = _literal(self.words, "bigint"), _literal(self.begins, "int")
+        full = [a if a < z else -1 for a, z in zip(self.begins, self.begins[1:])]  # so most words need one look
+        own, begins, ends = _literal(self.words, "bigint"), _literal(full, "int"), _literal(self.begins[1:], "int")
         slot = lambda h: F.pmod(h, slots).cast("int")
-        begin, end = lambda h: F.get(begins, slot(h)), lambda h: F.get(begins, slot(h) + 1)
+        begin, end = lambda h: F.get(begins, slot(h)), lambda h: F.get(ends, slot(h))
         place = lambda h: F.array_position(F.slice(own, begin(h) + 1, end(h) - begin(h)), h)
-        met = F.filter(hashed, lambda h: begin(h) < end(h))
+        met = F.filter(hashed, lambda h: begin(h) >= 0)
         known = F.transform(F.filter(met, lambda h: place(h) > 0), lambda h: (begin(h) + place(h) - 1).cast("int"))
         logs = [F.lit(self.priors[0])]
         for prior, odds in zip(self.priors[1:], self.odds, strict=True):
