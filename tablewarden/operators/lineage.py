@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.fixed_values import ANONYMISING_WORDS, MAX_LINEAGE_COLUMN_BYTES
-from tablewarden.session import settle, settle_counted
+from tablewarden.session import settle
+
+
+#: Levels walked by one plan; each is a join and one exchange, and a bit of the depths that a column was reached at.
+LEVELS = 12
+#: A column with more edges than this is joined in parts of about so many.
+HUB_EDGES = 1_000_000
+_HERE = ["dataset_id", "column_name"]
 
 
 class _Graph:
-    """Edges by the column a step starts from, written once.
+    """Edges by the column a step starts from, written once, and the steps of a walk.
 
-    Levels are written too, so the planner knows their sizes: it broadcasts a small frontier and then moves no edge; with
-    a large one it splits the columns that own too many edges or labels (adaptive skew join).
+    Beside its edges, every column has a step to itself, so that one inner join both keeps what is known of a column and
+    hands it on; a plan of many levels is then a chain in which nothing is computed twice. As the join is an inner one,
+    adaptive execution broadcasts a small state and no edge moves; else the exchange of the steps is made once and reused.
     """
 
     def __init__(self, edges: DataFrame, downstream: bool):
@@ -29,50 +37,77 @@ class _Graph:
             "expression",
         )
         self.edges = settle(shaped, "lineage-edges")
-
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """Edges leaving the frontier; the frontier's other columns are carried along."""
-        return frontier.join(self.edges, ["at_ds", "at_col"]).drop("at_ds", "at_col")
-
-
-def _next_frontier(level: DataFrame, labels: list[str]) -> DataFrame:
-    return level.select(*labels, F.col("dataset_id").alias("at_ds"), F.col("column_name").alias("at_col")).distinct()
-
-
-def _unseen(state: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows of ``state`` that are not in ``seen``; NULL equals NULL."""
-    same = reduce(lambda a, b: a & b, [state[c].eqNullSafe(seen[c]) for c in state.columns])
-    return state.join(seen, same, "left_anti")
-
-
-def _in_range(depth: int, max_depth: int | None) -> bool:
-    return max_depth is None or depth <= max_depth
+        ends = self.edges.select("at_ds", "at_col", F.col("dataset_id").alias("to_ds"), F.col("column_name").alias("to_col"))
+        ends = ends.where("at_ds IS NOT NULL AND at_col IS NOT NULL AND to_ds IS NOT NULL AND to_col IS NOT NULL")
+        at, to = F.struct("at_ds", "at_col"), F.struct(F.col("to_ds").alias("at_ds"), F.col("to_col").alias("at_col"))
+        degrees = ends.select(F.posexplode(F.array(at, to)).alias("end", "c")).groupBy("c.at_ds", "c.at_col").agg(F.count_if(F.col("end") == 0).alias("n"))
+        degrees = degrees.withColumn("spread", F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_EDGES)).cast("int"))
+        columns = settle(degrees.select("at_ds", "at_col", "spread"), "lineage-columns")
+        hubs = columns.where("spread > 1")
+        stay = columns.select("at_ds", "at_col", F.col("at_ds").alias("to_ds"), F.col("at_col").alias("to_col"), F.lit(True).alias("stays"))
+        steps = ends.withColumn("stays", F.lit(False))
+        self.hubs = None if hubs.isEmpty() else settle(hubs, "lineage-hubs")
+        if self.hubs is not None:
+            part = F.pmod(F.xxhash64("to_ds", "to_col"), F.coalesce("spread", F.lit(1))).cast("int")
+            steps = steps.join(self.hubs, ["at_ds", "at_col"], "left").withColumn("part", part).drop("spread")
+            steps, stay = settle(steps, "lineage-steps"), stay.withColumn("part", F.lit(0))
+        self.steps = steps.unionByName(stay)
+
+    def from_columns(self, reached: DataFrame) -> DataFrame:
+        """Edges leaving the given columns; the other columns of ``reached`` are carried along."""
+        return reached.withColumnsRenamed({"dataset_id": "at_ds", "column_name": "at_col"}).join(self.edges, ["at_ds", "at_col"]).drop("at_ds", "at_col")
+
+    def hand_on(self, state: DataFrame, value: str, active: Column, next_value: Column, fold) -> DataFrame:
+        """One level: columns where ``active`` holds hand ``next_value`` to those after them; values that meet are folded."""
+        labels = [c for c in state.columns if c not in (*_HERE, value)]
+        keys = ["at_ds", "at_col"]
+        at = state.withColumnsRenamed({"dataset_id": "at_ds", "column_name": "at_col"})
+        if self.hubs is not None:
+            keys = [*keys, "part"]
+            at = at.join(self.hubs, ["at_ds", "at_col"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)))
+        moved = at.join(self.steps, keys).where(F.col("stays") | active)
+        carried = F.when(F.col("stays"), F.col(value)).otherwise(next_value).alias(value)
+        moved = moved.select(*labels, F.col("to_ds").alias("dataset_id"), F.col("to_col").alias("column_name"), carried)
+        return moved.groupBy(*labels, *_HERE).agg(fold(value).alias(value))
 
 
 def traverse(edges: DataFrame, roots: DataFrame, downstream: bool, max_depth: int | None = None) -> DataFrame:
     """Every edge end reachable from each root, once per depth at which it is reached.
 
     ``roots`` has (dataset_id, column_name) and any number of label columns, which are carried
-    along. Duplicates are removed at each level, so the many paths of a dense graph do not
-    multiply. Without ``max_depth`` the walk ends with the first level that reaches no new column.
+    along. The state of the walk is one row for each label and column with the set of depths as bits, so the many paths
+    of a dense graph do not multiply, and ``LEVELS`` levels are one plan. Without ``max_depth`` the walk ends with the
+    first level that reaches no new column. No step leaves a column whose dataset or name is NULL.
     """
-    labels = [c for c in roots.columns if c not in ("dataset_id", "column_name")]
-    state = [*labels, "dataset_id", "column_name"]
+    labels = [c for c in roots.columns if c not in _HERE]
     graph = _Graph(edges, downstream)
-    frontier = roots.select(*labels, F.col("dataset_id").alias("at_ds"), F.col("column_name").alias("at_col")).distinct()
-    found, depth = [], 1
-    while _in_range(depth, max_depth):
-        level, n = settle_counted(graph.step(frontier).distinct().withColumn("depth", F.lit(depth)), "lineage-level")
-        seen, depth = found[:], depth + 1
-        found.append(level)
-        if not n:
-            break
-        if max_depth is None and seen:
-            known = reduce(DataFrame.unionByName, seen).select(*state).distinct()
-            if _unseen(level.select(*state), known).isEmpty():
+    frontier = roots.select(*labels, *_HERE).distinct()
+    empty = graph.from_columns(frontier).where("false").withColumn("depth", F.lit(0)).select(*labels, *graph.edges.columns[2:], "depth")
+    found, base, known, last = [], 0, None, None
+    while max_depth is None or base < max_depth:
+        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - base)
+        state = frontier.withColumn("bits", F.lit(1).cast("bigint"))
+        # The last level of all is only looked up in the edges, so it needs no step of its own.
+        ahead = levels if max_depth is None or base + levels < max_depth else levels - 1
+        for k in range(ahead):
+            state = graph.hand_on(state, "bits", F.getbit("bits", F.lit(k)) == 1, F.lit(1 << (k + 1)).cast("bigint"), F.bit_or)
+        depths = F.explode(F.filter(F.sequence(F.lit(0), F.lit(ahead)), lambda k: F.getbit("bits", k) == 1))
+        reached = settle(state.select(*labels, *_HERE, depths.alias("_step")), "lineage-level")
+        found.append(reached.where(F.col("_step") < levels).withColumn("_from", F.col("_step") + base).drop("_step"))
+        if max_depth is None:
+            new = reached.where("_step > 0").groupBy(*labels, *_HERE).agg((F.min("_step") + base).alias("first"))
+            if known is not None:
+                new = known.unionByName(new).groupBy(*labels, *_HERE).agg(F.min("first").alias("first"))
+            known = settle(new, "lineage-known")
+            last = known.agg(F.max("first")).first()[0] or 0
+            if last < base + levels:
                 break
-        frontier = _next_frontier(level, labels)
-    return reduce(DataFrame.unionByName, found) if found else graph.step(frontier).where("false").withColumn("depth", F.lit(0))
+        frontier, base = reached.where(F.col("_step") == levels).drop("_step"), base + levels
+    if not found:
+        return empty
+    walked = reduce(DataFrame.unionByName, found)
+    walked = walked if last is None else walked.where(F.col("_from") <= last)
+    return graph.from_columns(walked).withColumn("depth", F.col("_from") + 1).select(*empty.columns).distinct()
 
 
 def _named(reached: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -144,21 +179,21 @@ def impact_summary(affected: DataFrame) -> DataFrame:
 def first_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(labels, dataset_id, column_name, depth): the shortest distance from each label to each column.
 
-    Labels already known at a column are not expanded again, so the state is one row per
-    (label, column) whatever the number of paths, and cycles end by themselves: no depth is needed.
+    Only labels that came to a column in the level before are handed on, so the state is one row per
+    (label, column) whatever the number of paths, and cycles end by themselves: no depth is needed. ``LEVELS`` levels are
+    one plan, and the state is written between plans.
     """
-    labels = [c for c in roots.columns if c not in ("dataset_id", "column_name")]
-    state = [*labels, "dataset_id", "column_name"]
+    labels = [c for c in roots.columns if c not in _HERE]
     graph = _Graph(edges, True)
-    level, n = settle_counted(roots.select(*state).distinct().withColumn("depth", F.lit(0)), "reach")
-    found, depth = [level], 1
-    while n and _in_range(depth, max_depth):
-        reached = graph.step(_next_frontier(level, labels)).select(*state).distinct()
-        known = reduce(DataFrame.unionByName, found).select(*state)
-        level, n = settle_counted(_unseen(reached, known).withColumn("depth", F.lit(depth)), "reach")
-        found.append(level)
-        depth += 1
-    return reduce(DataFrame.unionByName, found).where("depth > 0")
+    state, base = roots.select(*labels, *_HERE).distinct().withColumn("depth", F.lit(0)), 0
+    while max_depth is None or base < max_depth:
+        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - base)
+        for depth in range(base, base + levels):
+            state = graph.hand_on(state, "depth", F.col("depth") == depth, F.lit(depth + 1), F.min)
+        state, base = settle(state, "reach"), base + levels
+        if (state.agg(F.max("depth")).first()[0] or 0) < base:
+            break
+    return state.where("depth > 0")
 
 
 def pii_roots(fields: DataFrame, classifications: DataFrame) -> DataFrame:

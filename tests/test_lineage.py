@@ -1,6 +1,10 @@
 """Traversal, propagation and impact on hand-made graphs."""
 
+import random
+
+import pytest
 from conftest import rows
+
 from tablewarden.operators import lineage as ops
 
 EDGE = "source_dataset_id bigint, source_field_name string, target_dataset_id bigint, target_field_name string, transformation_type string, expression string"
@@ -45,6 +49,35 @@ def test_labels_that_are_null_are_seen(spark):
     assert {r["dataset_id"] for r in ops.traverse(edges, roots, True).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("levels, hub", [(12, 1_000_000), (3, 1_000_000), (1, 2), (4, 2)])
+def test_walks_in_any_rounds_and_with_hubs(spark, monkeypatch, levels, hub):
+    """Random graphs with cycles and a column that owns a third of the edges, against a walk in plain Python."""
+    monkeypatch.setattr(ops, "LEVELS", levels)
+    monkeypatch.setattr(ops, "HUB_EDGES", hub)
+    rnd = random.Random(levels + hub)
+    pairs = {(1 if rnd.random() < 0.33 else rnd.randrange(1, 15), rnd.randrange(1, 15)) for _ in range(24)} | {(i, i + 1) for i in range(14, 20)}
+    edges, _ = graph(spark, [(a, "c", z, "c", t, None) for a, z in sorted(pairs) for t in (["direct"] if a % 2 else ["direct", "window"])])
+    roots = spark.createDataFrame([("x", 1, "c"), ("y", 3, "c"), (None, 3, "c"), ("z", 99, "c"), ("n", None, "c")], "label string, dataset_id bigint, column_name string")
+    for limit in (7, None):
+        want, first, seen = set(), {}, set()
+        level = {("x", 1), ("y", 3), (None, 3), ("z", 99)}
+        for depth in range(1, 8 if limit else 100):
+            level = {(label, z) for label, at in level for a, z in pairs if a == at}
+            want |= {(label, z, depth) for label, z in level}
+            for state in level:
+                first.setdefault(state, depth)
+            fresh, seen = level - seen, seen | level
+            if limit is None and not fresh:
+                break
+        got = ops.traverse(edges, roots, True, limit)
+        assert {tuple(r) for r in got.select("label", "dataset_id", "depth").collect()} == want
+        kinds = {(r["label"], r["dataset_id"], r["depth"], r["transformation_type"]) for r in got.collect()}
+        assert len(kinds) == got.count()
+        reach = {(r["label"], r["dataset_id"]): r["depth"] for r in ops.first_reach(edges, roots, limit).collect()}
+        starts = {("x", 1), ("y", 3), (None, 3), ("z", 99)}
+        assert reach == {k: d for k, d in first.items() if k not in starts and (limit is None or d <= limit)}
+
+
 def test_anonymise_and_severity(spark):
     edges, ds = graph(
         spark,
