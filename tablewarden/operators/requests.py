@@ -135,6 +135,27 @@ def latency_percentiles(requests: DataFrame, keys: list[str], accuracy: int = 10
     )
 
 
+#: Size of a latency sketch: ranks are within half a percent of all requests of a row (99 % of the time).
+SKETCH_K = 800
+
+
+def latency_sketches(requests: DataFrame, keys: list[str], width: str = "1 hour") -> DataFrame:
+    """(slot, keys, requests, latencies): a stored quantile sketch for each slot of time; requests without a latency are not counted."""
+    slot = F.window("ts", width)["start"].alias("slot")
+    timed = requests.where("latency_secs IS NOT NULL").groupBy(slot, *keys)
+    return timed.agg(F.count(F.lit(1)).alias("requests"), F.kll_sketch_agg_double("latency_secs", F.lit(SKETCH_K)).alias("latencies"))
+
+
+def merge_latencies(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of any slots merged for ``keys``; the requests themselves are not read again."""
+    return sketches.groupBy(*keys).agg(F.sum("requests").alias("requests"), F.kll_merge_agg_double("latencies").alias("latencies"))
+
+
+def sketched_quantile(q: float) -> Column:
+    """The latency below which a share ``q`` of a sketched row's requests lies."""
+    return F.kll_sketch_get_quantile_double("latencies", F.lit(q))
+
+
 def success_ratio(requests: DataFrame, bucket_secs: int = 300) -> DataFrame:
     slot = F.window("ts", f"{bucket_secs} seconds")["start"].alias("slot")
     good = F.count_if(F.col("status").between(200, 299))

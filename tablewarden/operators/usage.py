@@ -31,6 +31,27 @@ def daily_approximate(events: DataFrame) -> DataFrame:
     return keyed.groupBy("dataset_id", "stat_date").agg(*counter_aggs(), F.approx_count_distinct("user_name", 0.02).alias("unique_users"))
 
 
+#: Logarithm of the registers of a users' sketch: 16,384, for a standard error of 0.8 %.
+SKETCH_LOG = 14
+
+
+def daily_sketched(events: DataFrame) -> DataFrame:
+    """As ``daily`` with a stored sketch of the users (``users_sketch``), which can be united with those of other rows."""
+    keyed = events.withColumn("stat_date", F.col("ts").cast("date"))
+    sketch = F.hll_sketch_agg("user_name", F.lit(SKETCH_LOG)).alias("users_sketch")
+    return keyed.groupBy("dataset_id", "stat_date").agg(*counter_aggs(), sketch)
+
+
+def merge_sketched(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketched rows added up for ``keys``: (dataset, day) for flushes, fewer for periods or whole catalogs. No event is read again."""
+    return stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS], F.hll_union_agg("users_sketch").alias("users_sketch"))
+
+
+def estimated_users() -> Column:
+    """Distinct users of a sketched row."""
+    return F.hll_sketch_estimate("users_sketch")
+
+
 def search_appearances(results: DataFrame) -> DataFrame:
     """One appearance event per dataset in each result list (dataset_ids, user_name, ts)."""
     return results.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.fixed_values import LATENCY_BUCKETS
 from tablewarden.operators import requests as ops
 from tablewarden.plans.registry import query
+from tablewarden.session import settle
 
 _WINDOW = 43200
 _TIERS = {"free": 1, "standard": 2, "premium": 3, "enterprise": 4}
@@ -111,6 +112,31 @@ def request_latency_percentiles(v):
     return ops.latency_percentiles(v.requests, ["path"])
 
 
+RANK_BOUND = 0.01
+
+
+def close_in_rank(timed, merged, keys):
+    """(keys, requests, p95_close, p99_close): whether so many of the requests really lie at or below the sketch's quantiles."""
+    read = merged.select(*keys, ops.sketched_quantile(0.95).alias("p95"), ops.sketched_quantile(0.99).alias("p99"))
+    held, latency = timed.where("latency_secs IS NOT NULL").join(read, keys), F.col("latency_secs")
+    all_of = F.count(F.lit(1))
+
+    def close(q, name):
+        return ((F.count_if(latency < F.col(name)) <= (q + RANK_BOUND) * all_of) & (F.count_if(latency <= F.col(name)) >= (q - RANK_BOUND) * all_of)).alias(f"{name}_close")
+
+    return held.groupBy(*keys).agg(all_of.alias("requests"), close(0.95, "p95"), close(0.99, "p99"))
+
+
+@query(
+    "request_latency_merged",
+    """SELECT method, path, count(*) AS requests, true AS p95_close, true AS p99_close FROM {requests} WHERE latency_secs IS NOT NULL GROUP BY ALL""",
+)
+def request_latency_merged(v):
+    """Quantiles of whole months from the stored sketches of their hours, held against the ranks in the requests themselves."""
+    stored = settle(ops.latency_sketches(v.requests, ["method", "path"]), "latency-sketches")
+    return close_in_rank(v.requests, ops.merge_latencies(stored, ["method", "path"]), ["method", "path"])
+
+
 @query(
     "request_success_ratio",
     f"SELECT {_SLOT}, CAST(round(count(*) FILTER (status BETWEEN 200 AND 299) / count(*), 6) AS DOUBLE) AS success_ratio FROM {{requests}} GROUP BY ALL",

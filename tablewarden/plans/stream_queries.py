@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import ntz, utc_instant
+from tablewarden.operators import usage as ops
 from tablewarden.plans.registry import query
-from tablewarden.plans.request_queries import _OPENED, _WINDOW, limited
-from tablewarden.plans.usage_queries import _COUNTERS, _DAILY
+from tablewarden.plans.request_queries import _OPENED, _WINDOW, close_in_rank, limited
+from tablewarden.plans.usage_queries import _COUNTERS, _DAILY, close_to_exact
 from tablewarden.plans.views import Views
 from tablewarden.streaming import alerts, audit, requests, runner, throttle, usage
 
@@ -48,6 +49,24 @@ def stream_usage_windowed(v):
     return usage.updates_result(v.spark, folder, usage.windowed(v.access_events).schema).drop("unique_users")
 
 
+@query("stream_usage_sketched", f"SELECT dataset_id, stat_date, {', '.join(ops.COUNTERS)}, unique_users, true AS close FROM ({_DAILY}) d")
+def stream_usage_sketched(v):
+    """Users by sketches that the stream united, held against the exact ones: within 2 % and half a user."""
+    folder = runner.fresh_folder(v.spark, "usage-sketched")
+    by_weeks(v, lambda s: usage.sketched(s.access_events, folder))
+    return close_to_exact(usage.sketched_result(v.spark, folder, v.access_events), ops.daily(v.access_events), ["dataset_id", "stat_date"])
+
+
+@query(
+    "stream_latency_sketches",
+    """SELECT path, count(*) AS requests, true AS p95_close, true AS p99_close FROM {requests} WHERE latency_secs IS NOT NULL GROUP BY ALL""",
+)
+def stream_latency_sketches(v):
+    folder = runner.fresh_folder(v.spark, "latency-sketches")
+    by_weeks(v, lambda s: requests.sketch_latencies(s.requests, folder, ["path", "method"]))
+    return close_in_rank(v.requests, requests.latencies_result(v.requests, folder, ["path", "method"], ["path"]), ["path"])
+
+
 @query("stream_audit", "SELECT * FROM {audit_log}")
 def stream_audit(v):
     folder = runner.fresh_folder(v.spark, "audit")
@@ -62,7 +81,7 @@ def stream_audit(v):
 )
 def stream_throttle(v):
     folder = runner.fresh_folder(v.spark, "throttle")
-    by_weeks(v, lambda s: throttle.throttle(limited(s), folder, _WINDOW, ttl_secs=10 * _WINDOW))
+    by_weeks(v, lambda s: throttle.throttle(limited(s), folder, _WINDOW))
     return throttle.result(v.spark, folder)
 
 

@@ -8,6 +8,7 @@ from tablewarden.functions.exprs import ntz
 from tablewarden.operators import usage as ops
 from tablewarden.plans.registry import query
 from tablewarden.plans.views import AS_OF
+from tablewarden.session import settle
 
 _COUNTERS = ", ".join(f"count(*) FILTER (access_type = '{k}') AS {n}" for n, k in ops.COUNTERS.items())
 _DAILY = f"SELECT dataset_id, CAST(ts AS DATE) AS stat_date, {_COUNTERS}, count(DISTINCT user_name) AS unique_users FROM {{access_events}} GROUP BY ALL"
@@ -32,6 +33,38 @@ def usage_daily_approximate(v):
     return ops.daily_approximate(v.sql(_BUSY))
 
 
+def close_to_exact(sketched, exact, keys):
+    """Exact rows, with whether the sketch's users are within 2 % and half a user of them."""
+    estimates = sketched.select(*keys, ops.estimated_users().alias("estimate"))
+    near = F.abs(F.col("estimate") - F.col("unique_users")) <= 0.02 * F.col("unique_users") + 0.5
+    return exact.join(estimates, keys, "left").withColumn("close", F.coalesce(near, F.lit(False))).drop("estimate")
+
+
+@query(
+    "usage_merge_sketches",
+    f"""SELECT dataset_id, {_COUNTERS}, count(DISTINCT user_name) AS unique_users, true AS close FROM {{access_events}}
+      WHERE {_FROM.format(n=30).replace('stat_date', 'CAST(ts AS DATE)')} GROUP BY ALL""",
+)
+def usage_merge_sketches(v):
+    """Users of each dataset in 30 days from the stored sketches of its days, held against the exact ones."""
+    stored = settle(ops.daily_sketched(v.access_events), "daily-sketches")
+    merged = ops.merge_sketched(ops.in_period(stored, ntz(AS_OF), "30d"), ["dataset_id"])
+    users = ops.distinct_users(v.access_events, ntz(AS_OF), "30d").withColumnRenamed("distinct_users", "unique_users")
+    return close_to_exact(merged, merged.drop("users_sketch").join(users, "dataset_id"), ["dataset_id"])
+
+
+@query(
+    "usage_day_sketches",
+    f"SELECT CAST(ts AS DATE) AS stat_date, {_COUNTERS}, count(DISTINCT user_name) AS unique_users, true AS close FROM {{access_events}} GROUP BY ALL",
+)
+def usage_day_sketches(v):
+    """Users of the whole catalog on each day, united over its datasets."""
+    stored = settle(ops.daily_sketched(v.access_events), "daily-sketches")
+    merged = ops.merge_sketched(stored, ["stat_date"])
+    users = v.access_events.groupBy(F.col("ts").cast("date").alias("stat_date")).agg(F.countDistinct("user_name").alias("unique_users"))
+    return close_to_exact(merged, merged.drop("users_sketch").join(users, "stat_date"), ["stat_date"])
+
+
 _RESULTS = """SELECT event_id, 'user_' || CAST(user_id AS STRING) AS user_name, ts FROM {events} WHERE event_type = 'click'"""
 
 

@@ -59,6 +59,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has been committed."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def remove_folder(jvm, conf, path: str) -> None:
     """Delete a folder on whatever file system it is; a JVM that is gone already leaves it to the folder's owner."""
     try:

@@ -11,7 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.session import scratch_path
+from tablewarden.session import is_written, scratch_path
+
+#: So many runs of one level are folded into one of the next.
+FAN = 8
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -43,6 +46,44 @@ def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.read.schema(f"{fields}, batch bigint").option("basePath", folder).parquet(f"{folder}/batch=*")
 
 
+def _run(folder: str, level: int, number: int) -> str:
+    return f"{folder}/level={level}/run={number}"
+
+
+def add_run(df: DataFrame, folder: str, batch: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Write a batch as a run of level 0; each ``FAN``-th run of a level folds the last ``FAN`` of them into one of the next.
+
+    So a result reads a few runs for each level, not every batch, and each row is rewritten once a level. ``fold`` adds up
+    rows of equal keys and keeps the columns. Runs are named by the batch alone, so a replayed batch writes the same ones.
+    """
+    spark, schema = df.sparkSession, df.schema
+    df.write.mode("overwrite").parquet(_run(folder, 0, batch))
+    level, number = 0, batch
+    while (number + 1) % FAN == 0:
+        parts = spark.read.schema(schema).parquet(*[_run(folder, level, number - k) for k in range(FAN)])
+        level, number = level + 1, number // FAN
+        fold(parts).write.mode("overwrite").parquet(_run(folder, level, number))
+
+
+def run_paths(spark: SparkSession, folder: str) -> list[str]:
+    """The fewest runs that hold every batch once, largest first; a run that is just being written is not waited for."""
+    top = 0
+    while is_written(spark, _run(folder, top + 1, 0)):
+        top += 1
+    paths, done = [], 0
+    for level in range(top, -1, -1):
+        while is_written(spark, _run(folder, level, done // FAN**level)):
+            paths.append(_run(folder, level, done // FAN**level))
+            done += FAN**level
+    return paths
+
+
+def read_runs(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Rows of all batches so far, to be folded once more; none where nothing has been written."""
+    paths = run_paths(spark, folder)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Result table of an update-mode query: the last row written for each key."""
     rest = [c for c in rows.columns if c not in [*keys, "batch"]]

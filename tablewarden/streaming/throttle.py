@@ -1,7 +1,8 @@
 """Throttling of a request stream with restarting windows that cross batches.
 
 Batches reuse the batch operator with each key's open window carried in a small state table, so a
-hot key is spread over time stretches here too; keys idle longer than the TTL leave the state.
+hot key is spread over time stretches here too. The state is one row a key; with ``ttl_secs`` keys idle for longer (and
+longer than a window) leave it, and then a request that comes late opens a window of its own.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.fixed_values import THROTTLE_STATE_TTL_SECS, THROTTLE_WINDOW_SECS
+from tablewarden.functions.fixed_values import THROTTLE_WINDOW_SECS
 from tablewarden.operators.greedy import restarting_points, window_counts
 from tablewarden.streaming.runner import read_batches, run_batches, write_batch
 
@@ -18,10 +19,10 @@ _STATE = "throttle_key string, limit int, _carried bigint, last_us bigint"
 
 
 def throttle(
-    limited: DataFrame, folder: str, window_secs: int = THROTTLE_WINDOW_SECS, ttl_secs: int = THROTTLE_STATE_TTL_SECS, every: str | None = None
+    limited: DataFrame, folder: str, window_secs: int = THROTTLE_WINDOW_SECS, ttl_secs: int | None = None, every: str | None = None
 ):
     """Write per batch the requests of each (key, window) it saw, and the windows left open."""
-    ttl = max(ttl_secs, window_secs) * 1_000_000
+    ttl = None if ttl_secs is None else max(ttl_secs, window_secs) * 1_000_000
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -32,8 +33,7 @@ def throttle(
         opened = placed.groupBy(*_KEYS).agg(F.max("_opened").alias("_carried"), F.max("_us").alias("last_us"))
         if state is not None:
             both = state.unionByName(opened).groupBy(*_KEYS).agg(F.max("_carried").alias("_carried"), F.max("last_us").alias("last_us"))
-            newest = both.agg(F.max("last_us")).scalar()
-            opened = both.where(F.col("last_us") >= newest - ttl)
+            opened = both if ttl is None else both.where(F.col("last_us") >= both.agg(F.max("last_us")).scalar() - ttl)
         write_batch(opened, f"{folder}/state", number)
         placed.unpersist()
 

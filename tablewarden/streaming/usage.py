@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.exprs import utc_instant, utc_wall_clock
 from tablewarden.operators import usage
-from tablewarden.streaming.runner import latest_updates, read_batches, run_batches, write_batch
+from tablewarden.streaming.runner import add_run, latest_updates, read_batches, read_runs, run_batches, write_batch
 
 FLUSH_EVERY = "60 seconds"
 _KEYS = ["dataset_id", "stat_date"]
 
 
+def _add_up(counters: DataFrame) -> DataFrame:
+    return counters.groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in usage.COUNTERS])
+
+
 def exact(events: DataFrame, folder: str, every: str | None = None):
-    """Each batch adds its counters and its distinct (dataset, day, user) rows; late events count like others."""
+    """Each batch adds its counters and its distinct (dataset, day, user) rows; late events count like others.
+
+    Runs of batches are folded by and by, so the result does not read every batch again.
+    """
 
     def flush(batch: DataFrame, number: int) -> None:
         counters = usage.daily(batch).drop("unique_users")
         users = batch.where("user_name IS NOT NULL").select("dataset_id", F.col("ts").cast("date").alias("stat_date"), "user_name").distinct()
-        write_batch(counters, f"{folder}/counters", number)
-        write_batch(users, f"{folder}/users", number)
+        add_run(counters, f"{folder}/counters", number, _add_up)
+        add_run(users, f"{folder}/users", number, DataFrame.distinct)
 
     return run_batches(events, flush, folder, every=every)
 
@@ -29,11 +36,26 @@ def exact_result(spark, folder: str, events_schema_of: DataFrame) -> DataFrame:
     """Daily rows after all batches so far, equal to the batch form over the same events."""
     counters = usage.daily(events_schema_of).drop("unique_users").schema
     users = events_schema_of.select("dataset_id", F.col("ts").cast("date").alias("stat_date"), "user_name").schema
-    sums = read_batches(spark, f"{folder}/counters", counters).groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in usage.COUNTERS])
-    people = read_batches(spark, f"{folder}/users", users).groupBy(*_KEYS).agg(F.countDistinct("user_name").alias("u"))
+    sums = _add_up(read_runs(spark, f"{folder}/counters", counters))
+    people = read_runs(spark, f"{folder}/users", users).groupBy(*_KEYS).agg(F.countDistinct("user_name").alias("u"))
     return sums.join(people, _KEYS, "left").select(*_KEYS, *usage.COUNTERS, F.coalesce("u", F.lit(0)).alias("unique_users"))
 
 
+def sketched(events: DataFrame, folder: str, every: str | None = None):
+    """As ``exact`` with a sketch of the users in each row instead of rows of users: the state is one row a dataset and day."""
+
+    def flush(batch: DataFrame, number: int) -> None:
+        add_run(usage.daily_sketched(batch), f"{folder}/sketched", number, lambda rows: usage.merge_sketched(rows, _KEYS))
+
+    return run_batches(events, flush, folder, every=every)
+
+
+def sketched_result(spark, folder: str, events_schema_of: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows with their sketch after all batches so far, for each dataset and day or any coarser ``keys``."""
+    schema = usage.daily_sketched(events_schema_of).schema
+    return usage.merge_sketched(read_runs(spark, f"{folder}/sketched", schema), keys or _KEYS)
+
+
 def windowed(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Event-time form: day windows held as state until the watermark passes, users by sketch."""
     day = F.window("ts", "1 day")

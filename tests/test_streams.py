@@ -40,6 +40,61 @@ def test_usage(spark, events):
     assert rows(got, *want.columns) == rows(want)
 
 
+def test_runs_are_folded_and_hold_every_batch_once(spark, tmp_path):
+    fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    folder, schema = str(tmp_path / "runs"), spark.createDataFrame([], "k bigint, n bigint").schema
+    assert runner.read_runs(spark, folder, schema).count() == 0
+    for batch in range(75):
+        runner.add_run(spark.createDataFrame([(batch % 3, 1 << (batch % 20))], schema).coalesce(1), folder, batch, fold)
+        if batch in (0, 6, 7, 8, 63, 64, 74):
+            want = {}
+            for b in range(batch + 1):
+                want[b % 3] = want.get(b % 3, 0) + (1 << (b % 20))
+            assert rows(fold(runner.read_runs(spark, folder, schema))) == sorted(want.items())
+    assert len(runner.run_paths(spark, folder)) == 1 + 1 + 3  # 64, 8 and 3 batches
+    runner.add_run(spark.createDataFrame([(74 % 3, 1 << 14)], schema).coalesce(1), folder, 74, fold)  # a replay
+    assert rows(fold(runner.read_runs(spark, folder, schema))) == sorted(want.items())
+
+
+def test_sketches_unite_over_batches(spark, events):
+    batch, stream, tmp = events
+    stream_usage.sketched(stream(), str(tmp / "sketched"))
+    got = stream_usage.sketched_result(spark, str(tmp / "sketched"), batch).withColumn("unique_users", usage.estimated_users())
+    want = usage.daily(batch)
+    assert rows(got, *want.columns) == rows(want)  # so few users are counted exactly by a sketch
+    whole = stream_usage.sketched_result(spark, str(tmp / "sketched"), batch, ["dataset_id"])
+    users = batch.groupBy("dataset_id").agg(F.countDistinct("user_name").alias("n"))
+    assert rows(whole.select("dataset_id", usage.estimated_users().alias("n"))) == rows(users)
+
+
+def test_merged_latency_sketches_are_within_their_bound(spark):
+    timed = spark.range(60_000).select(
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.xxhash64("id") % 2 == 0).cast("string").alias("path"),
+        F.when(F.col("id") % 50 != 0, F.pow(F.rand(5), 4.0)).alias("latency_secs"),
+    ).persist()
+    stored = requests.latency_sketches(timed, ["path"])
+    assert stored.count() > 1000
+    for r in requests.merge_latencies(stored, ["path"]).select("path", "requests", *[requests.sketched_quantile(q).alias(f"q{int(100 * q)}") for q in (0.5, 0.95, 0.99)]).collect():
+        one = timed.where((F.col("path") == r["path"]) & F.col("latency_secs").isNotNull())
+        assert one.count() == r["requests"]
+        for q in (0.5, 0.95, 0.99):
+            assert abs(one.where(F.col("latency_secs") <= r[f"q{int(100 * q)}"]).count() / r["requests"] - q) < 0.01
+    timed.unpersist()
+
+
+def test_a_key_that_was_idle_for_long_keeps_its_window(spark, tmp_path):
+    at = lambda s: NOW + datetime.timedelta(seconds=s)
+    parts = [[("a", at(0)), ("b", at(1))], [("b", at(5000))], [("b", at(90_000)), ("a", at(30))]]
+    schema = "throttle_key string, limit int, ts timestamp_ntz, request_id bigint"
+    for n, part in enumerate(parts):
+        spark.createDataFrame([(k, 1, t, 10 * n + i) for i, (k, t) in enumerate(part)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = runner.file_stream(spark, str(tmp_path / "in"), "*.parquet", batch.schema, 1)
+    stream_throttle.throttle(stream, str(tmp_path / "out"), 60)
+    want = requests.throttle_windows(batch, 60)
+    assert rows(stream_throttle.result(spark, str(tmp_path / "out")), *want.columns) == rows(want)
+
+
 def test_throttle_crosses_batches(spark, events):
     batch, stream, tmp = events
     keyed = lambda df: df.select(F.col("user_name").alias("throttle_key"), F.lit(3).alias("limit"), "ts", "request_id")
