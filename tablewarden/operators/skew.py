@@ -12,6 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.session import settle
+
+#: A gram held by more texts than this is joined in parts of about so many.
+PART_ROWS = 100_000
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the left side's keys stay."""
@@ -68,26 +73,39 @@ def dense_ids(df: DataFrame, key: str, start: Column, out: str, buckets: int = 4
     return numbered.withColumn(out, start + F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
+def _grams(text: Column, n: int) -> Column:
+    size = F.length(text)
+    spots = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(spots, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def substring_matches(
-    left: DataFrame, text: str, right: DataFrame, needle: str, condition: Column | None = None, salts: int = 8
+    left: DataFrame, text: str, right: DataFrame, needle: str, condition: Column | None = None, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """All pairs where ``left.text`` contains ``right.needle``, as an equality join on short character grams.
 
-    Every needle is indexed by its first three characters (or fewer if it is shorter); a text offers
-    each gram it holds once, and ``condition`` (by default ``contains``) decides. Empty needles meet
-    every text through gram ''. Common grams are hot keys, so texts are spread over ``salts`` and the
-    needles repeated for each; when the needles are few Catalyst broadcasts them and none of it shuffles.
+    The grams of the needles are counted over all texts first, and every needle is indexed by the rarest of its grams
+    of three characters (or fewer if it is shorter); one that holds a gram no text has is out. Texts offer each indexed gram
+    they hold once, and ``condition`` (by default ``contains``) decides. A gram held by more than ``part_rows`` texts is
+    joined in as many parts as its own count asks for, the needles repeated for each. Empty needles meet every text and
+    are joined apart, in parts of the texts. NULL texts and needles meet nothing.
     """
-    size = F.length(F.col(text))
-
-    def grams(n: int) -> Column:
-        spots = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.substring(F.col(text), i, F.lit(n)))
-
-    offered = F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))
-    probe = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    probe = probe.withColumn("_gram", F.explode(offered))
-    build = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    build = build.withColumn("_gram", F.substring(F.col(needle), 1, 3))
-    hit = F.contains(F.col(text), F.col(needle)) if condition is None else condition
-    return probe.join(build, ["_gram", "_salt"]).where(hit).drop("_gram", "_salt")
+    spark, given = left.sparkSession, F.col(needle)
+    hit = F.contains(F.col(text), given) if condition is None else condition
+    texts = left.where(F.col(text).isNotNull())
+    words = right.where(given != "").select(given.alias("_needle")).distinct()
+    own = F.when(F.length("_needle") >= 3, _grams(F.col("_needle"), 3)).otherwise(F.array("_needle"))
+    pieces = settle(words.select("_needle", F.explode(F.array_distinct(own)).alias("_gram")), "needle-grams")
+    offered = F.explode(F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in (1, 2, 3)]))).alias("_gram")
+    held = texts.select(offered).join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = pieces.join(held, "_gram").groupBy("_needle").agg(F.min_by(F.struct("_gram", "_n"), F.struct("_n", "_gram")).alias("g"))
+    parts = F.ceil(F.col("g._n") / part_rows).cast("int").alias("_parts")
+    index = settle(rarest.select("_needle", "g._gram", parts), "needle-index")
+    spread = lambda parts: F.pmod(F.xxhash64(*left.columns), parts).cast("int").alias("_part")
+    probe = texts.select("*", offered).join(index.select("_gram", "_parts").distinct(), "_gram").select("*", spread(F.col("_parts"))).drop("_parts")
+    build = right.join(index, given == F.col("_needle")).drop("_needle").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    pairs = probe.join(build, ["_gram", "_part"]).where(hit).drop("_gram", "_part")
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = right.where(given == "").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    whole = texts.select("*", spread(F.lit(slices))).join(sliced, "_part").where(hit).drop("_part")
+    return pairs.unionByName(whole)

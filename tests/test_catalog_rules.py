@@ -209,3 +209,24 @@ def test_requests_of_unknown_tenants_get_a_decision(spark):
     none = spark.createDataFrame([], "id bigint, tenant string")
     got = tenancy.admission(asked, tenants, none, F.col("requested_at"), dry_run=False)
     assert {r["id"]: r["decision"] for r in got.collect()} == {1: "admitted", 2: "blocked", 3: "unknown_tenant", 4: "unknown_tenant"}
+
+
+def test_contracts_of_equal_terms_are_judged_once(spark):
+    """Many contracts of two texts: the check sees each dataset once a text, and every pair gets the violations of its own."""
+    pairs = spark.createDataFrame([(c, d, f"n{d}") for c in range(40) for d in range(3)], "contract_id int, dataset_id int, dataset_name string")
+    table = spark.createDataFrame(
+        [(c, f"c{c}", "block", None if c % 4 == 3 else f'{{"max_staleness_secs": {c % 2}}}') for c in range(40)],
+        "id int, name string, on_violation string, freshness_contract string",
+    )
+    seen = []
+
+    def check(some, terms):
+        seen.append((some.count(), terms.count()))
+        late = some.join(terms.withColumnRenamed("id", "contract_id"), "contract_id").where("freshness_contract LIKE '%1}' AND dataset_id > 0")
+        return late.select("contract_id", "dataset_id", F.lit("stale").alias("kind"), F.lit("last_updated").alias("subject"))
+
+    got = contracts.verdicts(pairs, table, {"freshness_contract": check})
+    assert seen == [(6, 2)]
+    late = lambda c, d: c % 4 == 1 and d > 0
+    want = [(c, d, not late(c, d), int(late(c, d)), "stale:1" if late(c, d) else "", "block" if late(c, d) else "none") for c in range(40) for d in range(3)]
+    assert rows(got, "contract_id", "dataset_id", "passed", "violations", "kinds", "action") == sorted(want, key=repr)

@@ -40,8 +40,20 @@ def test_substring_matches(spark):
     left = spark.createDataFrame([(t,) for t in texts], "text string")
     right = spark.createDataFrame([(n,) for n in needles], "needle string")
     want = sorted(((t, n) for t in texts for n in needles if n in t), key=repr)
-    for salts in (1, 4):
-        assert rows(skew.substring_matches(left, "text", right, "needle", salts=salts), "text", "needle") == want
+    for part_rows in (1, 3, 100_000):
+        assert rows(skew.substring_matches(left, "text", right, "needle", part_rows=part_rows), "text", "needle") == want
+
+
+def test_substring_matches_of_nulls_and_repeats(spark):
+    """Repeated rows stay apart, NULLs meet nothing, a needle no text has is out, as are empty tables."""
+    texts, needles = ["abcabc", "abcabc", None, "", "zabz"], ["abc", "abc", None, "", "ab", "qqq", "abq"]
+    left = spark.createDataFrame([(t,) for t in texts], "text string")
+    right = spark.createDataFrame([(i, n) for i, n in enumerate(needles)], "id int, needle string")
+    want = sorted(((t, i) for t in texts for i, n in enumerate(needles) if t is not None and n is not None and n in t), key=repr)
+    for part_rows in (1, 100_000):
+        assert rows(skew.substring_matches(left, "text", right, "needle", part_rows=part_rows), "text", "id") == want
+    assert skew.substring_matches(left.limit(0), "text", right, "needle").count() == 0
+    assert skew.substring_matches(left, "text", right.limit(0), "needle").count() == 0
 
 
 def test_null_keys_and_times_stay(spark):
