@@ -8,8 +8,9 @@ their one-deletion neighbourhoods). Documents with an equal segment meet by its
 1. Documents with equal sets are one class, spoken for by its smallest id.
 2. Signatures are packed by destination. Of the documents of a block that share one, a single id travels on together with a
    number for that group, so a signature of a third of all documents travels once for each block. Where signatures meet, the
-   smallest id that offers them for its own band becomes their leader; the groups' numbers bring it back to all their
-   members. That makes as many pairs of a leader and a document as there are documents, not their square.
+   smallest id that offers them for its own band becomes their leader. Leaders and members then count as their classes, each once
+   for a group, and the groups' numbers bring the leaders back to all their members. So copies make no more pairs than one of
+   them, and others at most one for each signature, not the square of their number.
 3. Each pair is verified exactly on the texts. A leader with many documents is dealt out by salts.
 4. Documents of one leader that it isn't linked with may be linked with one another: they are compared by what they differ from
    the leader in, in square blocks of ``BLOCK`` documents, and only edges that span the links found go on.
@@ -143,8 +144,11 @@ def _rows(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
 
 
-def leader_pairs(docs: DataFrame, n_signatures: int, percent: int = PERCENT, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
-    """(a, b): documents b with the leaders a of their signatures; ``n_signatures`` of them are dealt out in even parts."""
+def leader_pairs(docs: DataFrame, rep: DataFrame, n_signatures: int, percent: int = PERCENT, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
+    """(a, b): classes b with the leaders a of their signatures, each by its smallest id; ``rep`` has (doc_id, rep) for all documents.
+
+    ``n_signatures`` of them are dealt out in even parts.
+    """
     parts = max(12, -(-n_signatures // SIGNATURES_PER_TASK))
 
     def send(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +194,14 @@ def leader_pairs(docs: DataFrame, n_signatures: int, percent: int = PERCENT, wid
 
     sent = docs.mapInArrow(offer, "part long, blob binary").repartition(parts, "part")
     met = keep(sent.mapInArrow(join, "kind byte, a long, b long"), "met")
-    leads = met.where(F.col("kind") == _LEADS).select(F.col("a").alias("number"), F.col("b").alias("a")).distinct()
-    members = met.where(F.col("kind") == _MEMBER).select(F.col("a").alias("number"), "b")
+    rep_a, rep_b = rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
+    of = lambda kind: met.where(F.col("kind") == kind).select("a", "b").join(rep_b, "b")
+    # before they meet: copies are members of one group as often as there are of them
+    leads = of(_LEADS).select(F.col("a").alias("number"), F.col("rb").alias("a")).distinct()
+    members = of(_MEMBER).select(F.col("a").alias("number"), F.col("rb").alias("b")).distinct()
     brought = leads.join(members, "number").where("a <> b").select("a", "b")
-    return met.where(F.col("kind") == _PAIR).select("a", "b").unionByName(brought).distinct()
+    alone = of(_PAIR).join(rep_a, "a").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return alone.unionByName(brought).distinct()
 
 
 def with_classes(sets: DataFrame) -> DataFrame:
@@ -327,10 +335,8 @@ def join_documents(
     spoken = keep(with_classes(sets), "classes")
     total = int(sets.agg(F.sum("n_signatures")).first()[0] or 0)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    met = leader_pairs(usable, total, percent, width, flush)
     rep = spoken.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
-    pairs = met.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    pairs = keep(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")
+    pairs = keep(leader_pairs(usable, rep, total, percent, width, flush), "pairs")
     groups = pairs.groupBy("a").agg(F.count("*").alias("n_group"))
     salted = pairs.join(groups, "a").withColumn("salt", F.expr(f"pmod(xxhash64(b), (n_group + {LEADER_PART - 1}) div {LEADER_PART})"))
     verified = keep(verify(keep(salted, "salted"), usable, percent, width), "verified")

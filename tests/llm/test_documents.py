@@ -394,6 +394,25 @@ def test_jaccard_join_whatever_the_blocks(spark, flush):
     assert got == jaccard_by_hand(made)
 
 
+def test_copies_meet_leaders_as_one(spark, monkeypatch):
+    """Two linked texts, 300 copies of each, in four blocks: groups bring their leaders back to classes, not to each copy."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base), " ".join(["n0", *base[1:]])]
+    df = keep(spark.createDataFrame([(d, texts[d % 2], None, None, None) for d in range(600)], COLUMNS).repartition(4), "copies")
+    brought, join = [], type(df).join
+
+    def seen(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "number":
+            brought.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "join", seen)
+    got = jaccard.join_documents(df).collect()
+    assert len(got) == 600 and {r["component_id"] for r in got} == {0}
+    assert len(brought) == 1 and brought[0].count() <= 16
+
+
 def test_mixing_learns_from_many_rare_words_and_not_from_copies(spark):
     """Forty insults at 7 % each tell; the words of 150 near copies and single ones don't."""
     rng = np.random.default_rng(8)
