@@ -51,8 +51,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def words(text: str) -> Column:
     """The words of a column, in lower case; none for null."""
-    t = F.btrim(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.length(t) > 0, F.split(t, SPACES)).otherwise(F.array().cast("array<string>"))
+    # space at an end of the text leaves an empty part there
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), SPACES), "")
 
 
 def distinct_hashes(found: Column) -> Column:
@@ -61,8 +61,8 @@ def distinct_hashes(found: Column) -> Column:
 
 
 def _literal(values: list, kind: str) -> Column:
-    """An array that the optimizer folds to one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    """An array that the optimizer folds to one literal; empty strings are null."""
+    return F.split(F.lit(",".join(map(str, values))), ",").try_cast(f"array<{kind}>")
 
 
 @dataclass
@@ -78,23 +78,29 @@ class Classifier:
     odds: list[list[float]]
     gaps: dict[str, float] = field(default_factory=dict)
 
-    def logs(self, hashed: Column) -> Column:
-        """Log posteriors, but for a common term, of the domains for an array of word hashes."""
+    def places(self, hashed: Column) -> Column:
+        """Where in ``words`` the distinct ones of an array of word hashes stand that tell."""
         if not self.words:
-            return F.array(*[F.lit(p) for p in self.priors])
+            return F.array().cast("array<int>")
         slots = F.lit(len(self.begins) - 1)
-        full = [a if a < z else -1 for a, z in zip(self.begins, self.begins[1:])]  # so most words need one look
-        own, begins, ends = _literal(self.words, "bigint"), _literal(full, "int"), _literal(self.begins[1:], "int")
+        alone = [a if z - a == 1 else "" for a, z in zip(self.begins, self.begins[1:])]  # so most words need one look
+        own, only, begins = _literal(self.words, "bigint"), _literal(alone, "int"), _literal(self.begins, "int")
         slot = lambda h: F.pmod(h, slots).cast("int")
-        begin, end = lambda h: F.get(begins, slot(h)), lambda h: F.get(ends, slot(h))
-        place = lambda h: F.array_position(F.slice(own, begin(h) + 1, end(h) - begin(h)), h)
-        met = F.filter(hashed, lambda h: begin(h) >= 0)
-        known = F.transform(F.filter(met, lambda h: place(h) > 0), lambda h: (begin(h) + place(h) - 1).cast("int"))
+        begin, end = lambda h: F.get(begins, slot(h)), lambda h: F.get(begins, slot(h) + 1)
+        among = lambda h: begin(h) + F.array_position(F.slice(own, begin(h) + 1, end(h) - begin(h)), h) - 1
+        return F.transform(F.array_intersect(own, hashed), lambda h: F.coalesce(F.get(only, slot(h)), among(h)).cast("int"))
+
+    def logs_at(self, places: Column) -> Column:
+        """Log posteriors, but for a common term, of the domains for an array of places; each domain reads it, so it should be a column."""
         logs = [F.lit(self.priors[0])]
-        for prior, odds in zip(self.priors[1:], self.odds, strict=True):
-            logs.append(F.lit(prior) + _sum_of(_literal([f"{x:.6g}" for x in odds], "double"), known))
+        for k, prior in enumerate(self.priors[1:]):
+            logs.append(F.lit(prior) + _sum_of(_literal([f"{x:.6g}" for x in self.odds[k]], "double"), places) if self.words else F.lit(prior))
         return F.array(*logs)
 
+    def logs(self, hashed: Column) -> Column:
+        """As ``logs_at``, for an array of word hashes."""
+        return self.logs_at(self.places(hashed))
+
 
 def _sum_of(table: Column, slots: Column) -> Column:
     return F.aggregate(slots, F.lit(0.0), lambda s, b: s + F.get(table, b))
@@ -199,7 +205,9 @@ def _likelihood_ratio(n: Column, size: int, n_0: Column, size_0: int) -> Column:
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (tokens) and ``__p`` (posteriors in the order of the model's domains)."""
     out = docs.withColumn("__w", words(text))  # used twice, so a column of its own: it is split once
-    out = out.withColumn("__n", F.size("__w").cast("double")).withColumn("__l", model.logs(distinct_hashes(F.col("__w")))).drop("__w")
+    hashed = F.transform(F.col("__w"), lambda w: F.xxhash64(w))
+    out = out.withColumn("__n", F.size("__w").cast("double")).withColumn("__t", model.places(hashed)).drop("__w")
+    out = out.withColumn("__l", model.logs_at(F.col("__t"))).drop("__t")
     out = out.withColumn("__l", F.expr("transform(__l, x -> exp(x - array_max(__l)))"))
     return out.withColumn("__p", F.expr("transform(__l, x -> x / aggregate(__l, 0D, (s, y) -> s + y))")).drop("__l")
 

@@ -551,6 +551,24 @@ def test_words_that_share_a_slot_all_tell(spark):
     assert sorted(r["x"] for r in logs.collect()) == odds
 
 
+def test_mixing_hashes_and_looks_up_each_word_once(spark, docs):
+    """However many domains there are; words at any space, telling ones with a slot of their own or shared."""
+    made, some = docs
+    told = ["a", "b", "c", "nothing", "é,è;é!!", "x"]
+    hashes = [r[0] for r in spark.createDataFrame([(w,) for w in told], "w string").selectExpr("xxhash64(w)").collect()]
+    ordered = sorted(zip(hashes, told, strict=True), key=lambda x: (x[0] % 3, x[0]))
+    begins = [sum(h % 3 < slot for h, _ in ordered) for slot in range(4)]
+    odds = [[k + 1.0 for k in range(6)], [10.0**k for k in range(6)]]
+    model = mixing.Classifier(["p", "q", "r"], [-1.0, -2.0, -3.0], [h for h, _ in ordered], begins, odds)
+    scored = mixing.score(some, model)
+    assert str(scored._jdf.queryExecution().optimizedPlan()).count("xxhash64") == 1
+    for r in scored.select("text", "__n", "__p").collect():
+        found = WORD.findall((r["text"] or "").lower())
+        logs = np.array([-1.0, *(p + sum(o[k] for k, (_, w) in enumerate(ordered) if w in found) for p, o in zip((-2.0, -3.0), odds, strict=True))])
+        p = np.exp(logs - logs.max())
+        assert r["__n"] == len(found) and np.allclose(r["__p"], p / p.sum())
+
+
 def test_mixing_equals_a_plain_version(spark):
     """Posteriors and rates of documents in three overlapping domains."""
     rng = np.random.default_rng(11)
