@@ -124,6 +124,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                     [batch.column("doc_id").take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, c]) for c in (2, 3, 4))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            pa.default_memory_pool().release_unused()  # or each worker keeps what its largest batch took
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(make, PIECES)
 
