@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import shingles as S
 from tablewarden.llm import words as W
-from tablewarden.llm.common import fresh_name, keep
+from tablewarden.llm.common import fresh_name, keep, short_batches
 from tablewarden.llm.graph import components
 
 PERCENT = 85
@@ -330,7 +330,7 @@ def join_documents(
     docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", flush: int = FLUSH
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``; a block has about ``flush`` signatures."""
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = short_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sets = keep(set_table(docs, width, percent), "sets")
     spoken = keep(with_classes(sets), "classes")
     total = int(sets.agg(F.sum("n_signatures")).first()[0] or 0)

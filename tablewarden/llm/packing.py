@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import tokens
 from tablewarden.llm import words as W
-from tablewarden.llm.common import keep
+from tablewarden.llm.common import keep, short_batches
 
 CAPACITY = 2048
 ROWS_PER_GROUP = 50_000
@@ -126,7 +126,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 )
             pa.default_memory_pool().release_unused()  # or each worker keeps what its largest batch took
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(make, PIECES)
+    return short_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(make, PIECES)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

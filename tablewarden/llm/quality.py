@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import words as W
-from tablewarden.llm.common import keep
+from tablewarden.llm.common import keep, short_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -95,7 +95,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
     schema = docs.select(*[docs[f"`{f.name}`"] for f in fields]).schema
     for c in COUNTS:
         schema = schema.add(f"__{c}", "long")
-    return docs.mapInArrow(make, schema)
+    return short_batches(docs).mapInArrow(make, schema)
 
 
 def rules() -> dict[str, Column]:

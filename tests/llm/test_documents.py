@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewarden.llm import jaccard, language, mixing, packing, pii, quality, queries, repeats, token_counts
-from tablewarden.llm.common import keep
+from tablewarden.llm.common import ARROW_ROWS, keep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,6 +144,20 @@ def test_packing_cuts_counts_and_fills(docs, empty):
     assert packing.pack(empty, queries.WORD_TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("use", [lambda d: packing.pack(d, queries.WORD_TOKENIZER), jaccard.join_documents, quality.filter_documents])
+def test_texts_go_to_python_in_short_batches(spark, use):
+    """However many rows a partition has, at any time a task holds few of its texts."""
+    spark.conf.unset(ARROW_ROWS)
+    df = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "concat('some words ', id) AS text", "'h' AS source")
+    use(df)
+    sizes = df.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long").count()
+    assert sizes >= 3
+    spark.conf.set(ARROW_ROWS, "200")
+    use(df)
+    assert spark.conf.get(ARROW_ROWS) == "200"
+    spark.conf.unset(ARROW_ROWS)
+
+
 def test_packing_plans_are_whole_and_tight():
     rng = np.random.default_rng(1)
     for _ in range(40):
