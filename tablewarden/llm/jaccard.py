@@ -196,9 +196,9 @@ def leader_pairs(docs: DataFrame, rep: DataFrame, n_signatures: int, percent: in
     met = keep(sent.mapInArrow(join, "kind byte, a long, b long"), "met")
     rep_a, rep_b = rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
     of = lambda kind: met.where(F.col("kind") == kind).select("a", "b").join(rep_b, "b")
-    # before they meet: copies are members of one group as often as there are of them
-    leads = of(_LEADS).select(F.col("a").alias("number"), F.col("rb").alias("a")).distinct()
-    members = of(_MEMBER).select(F.col("a").alias("number"), F.col("rb").alias("b")).distinct()
+    # before they meet: copies are members of one group as often as there are of them; one exchange by number does for both steps
+    leads = of(_LEADS).select(F.col("a").alias("number"), F.col("rb").alias("a")).repartition("number").distinct()
+    members = of(_MEMBER).select(F.col("a").alias("number"), F.col("rb").alias("b")).repartition("number").distinct()
     brought = leads.join(members, "number").where("a <> b").select("a", "b")
     alone = of(_PAIR).join(rep_a, "a").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return alone.unionByName(brought).distinct()
