@@ -11,13 +11,16 @@ their one-deletion neighbourhoods). Documents with an equal segment meet by its
    smallest id that offers them for its own band becomes their leader. Leaders and members then count as their classes, each once
    for a group, and the groups' numbers bring the leaders back to all their members. So copies make no more pairs than one of
    them, and others at most one for each signature, not the square of their number.
-3. Each pair is verified exactly on the texts. A leader with many documents is dealt out by salts.
-4. Documents of one leader that it isn't linked with may be linked with one another: they are compared by what they differ from
+3. A leader and its documents are compared by rows of parities of their sets (``shingles.parities``, a fiftieth of a text). Two
+   sets differ in no fewer elements than their rows in bits, so what is too far from all others there is linked with none of them
+   and leaves; texts are needed for the others alone.
+4. Each pair left is verified exactly on the texts. A leader with many documents is dealt out by salts.
+5. Documents of one leader that it isn't linked with may be linked with one another: they are compared by what they differ from
    the leader in, in square blocks of ``BLOCK`` documents, and only edges that span the links found go on.
-5. Components of all links give the smallest id that each document reaches.
+6. Components of all links give the smallest id that each document reaches.
 
-Two linked documents that are not of one class share a signature, so they share a leader, and step 3 or 4 links them. The work of
-step 4 grows with the square of the distinct unlinked documents around one leader, in blocks over all tasks; no pair is
+Two linked documents that are not of one class share a signature, so they share a leader, and step 4 or 5 links them. The work of
+steps 3 and 5 grows with the square of the distinct unlinked documents around one leader, in blocks over all tasks; no pair is
 written there, and nothing is capped. Null and empty texts have no shingles and are linked with nothing. Rows that share an id count as one document.
 """
 
@@ -43,10 +46,11 @@ LEADER_PART = 2048
 CLASS_PART = 1024
 SALTS = 64
 BLOCK = 512
+PARITY_BLOCK = 2048
 
 
 def set_table(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, n_signatures) for each row of (doc_id, text)."""
+    """(doc_id, n_shingles, k1, k2, n_signatures, parities) for each row of (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = S.Bands(percent)
@@ -55,11 +59,14 @@ def set_table(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
                 sets = S.shingle_sets(block, width)
                 k1, k2 = S.set_keys(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, z - a), pa.array(sets.sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(S.signature_counts(sets.sizes, bands))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "n_signatures"],
+                    [
+                        batch.column("doc_id").slice(a, z - a), pa.array(sets.sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                        pa.array(S.signature_counts(sets.sizes, bands)), pa.array(S.parities(sets), pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "k1", "k2", "n_signatures", "parities"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, k1 long, k2 long, n_signatures long")
+    return docs.mapInArrow(make, "doc_id long, n_shingles long, k1 long, k2 long, n_signatures long, parities binary")
 
 
 _OFFER = np.dtype([("key", "<u8"), ("doc", "<i8"), ("group", "<u8"), ("larger", "i1")])
@@ -220,6 +227,38 @@ def with_classes(sets: DataFrame) -> DataFrame:
     return done.unionByName(rest.select("doc_id", "n_shingles", own.alias("rep")))
 
 
+def with_partners(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose b may be linked with a or another b of that leader, by the parities in ``sets``."""
+    groups = pairs.groupBy("a").agg(F.expr(f"(count(*) + {PARITY_BLOCK}) div {PARITY_BLOCK}").alias("chunks"))
+    # a leader is one of its own documents here
+    around = pairs.join(groups, "a").unionByName(groups.select("a", F.col("a").alias("b"), "chunks"))
+    around = around.withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")))
+    rows = sets.where("n_shingles > 0").select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), "parities")
+    # a block holds two different chunks, or the only one
+    dealt = around.join(rows, "b").withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).where("chunk <> other or chunks = 1")
+    dealt = dealt.select("a", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "b", "n_b", "parities")
+
+    def found(block: pa.Table) -> pa.RecordBatch:
+        a, b = block.column("a").to_numpy(), block.column("b").to_numpy()
+        some = S.with_partner(block.column("n_b").to_numpy(), block.column("parities").to_pylist(), b, percent) & (a != b)
+        return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # the last block may go on in the next batch
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            key = np.stack([part.column(c).to_numpy() for c in ("a", "i", "j")])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            for x, y in zip(cut, cut[1:], strict=False):
+                yield found(part.slice(x, y - x))
+            rest = part.slice(cut[-1])
+        if rest is not None:
+            yield found(rest)
+
+    return dealt.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(a, b, n_group, n_b, link, differing) for leader pairs (a, b, n_group, salt), on the texts of (doc_id, text).
 
@@ -336,7 +375,8 @@ def join_documents(
     total = int(sets.agg(F.sum("n_signatures")).first()[0] or 0)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rep = spoken.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
-    pairs = keep(leader_pairs(usable, rep, total, percent, width, flush), "pairs")
+    met = keep(leader_pairs(usable, rep, total, percent, width, flush), "pairs")
+    pairs = keep(with_partners(met, sets, percent), "near-pairs")
     groups = pairs.groupBy("a").agg(F.count("*").alias("n_group"))
     salted = pairs.join(groups, "a").withColumn("salt", F.expr(f"pmod(xxhash64(b), (n_group + {LEADER_PART - 1}) div {LEADER_PART})"))
     verified = keep(verify(keep(salted, "salted"), usable, percent, width), "verified")

@@ -12,6 +12,7 @@ import numpy as np
 from tablewarden.llm import words as W
 
 _SCHEME, _SEGMENT, _DROPPED = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xDB4F0B9175AE2165), np.uint64(0xA24BAED4963EE407)
+_PARITY = np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass
@@ -58,6 +59,54 @@ def set_keys(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return group_sums(W.mix(sets.item), sets.cut), group_sums(W.mix(sets.item ^ _DROPPED), sets.cut)
 
 
+def parities(sets: Sets) -> list[bytes]:
+    """For each set a row of bits, each the parity of the elements that fall on it; empty for an empty set.
+
+    The bits in which two rows differ are at most the elements that are in one set only. A row has the power of two of
+    bits that is next to the set's size, 64 at least, so folding it by halves gives the row of fewer bits (``fold``).
+    """
+    sizes = sets.sizes
+    width = np.where(sizes > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
+    cut = np.concatenate([[0], np.cumsum(width)])
+    at = W.mix(sets.item ^ _PARITY) & np.repeat(np.maximum(width, 1) - 1, sizes).astype(np.uint64)
+    odd = np.bincount(at.astype(np.int64) + np.repeat(cut[:-1], sizes), minlength=int(cut[-1])) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [packed[a:z] for a, z in zip((cut[:-1] // 8).tolist(), (cut[1:] // 8).tolist(), strict=True)]
+
+
+def fold(row: np.ndarray, words: int) -> np.ndarray:
+    """A row of parities, as 64-bit words, brought down to ``words`` of them."""
+    while len(row) > words:
+        row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+    return row
+
+
+def with_partner(sizes: np.ndarray, rows: list[bytes], ids: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set may be linked with one of another id, by sizes and parities: true for all that are, and few others."""
+    order = np.argsort(sizes, kind="stable")
+    n, ids, bits = sizes[order], ids[order], [np.frombuffer(rows[i], "<u8") for i in order.tolist()]
+    words = np.array([len(x) for x in bits], np.int64)
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    found = np.zeros(len(n), bool)
+    for level in np.unique(words[words > 0]).tolist():
+        low, high = np.searchsorted(words, level), np.searchsorted(words, level, side="right")
+        folded = np.stack([fold(x, level) for x in bits[low : last[high - 1]]])
+        for x in range(low, high):
+            # one that has a partner already is only looked for by those that have none
+            others = np.arange(x + 1, last[x])
+            others = others[~found[others]] if found[x] else others
+            if not len(others):
+                continue
+            apart = np.bitwise_count(folded[others - low] ^ folded[x - low]).sum(axis=1, dtype=np.int64)
+            near = ((100 - percent) * (n[x] + n[others]) >= (100 + percent) * np.maximum(apart, n[others] - n[x])) & (ids[others] != ids[x])
+            if near.any():
+                found[x] = True
+                found[others[near]] = True
+    out = np.zeros(len(n), bool)
+    out[order] = found
+    return out
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How sets of a size band, and their larger partners, are cut into segments.

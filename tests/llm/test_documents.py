@@ -12,7 +12,7 @@ from conftest import SMALL, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewarden.llm import jaccard, language, mixing, packing, pii, quality, queries, repeats, token_counts
+from tablewarden.llm import jaccard, language, mixing, packing, pii, quality, queries, repeats, shingles, token_counts
 from tablewarden.llm.common import ARROW_ROWS, keep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -427,6 +427,50 @@ def test_copies_meet_leaders_as_one(spark, monkeypatch):
     assert len(brought) == 1 and brought[0].count() <= 16
 
 
+def test_only_texts_that_may_be_linked_are_compared(spark, monkeypatch):
+    """Texts that share two thirds meet by their signatures and are linked with none; only three of them have near copies."""
+    rng = np.random.default_rng(17)
+    shared = [f"s{i}" for i in range(120)]
+    texts = [[*shared, *(f"d{d}x{i}" for i in range(int(rng.integers(50, 70))))] for d in range(50)]
+    made = [(d, " ".join(t), None, None, None) for d, t in enumerate(texts)]
+    made += [(100 + d, " ".join([*texts[d], "more"]), None, None, None) for d in (7, 20, 33)]
+    met, left = [], []
+    monkeypatch.setattr(jaccard, "leader_pairs", lambda *a, f=jaccard.leader_pairs: met.append(f(*a)) or met[-1])
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *a, f=jaccard.verify: left.append(pairs) or f(pairs, *a))
+    df = keep(spark.createDataFrame(made, COLUMNS).repartition(4), "shared")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(df).collect()}
+    assert got == jaccard_by_hand(made)
+    assert met[0].count() >= 100 and {r["b"] for r in left[0].collect()} <= {7, 20, 33, 107, 120, 133}
+    sets = keep(jaccard.set_table(df.select("doc_id", "text")), "sets")
+    whole = sorted(map(tuple, jaccard.with_partners(met[0], sets).collect()))
+    monkeypatch.setattr(jaccard, "PARITY_BLOCK", 5)
+    assert whole and sorted(map(tuple, jaccard.with_partners(met[0], sets).collect())) == whole
+
+
+def test_parities_leave_no_link_out():
+    """Rows of parities differ in no more bits than their sets in elements, at any size, also across their widths."""
+    rng = np.random.default_rng(23)
+    made = [np.zeros(0, np.uint64)]
+    for size in (1, 2, 5, 30, 62, 66, 125, 130, 500, 1020, 1030):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.15, 0.3, 0.6):
+            kept = base[rng.random(size) >= share]
+            made.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, rng.binomial(size, share)).astype(np.uint64)])))
+    sizes = np.array([len(x) for x in made])
+    sets = shingles.Sets(np.concatenate(made), np.concatenate([[0], np.cumsum(sizes)]))
+    rows = shingles.parities(sets)
+    assert [len(r) for r in rows[:1]] == [0] and all(8 * len(r) >= max(64, n) for r, n in zip(rows[1:], sizes[1:], strict=True) if n)
+    for percent in (40, 80, 85):
+        linked = np.zeros(len(made), bool)
+        for i, x in enumerate(made):
+            for j, y in enumerate(made):
+                common = len(np.intersect1d(x, y))
+                linked[i] |= i != j and common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+        found = shingles.with_partner(sizes, rows, np.arange(len(made)), percent)
+        assert linked.sum() > 20 and not (linked & ~found).any() and (percent < 80 or found.sum() <= 1.3 * linked.sum())
+        assert not shingles.with_partner(sizes, rows, np.zeros(len(made), int), percent).any()
+
+
 def test_mixing_learns_from_many_rare_words_and_not_from_copies(spark):
     """Forty insults at 7 % each tell; the words of 150 near copies and single ones don't."""
     rng = np.random.default_rng(8)
