@@ -57,12 +57,14 @@ def sketched_result(spark, folder: str, events_schema_of: DataFrame, keys: list[
 
 
 def windowed(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Event-time form: day windows held as state until the watermark passes, users by sketch."""
-    day = F.window("ts", "1 day")
-    counted = events.withColumn("ts", utc_instant(F.col("ts"))).withWatermark("ts", lateness).groupBy("dataset_id", day).agg(
-        *usage.counter_aggs(), F.approx_count_distinct("user_name", 0.02).alias("unique_users")
-    )
-    return counted.select("dataset_id", utc_wall_clock(F.col("window.start")).cast("date").alias("stat_date"), *usage.COUNTERS, "unique_users")
+    """Event-time form: day windows held as state until the watermark passes, users by sketch.
+
+    The sketch starts as a list of few users, so the state of a day that has few takes some tens of bytes, not thousands.
+    """
+    day, users = F.window("ts", "1 day"), F.hll_sketch_agg("user_name", F.lit(usage.SKETCH_LOG)).alias("users_sketch")
+    counted = events.withColumn("ts", utc_instant(F.col("ts"))).withWatermark("ts", lateness).groupBy("dataset_id", day).agg(*usage.counter_aggs(), users)
+    stat_date = utc_wall_clock(F.col("window.start")).cast("date").alias("stat_date")
+    return counted.select("dataset_id", stat_date, *usage.COUNTERS, usage.estimated_users().alias("unique_users"))
 
 
 def keep_updates(updates: DataFrame, folder: str, every: str | None = None):
