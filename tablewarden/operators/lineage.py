@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.fixed_values import ANONYMISING_WORDS, MAX_LINEAGE_COLUMN_BYTES
-from tablewarden.session import settle
+from tablewarden.operators.skew import dense_ids, join_null_safe
+from tablewarden.session import release, settle, settle_counted
 
 
 #: Levels walked by one plan; each is a join and one exchange, and a bit of the depths that a column was reached at.
 LEVELS = 12
 #: A column with more edges than this is joined in parts of about so many.
 HUB_EDGES = 1_000_000
+#: Over more edges than this, a plan of ``first_reach`` has few levels, and what finished plans left on disk is released.
+MANY_EDGES = 5_000_000
+FEW_LEVELS = 2
+#: Labels of one bit mask, and the bits of the level within a plan at which each of them came.
+MASK = 62
+_DEPTH = ["d0", "d1", "d2", "d3"]
 _HERE = ["dataset_id", "column_name"]
 
 
@@ -36,7 +43,9 @@ class _Graph:
             "transformation_type",
             "expression",
         )
-        self.edges = settle(shaped, "lineage-edges")
+        self.edges, self.count = settle_counted(shaped, "lineage-edges")
+        if self.count > MANY_EDGES:
+            release(edges.sparkSession)
         ends = self.edges.select("at_ds", "at_col", F.col("dataset_id").alias("to_ds"), F.col("column_name").alias("to_col"))
         ends = ends.where("at_ds IS NOT NULL AND at_col IS NOT NULL AND to_ds IS NOT NULL AND to_col IS NOT NULL")
         at, to = F.struct("at_ds", "at_col"), F.struct(F.col("to_ds").alias("at_ds"), F.col("to_col").alias("at_col"))
@@ -57,19 +66,35 @@ class _Graph:
         """Edges leaving the given columns; the other columns of ``reached`` are carried along."""
         return reached.withColumnsRenamed({"dataset_id": "at_ds", "column_name": "at_col"}).join(self.edges, ["at_ds", "at_col"]).drop("at_ds", "at_col")
 
+    def _placed(self, state: DataFrame) -> tuple[list[str], DataFrame]:
+        """The state by the columns that steps start from, repeated for each part of a hub's steps."""
+        at = state.withColumnsRenamed({"dataset_id": "at_ds", "column_name": "at_col"})
+        if self.hubs is None:
+            return ["at_ds", "at_col"], at
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))
+        return ["at_ds", "at_col", "part"], at.join(self.hubs, ["at_ds", "at_col"], "left").withColumn("part", parts)
+
     def hand_on(self, state: DataFrame, value: str, active: Column, next_value: Column, fold) -> DataFrame:
         """One level: columns where ``active`` holds hand ``next_value`` to those after them; values that meet are folded."""
         labels = [c for c in state.columns if c not in (*_HERE, value)]
-        keys = ["at_ds", "at_col"]
-        at = state.withColumnsRenamed({"dataset_id": "at_ds", "column_name": "at_col"})
-        if self.hubs is not None:
-            keys = [*keys, "part"]
-            at = at.join(self.hubs, ["at_ds", "at_col"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)))
+        keys, at = self._placed(state)
         moved = at.join(self.steps, keys).where(F.col("stays") | active)
         carried = F.when(F.col("stays"), F.col(value)).otherwise(next_value).alias(value)
         moved = moved.select(*labels, F.col("to_ds").alias("dataset_id"), F.col("to_col").alias("column_name"), carried)
         return moved.groupBy(*labels, *_HERE).agg(fold(value).alias(value))
 
+    def hand_on_masks(self, state: DataFrame, level: int) -> DataFrame:
+        """One level of ``first_reach``: labels that are new in a column are handed to those after it."""
+        keys, at = self._placed(state)
+        moved = at.join(self.steps, keys).where(F.col("stays") | (F.col("new") != 0))
+        if_stays = lambda c: F.when(F.col("stays"), F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c)
+        came = F.when(F.col("stays"), F.lit(0).cast("bigint")).otherwise(F.col("new")).alias("came")
+        moved = moved.select("_group", F.col("to_ds").alias("dataset_id"), F.col("to_col").alias("column_name"), came, *map(if_stays, ("seen", *_DEPTH)))
+        folded = moved.groupBy("_group", *_HERE).agg(*[F.bit_or(c).alias(c) for c in ("came", "seen", *_DEPTH)])
+        new = F.col("came").bitwiseAND(F.bitwise_not("seen"))
+        depths = [F.col(d).bitwiseOR(new).alias(d) if level >> k & 1 else F.col(d) for k, d in enumerate(_DEPTH)]
+        return folded.select("_group", *_HERE, new.alias("new"), F.col("seen").bitwiseOR(F.col("came")).alias("seen"), *depths)
+
 
 def traverse(edges: DataFrame, roots: DataFrame, downstream: bool, max_depth: int | None = None) -> DataFrame:
     """Every edge end reachable from each root, once per depth at which it is reached.
@@ -179,21 +204,43 @@ def impact_summary(affected: DataFrame) -> DataFrame:
 def first_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(labels, dataset_id, column_name, depth): the shortest distance from each label to each column.
 
-    Only labels that came to a column in the level before are handed on, so the state is one row per
-    (label, column) whatever the number of paths, and cycles end by themselves: no depth is needed. ``LEVELS`` levels are
-    one plan, and the state is written between plans.
+    Labels are numbered and ``MASK`` of them are one bit mask, so the state is one row for each column and group of labels: those that
+    came in the level before, those that ever came, and the levels they came at, bit by bit. Only the first are handed on, whatever the
+    number of paths, and cycles end by themselves: no depth is needed. ``LEVELS`` levels are one plan, fewer over many edges, as a plan's
+    exchanges stay on disk until it ends; the state is written between plans.
     """
     labels = [c for c in roots.columns if c not in _HERE]
     graph = _Graph(edges, True)
-    state, base = roots.select(*labels, *_HERE).distinct().withColumn("depth", F.lit(0)), 0
+    start = roots.select(F.struct(*labels).alias("_label") if labels else F.lit(0).alias("_label"), *_HERE).distinct()
+    numbers = settle(dense_ids(start.select("_label").distinct(), "_label", F.lit(-1).cast("bigint"), "_no"), "reach-labels")
+    numbered = join_null_safe(start, numbers, ["_label"]).withColumn("_group", F.floor(F.col("_no") / MASK))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(_no, {MASK}) AS INT))")
+    came = numbered.groupBy("_group", *_HERE).agg(F.bit_or(bit).alias("new"))
+    nothing = F.lit(0).cast("bigint")
+    state = came.withColumns({"seen": F.col("new")} | {d: nothing for d in _DEPTH})
+    found, base, most = [], 0, LEVELS if graph.count <= MANY_EDGES else FEW_LEVELS
     while max_depth is None or base < max_depth:
-        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - base)
-        for depth in range(base, base + levels):
-            state = graph.hand_on(state, "depth", F.col("depth") == depth, F.lit(depth + 1), F.min)
-        state, base = settle(state, "reach"), base + levels
-        if (state.agg(F.max("depth")).first()[0] or 0) < base:
+        levels = most if max_depth is None else min(most, max_depth - base)
+        for level in range(1, levels + 1):
+            state = graph.hand_on_masks(state, level)
+        state, count = settle_counted(state, "reach")
+        found.append(state.withColumn("_base", F.lit(base)))
+        base += levels
+        if count > MANY_EDGES // 5:
+            release(edges.sparkSession)
+        if state.where("new <> 0").isEmpty():
             break
-    return state.where("depth > 0")
+        state = state.withColumns({d: nothing for d in _DEPTH})
+    if not found:
+        return roots.withColumn("depth", F.lit(0)).where("false").select(*labels, *_HERE, "depth")
+    each = reduce(DataFrame.unionByName, found).where(reduce(lambda a, b: a | b, [F.col(d) != 0 for d in _DEPTH]))
+    on = lambda d, i: F.getbit(d, i).cast("int")
+    depth = lambda i: reduce(lambda a, b: a + b, [on(d, i) * (1 << k) for k, d in enumerate(_DEPTH)])
+    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.struct(i.alias("_i"), depth(i).alias("_d"))), lambda x: x["_d"] > 0)
+    apart = each.select("_group", "_base", *_HERE, F.inline(hits)).select((F.col("_group") * MASK + F.col("_i")).alias("_no"), *_HERE, (F.col("_base") + F.col("_d")).alias("depth"))
+    if not labels:
+        return apart.drop("_no")
+    return apart.join(numbers, "_no").select("_label.*", *_HERE, "depth")
 
 
 def pii_roots(fields: DataFrame, classifications: DataFrame) -> DataFrame:
