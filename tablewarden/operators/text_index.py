@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators.search import BM25_B, BM25_K1, MIN_IDF, Atom, words
-from tablewarden.session import scratch_path, settle
+from tablewarden.session import release, scratch_path, settle
 
 BLOCK_DOCS = 128
 LEAST_BUCKETS = 16
@@ -179,14 +179,17 @@ def _write_segment(texts: DataFrame, number: int, replaced: DataFrame | None) ->
     spark = texts.sparkSession
     path = scratch_path(spark, f"segment-{number}")
     plain = [F.coalesce(c, F.lit("")).alias(c) for c in ("part", "item")]
-    # texts are dealt evenly, however few files or documents they come from
-    dealt = texts.where("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "part", "item")
-    split = settle(dealt.select("doc", *plain, words(F.coalesce("text", F.lit(""))).alias("w")), "split-texts")
-    split.groupBy("doc").agg(F.sum(F.size("w")).alias("length")).where("length > 0").write.parquet(f"{path}/docs")
+    # texts are dealt evenly, however few files or documents they come from; words are split twice, so that only texts are dealt and none are kept
+    known = texts.where("doc is not null").select("doc", *plain, F.coalesce("text", F.lit("")).alias("text"))
+    dealt = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "part", "item")
+    dealt.select("doc", F.size(words(F.col("text"))).alias("n")).groupBy("doc").agg(F.sum("n").alias("length")).where("length > 0").write.parquet(f"{path}/docs")
+    release(spark)
     lengths = spark.read.schema("doc bigint, length bigint").parquet(f"{path}/docs")
     total = lengths.agg(F.sum("length")).first()[0] or 0
-    by_text = split.join(lengths, "doc").mapInArrow(_by_word, "term string, doc bigint, part string, item string, length bigint, positions array<int>")
+    split = known.join(lengths.hint("merge"), "doc").select("doc", "part", "item", "length", words(F.col("text")).alias("w"))
+    by_text = split.mapInArrow(_by_word, "term string, doc bigint, part string, item string, length bigint, positions array<int>")
     rows = _write_postings(by_text, path, _buckets(total), True)
+    release(spark)
     if replaced is not None:
         replaced.select(F.col("doc").cast("bigint").alias("doc")).where("doc is not null").distinct().write.parquet(f"{path}/replaced")
     return Segment(number, path, rows, _buckets(total), replaced is not None)
