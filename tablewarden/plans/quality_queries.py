@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.exprs import ntz
 from tablewarden.operators import quality as ops
 from tablewarden.plans.registry import query
-from tablewarden.plans.views import AS_OF
+from tablewarden.plans.views import AS_OF, Views
 from tablewarden.session import settle
 
 
@@ -15,6 +15,8 @@ from tablewarden.session import settle
 _COLUMNS = [("l_quantity", "quantity", "double"), ("l_returnflag", "flag", "string"), ("l_orderkey", "key", "long"),
             ("l_extendedprice", "price", "decimal(18,3)"), ("l_shipdate", "date", "date")]
 _NULLS = ("quantity", "flag")
+#: Line items of one dataset that one task can take.
+TASK_ROWS = 1_000_000
 
 
 def file_rows(v):
@@ -26,6 +28,20 @@ def file_rows(v):
     return v.data_files.select("dataset_id", F.concat(F.lit("part-"), F.col("file_no")).alias("path"), "size", text.alias("stats"))
 
 
+def by_dataset(v):
+    """The views with line items dealt out by dataset, so that files and their statistics are summed where they are.
+
+    Dealt by file instead, the five columns of each file travel with all their extremes. A dataset whose line items are
+    too many for one task keeps that way, as its files are then summed in many tasks first.
+    """
+    most = v.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > TASK_ROWS:
+        return v
+    dealt = Views(v.spark, v.folder)
+    dealt._made["lineitem"] = v.lineitem.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")), "l_partkey")
+    return dealt
+
+
 def columns_of(v):
     """(dataset_id, column_name, data_type) of the described tables."""
     cols = F.array(*[F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("data_type")) for name, _, kind in _COLUMNS])
@@ -55,7 +71,7 @@ _COLUMN = """SELECT id AS dataset_id, '{name}' AS column_name, '{kind}' AS data_
     " UNION ALL ".join(_COLUMN.format(name=name, kind=kind, c=c, n=f"null_{c}" if c in _NULLS else "0") for name, c, kind in _COLUMNS),
 )
 def column_stats(v):
-    return ops.column_stats(file_rows(v), columns_of(v))
+    return ops.column_stats(file_rows(by_dataset(v)), columns_of(v))
 
 
 @query(
